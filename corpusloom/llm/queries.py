@@ -31,8 +31,14 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op4_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.forced_bpe import digest_documents
+
+    return digest_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simple8b, op3_vector_packing)}
+    return {f.__name__: f for f in (op2_simple8b, op3_vector_packing, op4_forced_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
