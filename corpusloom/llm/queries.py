@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.quality import quality_rows
+
+    return quality_rows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.simple8b import round_trip
 
@@ -37,8 +43,14 @@ def op4_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.secrets import digest_documents
+
+    return digest_documents(table(spark, sf_dir, "documents")).select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simple8b, op3_vector_packing, op4_forced_bpe)}
+    return {f.__name__: f for f in (op1_robust_outliers, op2_simple8b, op3_vector_packing, op4_forced_bpe, op10_secret_worklist)}
 
 
 def oracle_sql() -> dict[str, str]:
