@@ -134,7 +134,7 @@ class Words:
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values[offsets[i]:offsets[i+1]], 0 for empty slices."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
     return total[offsets[1:]] - total[offsets[:-1]]
 
 

@@ -43,6 +43,12 @@ def op4_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.secrets import digest_documents
 
@@ -50,7 +56,7 @@ def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_robust_outliers, op2_simple8b, op3_vector_packing, op4_forced_bpe, op10_secret_worklist)}
+    return {f.__name__: f for f in (op1_robust_outliers, op2_simple8b, op3_vector_packing, op4_forced_bpe, op7_superminhash, op10_secret_worklist)}
 
 
 def oracle_sql() -> dict[str, str]:
