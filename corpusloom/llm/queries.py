@@ -49,6 +49,21 @@ def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.language_mixture import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs.select("doc_id", "text"), fit(docs)).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.pivot_index import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.secrets import digest_documents
 
@@ -56,7 +71,7 @@ def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_robust_outliers, op2_simple8b, op3_vector_packing, op4_forced_bpe, op7_superminhash, op10_secret_worklist)}
+    return {f.__name__: f for f in (op1_robust_outliers, op2_simple8b, op3_vector_packing, op4_forced_bpe, op7_superminhash, op8_language_mixture, op9_pivot_index, op10_secret_worklist)}
 
 
 def oracle_sql() -> dict[str, str]:
