@@ -43,6 +43,23 @@ def op4_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.cross_entropy import score_documents
+
+    labels = table(spark, sf_dir, "labels")
+    return score_documents(table(spark, sf_dir, "documents"), labels.where(labels["quality"] == 1))
+
+
+def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.toxicity import held_out, learn, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.near_dedup import near_duplicates
 
@@ -71,7 +88,7 @@ def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_robust_outliers, op2_simple8b, op3_vector_packing, op4_forced_bpe, op7_superminhash, op8_language_mixture, op9_pivot_index, op10_secret_worklist)}
+    return {f.__name__: f for f in (op1_robust_outliers, op2_simple8b, op3_vector_packing, op4_forced_bpe, op5_cross_entropy, op6_toxicity_grammar, op7_superminhash, op8_language_mixture, op9_pivot_index, op10_secret_worklist)}
 
 
 def oracle_sql() -> dict[str, str]:
