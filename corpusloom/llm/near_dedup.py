@@ -6,8 +6,8 @@ are thereby negatively correlated, which lowers the variance of the estimate. St
 batch at once; a set stops as soon as all its slots are filled, because later ranks are larger, so long sets take one
 to five steps.
 
-Candidates. Documents with equal sets are one class (128-bit set hash, order-free). Classes sharing all ROWS slots of a
-band meet in a bucket; every member is tied to the bucket's least id, which gives clusters: the connected parts of the
+Candidates. Documents with equal sets are one class (128-bit set hash, order-free). Classes sharing all slots of a band
+meet in a bucket; every member is tied to the bucket's least id, which gives clusters: the connected parts of the
 bucket graph. A pair with a similarity of at least 0.85 shares no band with probability below 10^-5.
 
 Verification. Within a cluster every pair is compared on its full shingle sets, except pairs that are connected
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, Words, bounded_batches, mix, stable_hashes, sums, text_array
 
-BANDS, ROWS = 30, 7
+BANDS = 30
 #: Classes of one cluster that one group may hold.
 CHUNK = 256
 
@@ -103,6 +103,14 @@ def _set_hash(elements: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return tuple(mix(sums(mix(elements ^ np.uint64(seed)), offsets) + np.diff(offsets).astype(np.uint64)) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344))
 
 
+def rows_per_band(percent: int, bands: int = BANDS, missed: float = 1e-5) -> int:
+    """The most slots a band may have so that a pair at the threshold shares no band with a probability of at most `missed`."""
+    rows = 1
+    while (1 - (percent / 100) ** (rows + 1)) ** bands <= missed:
+        rows += 1
+    return rows
+
+
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, h1, h2 (the set's hash) and bands (array<long>) of each row."""
     bounded_batches(docs.sparkSession)
@@ -210,10 +218,10 @@ def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int
     return met.join(wanted, "id").select("label", "pair", "id", "text").groupBy("label", "pair").applyInArrow(_cluster_links(size, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable, itself included) and kept for each row."""
     scratch = Scratch(docs.sparkSession, "near")
-    known = scratch.keep(sketches(docs, size, bands, rows), "sketches")
+    known = scratch.keep(sketches(docs, size, BANDS, rows_per_band(percent)), "sketches")
     linked = known.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = scratch.keep(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
     slots = classes.select("id", F.posexplode("bands").alias("band", "key"))
@@ -225,3 +233,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     named = classes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"))
     found = known.join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near-duplicates (that of the least doc_id; one of its rows if it has several), whole."""
+    found = Scratch(docs.sparkSession, "near").keep(near_duplicates(docs, size, percent).select("doc_id", "kept"), "found")
+    left = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    repeated = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)

@@ -112,3 +112,16 @@ def test_shingles_of_short_texts():
     elements, offsets = near_dedup.shingles(pa.array(["a b", "A B", "a", "", "b a", "a b c d"]), 3)
     parts = [elements[offsets[i] : offsets[i + 1]].tolist() for i in range(6)]
     assert parts[0] == parts[1] and len(parts[2]) == 1 and parts[3] == [] and parts[4] != parts[0] and len(parts[5]) == 2
+
+
+def test_bands_are_wide_but_miss_little():
+    assert near_dedup.rows_per_band(85) == 7 and near_dedup.rows_per_band(80) == 5
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(4, text, "x"), (2, text, "y"), (2, text, "y"), (9, text + " more", "z"), (7, "other words here", "z"), (None, text, "n"), (5, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    kept = near_dedup.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 2), (False, 5), (False, 7), (True, 0)]
