@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 #: Records in one Arrow batch sent to Python; Spark also ends a batch at spark.sql.execution.arrow.maxBytesPerBatch.
 BATCH_ROWS = 4096
 BATCH_BYTES = 16 << 20
+#: Rows that annotate() works on at a time.
+SLICE_ROWS = 1024
 
 _own_dir: str | None = None
 
@@ -94,10 +96,11 @@ def annotate(df: DataFrame, compute: Callable[[pa.Array, pa.Array], dict[str, pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                row, key_column, texts = batch.columns
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                row, key_column, texts = (c.slice(k, SLICE_ROWS) for c in batch.columns)
                 columns = compute(key_column, texts)
                 yield pa.RecordBatch.from_arrays([row, *(columns[n] for n in names[1:])], names)
+                pa.default_memory_pool().release_unused()
 
     bounded_batches(df.sparkSession)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
