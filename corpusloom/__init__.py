@@ -1 +1,25 @@
 """corpusloom: a PySpark-native analytics engine for collections of Markdown documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+_shipped_to: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a session, once, so that they need no installation or path of their own."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped_to:
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="corpusloom-")) / "corpusloom.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(here.rglob("*.py")):
+            archive.write(source, Path("corpusloom") / source.relative_to(here))
+    context.addPyFile(str(target))
+    _shipped_to.add(context.applicationId)
