@@ -16,14 +16,33 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.patterns import check
 from corpusloom.functions.scalars import candidates, file_part, has_scheme, id_tokens, prose_tokens
+from corpusloom.operators import local_graph
 from corpusloom.operators.primitives import first_existing
 from corpusloom.sources.corpus import Corpus
 from corpusloom.sources.tables import Tables
 
 EDGE_TYPES = ("link", "anchor", "image", "import", "id-ref")
 HUB_IN_DEGREE = 3
-#: Nodes that driver-side operators accept.
+#: Arcs that operators without a distributed form accept.
 DRIVER_NODES = 2_000_000
+#: Up to so many arcs (and nodes) an iterative operator runs on the driver, where a round costs microseconds instead of
+#: Spark jobs. The size is checked first; larger graphs take the distributed form. Both give the same result.
+LOCAL_ARCS = 100_000
+
+
+def _local_arcs(hop: DataFrame) -> list[tuple[str, str]] | None:
+    """The arcs if there are at most LOCAL_ARCS, else None; never fetches more."""
+    if not LOCAL_ARCS:
+        return None
+    rows = hop.limit(LOCAL_ARCS + 1).collect()
+    return None if len(rows) > LOCAL_ARCS else [(r["src"], r["dst"]) for r in rows]
+
+
+def _local_nodes(paths: DataFrame) -> list[str] | None:
+    if not LOCAL_ARCS:
+        return None
+    rows = paths.select("path").distinct().limit(LOCAL_ARCS + 1).collect()
+    return None if len(rows) > LOCAL_ARCS else sorted(r["path"] for r in rows)
 
 
 def defined_ids(corpus: Corpus, id_pattern: str, definitions: list[str] | None = None, column: str | None = None) -> DataFrame:
@@ -88,6 +107,8 @@ def traverse(starts: DataFrame, edges: DataFrame, depth: int | None = None, type
     """path, depth, via: breadth-first from starts(path); via is the least predecessor at the least depth."""
     tables = Tables(edges.sparkSession, "bfs")
     hop = tables.keep(arcs(edges, types, reverse), "arcs")
+    if (small := _local_arcs(hop)) is not None and (begin := _local_nodes(starts)) is not None:
+        return edges.sparkSession.createDataFrame(local_graph.levels(begin, small, depth), "path string, depth int, via string")
     seen = tables.keep(starts.select("path").distinct().select("path", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")), "level0")
     parts, frontier, level = [seen], seen, 0
     while depth is None or level < depth:
@@ -114,7 +135,10 @@ def traverse(starts: DataFrame, edges: DataFrame, depth: int | None = None, type
 def components(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """path, component: the least path of its weakly connected part; lone nodes included."""
     tables = Tables(edges.sparkSession, "components")
-    both = tables.keep(arcs(edges).union(arcs(edges, reverse=True)).distinct(), "arcs")
+    hop = tables.keep(arcs(edges), "hop")
+    if (small := _local_arcs(hop)) is not None and (nodes := _local_nodes(paths)) is not None:
+        return edges.sparkSession.createDataFrame(list(local_graph.parts(nodes, small).items()), "path string, component string")
+    both = tables.keep(hop.union(hop.select("dst", "src")).distinct(), "arcs")
     labels = tables.keep(paths.select("path", F.col("path").alias("component")).distinct(), "0")
     step = 0
     while True:
@@ -134,6 +158,8 @@ def peel(edges: DataFrame, paths: DataFrame, reverse: bool = False) -> DataFrame
     """Nodes that lie on a cycle or behind one (before one, if reversed): what remains after removing sources repeatedly."""
     tables = Tables(edges.sparkSession, "peel")
     left = tables.keep(arcs(edges, reverse=reverse), "arcs0")
+    if (small := _local_arcs(left)) is not None and (nodes := _local_nodes(paths)) is not None:
+        return edges.sparkSession.createDataFrame([(n,) for n in local_graph.unpeeled(nodes, small)], "path string")
     alive = tables.keep(paths.select("path").distinct(), "alive0")
     step = 0
     while True:
@@ -154,10 +180,13 @@ def strong_components(paths: DataFrame, edges: DataFrame) -> DataFrame:
     of its colour that reach it back are one part, which leaves the graph; repeat with the rest.
     """
     tables = Tables(edges.sparkSession, "scc")
+    hop = tables.keep(arcs(edges), "hop")
+    if (small := _local_arcs(hop)) is not None:
+        return edges.sparkSession.createDataFrame([(n, part[0]) for part in local_graph.strong(small) for n in part], "path string, scc string")
     core = peel(edges, paths).join(peel(edges, paths, reverse=True), "path")
     inside = lambda df, nodes: df.join(nodes.select(F.col("path").alias("src")), "src", "left_semi").join(nodes.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst")
     nodes = tables.keep(core, "nodes0")
-    left = tables.keep(inside(arcs(edges), nodes), "arcs0")
+    left = tables.keep(inside(hop, nodes), "arcs0")
     found: list[DataFrame] = []
     step = 0
     while not left.isEmpty():
