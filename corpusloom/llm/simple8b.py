@@ -51,17 +51,22 @@ def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, n
     values = values.astype(np.uint64, copy=False)
     starts = np.arange(0, n, block)
     ends = np.minimum(starts + block, n)
-    stop = np.repeat(ends, ends - starts)
-    place = np.arange(n)
-    choice = np.full(n, ESCAPE, dtype=np.int64)
-    take = np.ones(n, dtype=np.int64)
-    for selector in range(len(COUNTS) - 1, -1, -1):
+    stop = np.repeat(ends, ends - starts).astype(np.int32)
+    place = np.arange(n, dtype=np.int32)
+    left = stop - place
+    choice = np.full(n, ESCAPE, dtype=np.int8)
+    take = np.ones(n, dtype=np.int32)
+    most = int(values.max()).bit_length()
+    # Selectors wider than need be for every value are never better than the narrowest that takes all.
+    useful = int(np.searchsorted(BITS, most)) if most <= 60 else len(BITS) - 1
+    for selector in range(useful, -1, -1):
         count, bits = int(COUNTS[selector]), int(BITS[selector])
-        wide = np.where(values >> np.uint64(bits) == 0, n, place)
-        clear = np.minimum.accumulate(wide[::-1])[::-1]  # the next value that does not fit
-        fits = np.minimum(clear, stop) - place >= np.minimum(count, stop - place)
-        choice[fits] = selector
-        take[fits] = np.minimum(count, (stop - place)[fits])
+        wide = np.flatnonzero(values >> np.uint64(bits)).astype(np.int32)
+        # The next value that does not fit, for every place.
+        clear = np.repeat(np.append(wide, np.int32(n)), np.diff(np.concatenate([[-1], wide, [n - 1]])))
+        fits = (clear - place >= count) | (clear >= stop)
+        np.putmask(choice, fits, selector)
+        np.copyto(take, np.minimum(left, count), where=fits)
     at, word_starts, rows = starts.copy(), [], []
     live = np.arange(len(starts))
     while len(live):
@@ -72,7 +77,7 @@ def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, n
     heads, owner = np.concatenate(word_starts), np.concatenate(rows)
     order = np.lexsort((heads, owner))
     heads, owner = heads[order], owner[order]
-    chosen = choice[heads]
+    chosen = choice[heads].astype(np.int64)
     size = np.where(chosen == ESCAPE, 2, 1)
     where = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), dtype=np.uint64)
@@ -128,7 +133,12 @@ def decode_blocks(words: np.ndarray, offsets: np.ndarray, n: int, block: int = B
 
 def pack_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One token file. doc_ids holds the smallest int64 for a null."""
-    alphabet, place, often = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < 1 << 22:
+        often = np.bincount(ids)
+        alphabet = np.flatnonzero(often)
+        place, often = (np.cumsum(often > 0) - 1)[ids], often[alphabet]
+    else:
+        alphabet, place, often = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-often, kind="stable")
     rank = np.empty(len(order), dtype=np.uint64)
     rank[order] = np.arange(len(order))
