@@ -12,9 +12,9 @@ bucket graph. A pair with a similarity of at least 0.85 shares no band with prob
 
 Verification. Within a cluster every pair is compared on its full shingle sets, except pairs that are connected
 already: a breadth-first search over the links visits each class once and compares it with those not reached so far. A
-cluster of up to CHUNK classes is one task's group. A larger one is dealt by hash into chunks of about CHUNK / 2 and
-every pair of chunks is compared in a group of its own, so no task ever holds more than about CHUNK texts; a chunk pair
-gives a spanning forest of its links, never all pairs. The links of all chunk pairs join the same components as all
+cluster of up to CHUNK classes is one task's group. A larger one is dealt by hash into chunks of CHUNK / 2 to 4 * CHUNK
+and every pair of chunks is compared in a group of its own, so no task ever holds more than about 8 * CHUNK texts; a
+chunk pair gives a spanning forest of its links, never all pairs. The links of all chunk pairs join the same components as all
 links would. Nothing is capped.
 
 Components come from min-label propagation with pointer jumping over tables in the shared folder.
@@ -203,11 +203,13 @@ def _cluster_links(size: int, percent: int):
     return run
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+def verified_links(docs: DataFrame, clusters: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
     """Links (a, b) among the classes of each cluster; clusters: id, label."""
-    members = clusters.groupBy("label").agg(F.count("*").alias("members"))
-    parts = F.greatest(F.ceil(F.col("members") * 2 / CHUNK), F.lit(1)).cast("int")
-    placed = clusters.join(members, "label").withColumn("parts", F.when(F.col("members") <= CHUNK, 1).otherwise(parts))
+    # Only clusters that need chunks are listed, one row for CHUNK classes at most; being a table, its size is known
+    # when the join is planned, so a small one is sent to the members and a hot label is never dealt to one task.
+    large = clusters.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK)
+    large = scratch.keep(large.select("label", F.ceil(F.col("members") / F.least(F.lit(4 * CHUNK), F.greatest(F.lit(CHUNK // 2), F.col("members") / 64))).cast("int").alias("parts")), "large")
+    placed = clusters.join(large, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # A member of chunk c goes to the pairs (c, d) and (d, c) of every other chunk; a lone chunk meets itself.
     other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda d: F.struct(F.least(d, F.col("chunk")).alias("low"), F.greatest(d, F.col("chunk")).alias("high")))
@@ -228,7 +230,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     buckets = slots.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     ties = slots.join(buckets, ["band", "key"]).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(ties, scratch, "clusters")
-    links = scratch.keep(verified_links(docs, clusters, size, percent), "links")
+    links = scratch.keep(verified_links(docs, clusters, scratch, size, percent), "links")
     labels = components(links, scratch, "labels")
     named = classes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"))
     found = known.join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
