@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from corpusloom.functions.patterns import check
 from corpusloom.functions.scalars import candidates, file_part, has_scheme, id_tokens, prose_tokens
 from corpusloom.operators import local_graph
-from corpusloom.operators.primitives import first_existing
 from corpusloom.sources.corpus import Corpus
 from corpusloom.sources.tables import Tables
 
@@ -60,22 +59,21 @@ def defined_ids(corpus: Corpus, id_pattern: str, definitions: list[str] | None =
 
 def build_edges(corpus: Corpus, id_ref: dict | None = None) -> DataFrame:
     """src, dst, type, line, text, raw_target. id_ref: id_pattern, definitions (globs), column."""
-    nodes = corpus.paths
-    local = corpus.links.where(F.col("kind") == "local-file")
-    reached = first_existing(local, nodes, corpus.router).where(F.col("target").isNotNull())
-    # The target may have been percent-encoded only in its anchor, which the scanner decoded.
-    slugs = corpus.headings.select(F.col("path").alias("target"), F.col("slug").alias("anchor")).distinct().withColumn("known", F.lit(True))
-    plain = reached.where(F.col("anchor").isNull() | (F.col("anchor") == ""))
-    anchored = reached.where(F.col("anchor") != "").join(slugs, ["target", "anchor"], "left_semi")
-    shape = lambda df, kind: df.select(F.col("path").alias("src"), F.col("target").alias("dst"), F.lit(kind).alias("type"), "line", "text", "raw_target")
-    images = corpus.images.where(~has_scheme(F.col("raw_target")))
-    imports = corpus.imports.withColumn("full", F.col("raw_target")).withColumn("raw_target", F.expr("substring(raw_target, 2)"))
-    edges = (
-        shape(plain, "link")
-        .unionByName(shape(anchored, "anchor"))
-        .unionByName(shape(first_existing(images, nodes).withColumn("text", F.lit(None).cast("string")), "image"))
-        .unionByName(shape(first_existing(imports, nodes, corpus.router).withColumn("raw_target", F.col("full")).withColumn("text", F.lit(None).cast("string")), "import"))
-    )
+    none = F.lit(None).cast("string")
+    asked = lambda df, kind, target, router, text, anchor: df.select("path", F.lit(kind).alias("type"), "pos", "line", text.alias("text"), "raw_target", anchor.alias("anchor"), candidates(F.col("path"), target, router).alias("candidates"))
+    own = file_part(F.col("raw_target"))
+    links = asked(corpus.links.where(F.col("kind") == "local-file"), "link", own, corpus.router, F.col("text"), F.nullif("anchor", F.lit("")))
+    images = asked(corpus.images.where(~has_scheme(F.col("raw_target"))), "image", own, None, none, none)
+    imports = asked(corpus.imports, "import", F.expr("substring(raw_target, 2)"), corpus.router, none, none)
+    # All kinds are resolved by one join; only a router gives several candidates, of which the first that exists counts.
+    tried = links.unionByName(images).unionByName(imports).select("*", F.posexplode("candidates").alias("ord", "dst")).drop("candidates")
+    found = tried.join(corpus.paths.select(F.col("path").alias("dst")).distinct(), "dst")
+    if corpus.router:
+        best = F.min(F.struct("ord", "dst", "line", "text", "raw_target", "anchor")).alias("b")
+        found = found.groupBy("path", "type", "pos").agg(best).select("path", "type", "b.*")
+    slugs = corpus.headings.select(F.col("path").alias("dst"), F.col("slug").alias("anchor")).distinct().withColumn("known", F.lit(True))
+    found = found.join(slugs, ["dst", "anchor"], "left").where("anchor is null or known")
+    edges = found.select(F.col("path").alias("src"), "dst", F.when(F.col("anchor").isNotNull(), "anchor").otherwise(F.col("type")).alias("type"), "line", "text", "raw_target")
     if id_ref:
         edges = edges.unionByName(id_edges(corpus, id_ref))
     return edges.where(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))

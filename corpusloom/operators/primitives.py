@@ -174,6 +174,9 @@ def resolved_targets(links: DataFrame, router: dict | None = None) -> DataFrame:
 def first_existing(links: DataFrame, files: DataFrame, router: dict | None = None) -> DataFrame:
     """links with `target`, the first candidate that exists, or null. links need a unique (path, pos)."""
     known = files.select(F.col("path").alias("candidate")).distinct()
+    if not router:  # one candidate at most: a single join
+        df = links.withColumn("candidate", F.get(candidates(F.col("path"), file_part(F.col("raw_target"))), F.lit(0)))
+        return df.join(known.withColumn("target", F.col("candidate")), "candidate", "left").drop("candidate")
     tried = resolved_targets(links, router).select("path", "pos", F.posexplode("candidates").alias("ord", "candidate"))
     best = tried.join(known, "candidate").groupBy("path", "pos").agg(F.min_by("candidate", "ord").alias("target"))
     return links.join(best, ["path", "pos"], "left")

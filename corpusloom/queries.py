@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,9 +40,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_parsed: dict[tuple[str, str], Corpus] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Not persisted: each query reads the relations it needs; scanning is cheaper than holding every corpus in memory."""
-    return Corpus.of(generated_documents(spark, sf_dir), persist=False)
+    """The generated corpus, scanned once for all queries of a session (in memory, beyond that on disk)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _parsed:
+        _parsed[key] = Corpus.of(generated_documents(spark, sf_dir), persist=False)
+    found = _parsed[key]
+    if found.documents.storageLevel == StorageLevel.NONE:
+        found.documents.persist()
+    return found
 
 
 #: Start of every SQL over the generated corpus: one row for each document, with everything that follows from its id.
@@ -307,13 +317,13 @@ _FOUND = """, f AS (
 @query(D + _FOUND + " SELECT path, rule_id, severity, CAST(line AS BIGINT) AS line FROM f")
 def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight rules over the generated corpus, with suppression."""
-    c = Corpus.of(generated_documents(spark, sf_dir))
+    c = corpus(spark, sf_dir)
     return plan.ordered(plan.lint(c, bound(*STANDARD))).select("path", "rule_id", "severity", F.col("line").cast("long").alias("line"))
 
 
 @query(D + _FOUND + " SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM f")
 def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.counts(plan.lint(Corpus.of(generated_documents(spark, sf_dir)), bound(*STANDARD)))
+    return plan.counts(plan.lint(corpus(spark, sf_dir), bound(*STANDARD)))
 
 
 @query("""WITH f AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, 'TBL-' || lpad(CAST(l_linenumber % 3 AS VARCHAR), 3, '0') AS rule_id, l_partkey % 40 AS line, l_linenumber FROM lineitem),

@@ -232,3 +232,10 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("c.md", "x\n")], "path string, content string").write.mode("append").parquet(source)
     maintain(read_stream(spark, source), str(tmp_path / "state"), bound, sink, str(tmp_path / "c3")).awaitTermination()
     assert seen[1] == [("CTX-002", "a.md")]
+
+
+def test_edges_with_a_site_router(spark):
+    files = {"src/content/docs/a.md": "[x](/b/#top) [y](/c) ![z](/b.md)\n", "src/content/docs/b.md": "# Top\n", "src/content/docs/c/index.md": "x\n", "b.md": "y\n"}
+    c = Corpus.in_memory(spark, files, router={"preset": "starlight"})
+    base = "src/content/docs/"
+    assert {(e.dst, e.type) for e in g.build_edges(c).collect()} == {(f"{base}b.md", "anchor"), (f"{base}c/index.md", "link"), ("b.md", "image")}
