@@ -240,7 +240,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near-duplicates (that of the least doc_id; one of its rows if it has several), whole."""
     found = Scratch(docs.sparkSession, "near").keep(near_duplicates(docs, size, percent).select("doc_id", "kept"), "found")
-    left = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    # What is dropped grows with the corpus: the join is by key at every size, so its cost stays in proportion.
+    left = docs.join(found.where(~F.col("kept")).select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
     repeated = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     if repeated.isEmpty():
         return left
