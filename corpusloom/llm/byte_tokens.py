@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from corpusloom.llm.common import gather, worker_threads_off
 
 #: Entries of a worker's caches of units and of pieces; a full one starts anew.
-CACHE_UNITS, CACHE_PIECES = 600_000, 150_000
+CACHE_UNITS, CACHE_PIECES = 450_000, 100_000
 #: Code points that count as white space for the pre-tokeniser besides blank and line feed, and NUL.
 _ODD = r"[\x00\t\x0B\x0C\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}\x{3000}\x{FEFF}]|[ \n][ \n]|[ \n]$|<\|"
 
