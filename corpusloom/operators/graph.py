@@ -2,8 +2,8 @@
 
 Edges: link, anchor, image, import, id-ref; multiplicity is kept, edges to oneself are not. Iterative operators join a
 frontier with the distinct arcs, keep their state in tables under spark.checkpoint.dir (any executor may be lost) and
-stop when nothing changes. Operators that are sequential by nature (lexicographic order, one cycle path per component)
-run on the driver and refuse inputs beyond a stated size.
+stop when nothing changes. Cycle paths are found for each component by a task, in components too large for one on Spark.
+Lexicographic order is sequential by nature: it runs on the driver and refuses inputs beyond a stated size.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from corpusloom.sources.tables import Tables
 
 EDGE_TYPES = ("link", "anchor", "image", "import", "id-ref")
 HUB_IN_DEGREE = 3
-#: Arcs that operators without a distributed form accept.
+#: Arcs that the operator without a distributed form accepts, and that one task walks in a strongly connected part.
 DRIVER_NODES = 2_000_000
 #: Up to so many arcs (and nodes) an iterative operator runs on the driver, where a round costs microseconds instead of
 #: Spark jobs. The size is checked first; larger graphs take the distributed form. Both give the same result.
@@ -283,18 +284,48 @@ def cycle_path(members: list[str], out: dict[str, list[str]], steps: int = 100_0
             if b in inside and b not in came:
                 came[b] = a
                 queue.append(b)
-    return [*sorted(members), start]
+    raise ValueError(f"{start} lies on no closed walk: not a whole strongly connected part")
+
+
+def _part_walk(group: pa.Table) -> pa.Table:
+    out = defaultdict(list)
+    for a, b in zip(group.column("src").to_pylist(), group.column("dst").to_pylist(), strict=True):
+        out[a].append(b)
+    return pa.table([group.column("scc").slice(0, 1), pa.array([cycle_path(sorted(out), out)], pa.list_(pa.string()))], names=["scc", "walk"])
+
+
+def _shortest_walks(inner: DataFrame, tables: Tables) -> DataFrame:
+    """scc, walk: a shortest closed walk through each part's least member, breadth-first on Spark; inner: src, dst, scc."""
+    seen = tables.keep(traverse(inner.select(F.col("scc").alias("path")), inner), "levels")
+    closing = inner.where("dst = scc").join(seen.select(F.col("path").alias("src"), "depth"), "src")
+    best = closing.groupBy("scc").agg(F.min(F.struct("depth", "src")).alias("b"))
+    walks = tables.keep(best.select("scc", F.col("b.src").alias("at"), F.array("b.src", "scc").alias("walk")), "walk0")
+    step = 0
+    while not walks.where("at <> scc").isEmpty():
+        step += 1
+        back = walks.join(seen.select(F.col("path").alias("at"), "via"), "at")
+        walks = tables.keep(back.select("scc", F.coalesce("via", "at").alias("at"), F.when(F.col("via").isNull(), F.col("walk")).otherwise(F.concat(F.array("via"), "walk")).alias("walk")), f"walk{step}")
+        tables.drop(f"walk{step - 1}")
+    return walks.select("scc", "walk")
+
+
+def cycle_walks(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """scc, walk: one closed path for each strongly connected part, by its least member.
+
+    A part of up to DRIVER_NODES arcs is walked by one task (cycle_path), a larger one breadth-first on Spark.
+    """
+    tables = Tables(edges.sparkSession, "cycles")
+    parts = tables.keep(strong_components(paths, edges), "parts")
+    inner = arcs(edges).join(parts.select(F.col("path").alias("src"), "scc"), "src").join(parts.select(F.col("path").alias("dst"), F.col("scc").alias("other")), "dst").where("scc = other")
+    inner = tables.keep(inner.select("src", "dst", "scc", F.lit("link").alias("type")), "inner")
+    large = tables.keep(inner.groupBy("scc").agg(F.count("*").alias("n")).where(F.col("n") > DRIVER_NODES).select("scc"), "large")
+    out = inner.join(large, "scc", "left_anti").select("scc", "src", "dst").groupBy("scc").applyInArrow(_part_walk, "scc string, walk array<string>")
+    return out if large.isEmpty() else out.unionByName(_shortest_walks(inner.join(large, "scc", "left_semi"), tables))
 
 
 def cycles(paths: DataFrame, edges: DataFrame) -> list[list[str]]:
-    """One closed path for each strongly connected part, by its least member. Only arcs inside parts reach the driver."""
-    parts = strong_components(paths, edges)
-    inner = arcs(edges).join(parts.select(F.col("path").alias("src"), F.col("scc").alias("a")), "src").join(parts.select(F.col("path").alias("dst"), F.col("scc").alias("b")), "dst").where("a = b")
-    members, out = defaultdict(set), defaultdict(list)
-    for r in inner.select("src", "dst", "a").limit(DRIVER_NODES).collect():
-        members[r["a"]] |= {r["src"], r["dst"]}
-        out[r["src"]].append(r["dst"])
-    return [cycle_path(sorted(members[k]), out) for k in sorted(members)]
+    """The walks of cycle_walks(), by least member; only they reach the driver."""
+    return [r["walk"] for r in cycle_walks(paths, edges).orderBy("scc").collect()]
 
 
 def roles(nodes: DataFrame, hub_in_degree: int = HUB_IN_DEGREE) -> DataFrame:

@@ -320,8 +320,8 @@ def alias_findings(documents: DataFrame, aliases: dict[str, str]) -> DataFrame:
 def no_cycles(c: Corpus, o: dict) -> DataFrame:
     edges = g.build_edges(c, o.get("idRef"))
     least = o.get("minCycleLength", 3)
-    loops = [x for x in g.cycles(c.paths, edges) if len(set(x)) >= least]
-    rows = c.documents.sparkSession.createDataFrame([(x[0], x[1], " -> ".join(x)) for x in loops], "path string, next string, walk string")
+    loops = g.cycle_walks(c.paths, edges).where(F.size(F.array_distinct("walk")) >= least)
+    rows = loops.select(F.col("walk")[0].alias("path"), F.col("walk")[1].alias("next"), F.array_join("walk", " -> ").alias("walk"))
     first = edges.groupBy(F.col("src").alias("path"), F.col("dst").alias("next")).agg(F.min_by("line", F.struct("type", F.coalesce("line", F.lit(0)))).alias("line"))
     df = rows.join(first, ["path", "next"], "left").withColumn("line", F.coalesce("line", F.lit(0)))
     return findings(df, say("Cycle: %s.", F.col("walk")), cycle=F.col("walk"))

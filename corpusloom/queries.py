@@ -516,8 +516,9 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One representative cycle of each strongly connected part."""
     paths, edges = lineage_arcs(spark, sf_dir)
-    walks = g.cycles(paths, edges)
-    return spark.createDataFrame([(k, n, x) for k, walk in enumerate(walks) for n, x in enumerate(walk)], "cycle long, pos long, path string")
+    numbered = g.cycle_walks(paths, edges).orderBy("scc").rdd.zipWithIndex().map(lambda x: (x[1], x[0]["walk"]))
+    walks = spark.createDataFrame(numbered, "cycle long, walk array<string>")
+    return walks.select("cycle", F.posexplode("walk").alias("pos", "path")).select("cycle", F.col("pos").cast("long").alias("pos"), "path")
 
 
 def queries() -> dict[str, Query]:

@@ -35,3 +35,15 @@ def test_forms_agree(monkeypatch, random_graph):
     ):
         local, distributed = both(monkeypatch, call)
         assert local == distributed and local
+
+
+def test_cycles_of_parts_beyond_the_limit(monkeypatch, spark):
+    """Two rings and a part with a chord: every part keeps its walk when all have more arcs than one task takes."""
+    arcs = [(f"{r}{k}", f"{r}{(k + 1) % 5}") for r in "abc" for k in range(5)] + [("c0", "c3"), ("a0", "b0")]
+    paths = spark.createDataFrame([(n,) for n in sorted({x for a in arcs for x in a})], "path string")
+    edges = spark.createDataFrame([(*a, "link") for a in arcs], "src string, dst string, type string")
+    whole = [[f"{r}{k}" for k in (0, 1, 2, 3, 4, 0)] for r in "abc"]
+    assert g.cycles(paths, edges) == whole
+    for limit, last in ((5, ["c0", "c3", "c4", "c0"]), (4, ["c0", "c3", "c4", "c0"]), (6, whole[2])):
+        monkeypatch.setattr(g, "DRIVER_NODES", limit)
+        assert g.cycles(paths, edges) == [*whole[:2], last]
