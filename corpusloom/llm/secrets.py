@@ -5,8 +5,10 @@ it is scanned, then unwrapped: percent escapes and Unicode or character-referenc
 layer's text, a base64 run gives one of what it holds (after undoing gzip, zlib, bzip2 or zstd, as often as they nest).
 New layers join the worklist until none is new; a layer whose content was seen before is not taken again, which ends
 cycles. Each layer's characters map to the span of the document they came from, so a secret found at any depth is
-reported at its place in the document. A layer may have up to EXPANSION bytes, which stops decompression bombs: what
-lies beyond that in a bomb is not decoded, while the document's own text is always scanned whole.
+reported at its place in the document. Base64 broken into lines of one width is also read joined. All members of a
+compressed block are read as a stream; what it holds is scanned in overlapping windows, so memory is bounded, not coverage.
+Bounds that remain: one base64 run may inflate to BOMB bytes (all nested formats together), zstd windows to EXPANSION,
+formats nest 64 deep, and a run inside a layer of several windows may be cut if longer than EXPANSION characters.
 
 A null text is an empty one; overlapping and equal findings are reported once for each kind and place; rows are mapped
 one by one, so repeated rows and other columns do not matter; an empty table gives no row.
@@ -17,11 +19,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
 import re
+import string
 import zlib
 from collections import deque
+from itertools import chain
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
@@ -43,11 +48,17 @@ PATTERNS = [
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = [p[0] for p in PATTERNS]
 EXPANSION = 16 << 20
+#: What one base64 run may inflate to, in bytes.
+BOMB = 1 << 30
+#: Characters of a window, those it shares with the next at least, and bytes inflated at a time.
+WINDOW, OVERLAP, STEP = 4 << 20, 1 << 16, 1 << 20
 #: A text without a match of this holds no secret and nothing to unwrap.
 _ANY = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}"
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)+={0,2}")
+_RUN = string.ascii_letters + string.digits + "+/_-=%\\"
 
 
 class Finding(NamedTuple):
@@ -77,6 +88,7 @@ class Layer(NamedTuple):
     starts: np.ndarray | None  # place in the document of each character; None: the document itself
     ends: np.ndarray | None
     names: tuple[str, ...]
+    window: bool = False  # one of several that make up a layer
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
@@ -120,59 +132,149 @@ def _from_escape(run: str) -> str | None:
     return bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "replace")
 
 
-def _inflate(data: bytes) -> tuple[bytes, str] | None:
-    """What a compressed block holds (at most EXPANSION bytes) and the name of its format."""
+def _format(head: bytes) -> str | None:
+    if head[:2] == b"\x1f\x8b":
+        return "gzip"
+    if len(head) > 2 and head[0] & 0x8F == 0x08 and (head[0] << 8 | head[1]) % 31 == 0:
+        return "zlib"
+    return "bzip2" if head[:3] == b"BZh" else "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+class _Source:
+    """Chunks as a readable file."""
+
+    def __init__(self, chunks):
+        self.chunks, self.rest = iter(chunks), b""
+
+    def read(self, size: int = -1) -> bytes:
+        while not self.rest:
+            if (more := next(self.chunks, None)) is None:
+                return b""
+            self.rest = more
+        out, self.rest = (self.rest, b"") if size < 0 else (self.rest[:size], self.rest[size:])
+        return out
+
+
+def _member_chunks(name: str, source: _Source):
+    if name == "zstd":
+        import zstandard
+
+        with zstandard.ZstdDecompressor(max_window_size=EXPANSION).stream_reader(source, read_across_frames=True) as reader:
+            while data := reader.read(STEP):
+                yield data
+        return
+    rest = source.read(STEP)
+    while rest:
+        one = bz2.BZ2Decompressor() if name == "bzip2" else zlib.decompressobj(31 if name == "gzip" else 15)
+        while not one.eof:
+            if name == "bzip2":
+                out, rest, waits = one.decompress(rest, STEP), b"", one.needs_input
+            else:
+                out = one.decompress(rest, STEP)
+                rest, waits = one.unconsumed_tail, len(out) < STEP and not one.unconsumed_tail
+            if out:
+                yield out
+            if waits and not one.eof:
+                rest = source.read(STEP)
+                if not rest:
+                    return
+        rest = one.unused_data
+        while len(rest) < 4 and (more := source.read(STEP)):
+            rest += more
+        if _format(rest) != name:
+            return
+
+
+def _members(name: str, chunks, left: list[int], failed: list[bool]):
+    """What all members hold, until an error (noted in failed) or until nothing is left of the bound."""
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, EXPANSION), "gzip"
-        if len(data) > 2 and data[0] & 0x8F == 0x08 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, EXPANSION), "zlib"
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, EXPANSION), "bzip2"
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor(max_window_size=EXPANSION).stream_reader(data) as source:
-                return source.read(EXPANSION), "zstd"
+        for data in _member_chunks(name, _Source(chunks)):
+            if left[0] <= 0:
+                return
+            left[0] -= len(data)
+            yield data
     except (zlib.error, OSError, ValueError, EOFError):
-        return None
+        failed[0] = True
     except Exception as error:  # zstandard's own error class
         if type(error).__name__ != "ZstdError":
             raise
-    return None
+        failed[0] = True
+
 
+def _readable(text: str) -> bool:
+    """Whether a decoded text has hardly any control characters."""
+    plain = text.replace("\t", "").replace("\r", "").replace("\n", "")
+    return bool(text) and (plain.isprintable() or sum(not c.isprintable() for c in plain) <= len(text) // 20)
 
-def _readable(data: bytes) -> str | None:
-    """Decoded text if it is text: UTF-8 with hardly any control characters."""
+
+def _windows(chunks):
+    """(text, whether one of several) of a stream as far as it is UTF-8 text; a run at a window's end opens the next."""
+    decoder, held, fresh, several = codecs.getincrementaldecoder("utf-8")(), "", 0, False
     try:
-        text = data.decode("utf-8")
+        for data in chunks:
+            more = decoder.decode(data)
+            held, fresh = held + more, fresh + len(more)
+            if fresh >= WINDOW and 2 * fresh >= len(held):
+                several = True
+                if _readable(held):
+                    yield held, True
+                run = len(held) - len(held.rstrip(_RUN))
+                held, fresh = held[-max(OVERLAP, min(run, EXPANSION)) :], 0
+        held += decoder.decode(b"", True)
     except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and odd <= len(text) // 20 else None
+        if not several:
+            return
+    if (fresh or not several) and _readable(held):
+        yield held, several
+
+
+def _texts(source, names: tuple[str, ...], left: list[int]):
+    """(text, names, several) of what source() streams, below as many compressed formats as nest."""
+    name = _format(_Source(source()).read()[:4])
+    if name and len(names) <= 64:
+        failed = [False]
+        yield from _texts(lambda: _members(name, source(), left, failed), (*names, name), left)
+        if not failed[0]:
+            return
+    for text, several in _windows(source()):
+        yield text, names, several
+
+
+def _joined(text: str):
+    """(start, end, run) of base64 in lines of one width, of which the last may be shorter."""
+    for m in _LINES.finditer(text):
+        lines = [(x.start(), x.end(), x.group()) for x in re.finditer(r"[^\r\n]+", m.group())]
+        k = 0
+        while k < len(lines):
+            width, first = len(lines[k][2]), k
+            while k + 1 < len(lines) and len(lines[k + 1][2]) == width and "=" not in lines[k][2]:
+                k += 1
+            # A shorter line ends a block; a longer one opens another.
+            if k + 1 < len(lines) and len(lines[k + 1][2]) < width and "=" not in lines[k][2]:
+                k += 1
+            if k > first and width >= 16:
+                yield m.start() + lines[first][0], m.start() + lines[k][1], "".join(x[2] for x in lines[first : k + 1])
+            k += 1
 
 
 def _unwrapped(layer: Layer):
     """The layers directly below."""
     if "%" in layer.text and (below := _rewritten(layer, _PERCENT, _from_percent, "url")):
-        yield below
+        yield below._replace(window=layer.window)
     if ("\\" in layer.text or "&#" in layer.text) and (below := _rewritten(layer, _ESCAPE, _from_escape, "unicode")):
-        yield below
-    for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").translate({45: 43, 95: 47})
+        yield below._replace(window=layer.window)
+    for start, end, found in chain(((m.start(), m.end(), m.group()) for m in _BASE64.finditer(layer.text)), _joined(layer.text)):
+        run = found.rstrip("=").translate({45: 43, 95: 47})
         if len(run) % 4 == 1:
             continue
         try:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        names, seen = ["base64"], 0
-        while (more := _inflate(data)) and seen < 64:
-            data, seen = more[0], seen + 1
-            names.append(more[1])
-        if (text := _readable(data)) is not None:
-            a, b = layer.span(m.start(), m.end())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b), (*layer.names, *names))
+        a, b = layer.span(start, end)
+        pieces = lambda data=data: (data[k : k + STEP] for k in range(0, len(data), STEP))
+        for text, names, several in _texts(pieces, ("base64",), [BOMB]):
+            yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)), (*layer.names, *names), several)
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[Finding]]:
@@ -181,8 +283,8 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[Finding]]:
     found = {(s, r, e): Finding(s, r, e, "") for s, r, e in base}
     work = deque([Layer(text, None, None, ())])
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    while work:
-        layer = work.popleft()
+
+    def visit(layer: Layer) -> None:
         if layer.names:
             for start, rank, end in scan(layer.text):
                 a, b = layer.span(start, end)
@@ -191,9 +293,13 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[Finding]]:
             # A base64 run may recur elsewhere: the place belongs to what makes a layer new.
             place = below.span(0, len(below.text)) if below.text else (0, 0)
             key = hashlib.blake2b(f"{place}".encode() + below.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if key not in seen and len(below.text) <= EXPANSION:
+            if key not in seen:
                 seen.add(key)
-                work.append(below)
+                # Windows are not queued: one is held at a time.
+                visit(below) if below.window else work.append(below)
+
+    while work:
+        visit(work.popleft())
     return base, sorted(found.values())
 
 

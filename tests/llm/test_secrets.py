@@ -89,3 +89,14 @@ def test_redacted_documents_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, f"x {SECRET}", 5, "k"), (2, "plain", 5, "k")], "doc_id long, text string, n_chars long, findings string")
     rows = {r.doc_id: r for r in redact_documents(docs).collect()}
     assert rows[1].text == "x [secret]" and rows[1].n_chars == 10 and rows[2].text == "plain" and rows[2].n_chars == 5 and rows[1].findings == "k"
+
+
+def test_nothing_is_cut_from_layers():
+    pad = "ordinary words é " * 1_100_000  # more than 16 Mi characters and bytes
+    packed = base64.b64encode(gzip.compress(f"{pad} {SECRET}".encode(), 1)).decode()
+    assert layers(packed) == {(0, len(packed), "base64>gzip")}
+    members = base64.b64encode(gzip.compress(b"first ") + gzip.compress(SECRET.encode())).decode()
+    assert layers(members) == {(0, len(members), "base64>gzip")}
+    block = base64.encodebytes(zlib.compress(f"{bytes(range(256)).hex()} {SECRET}".encode())).decode().rstrip()
+    assert "\n" in block and (6, 6 + len(block), "base64>zlib") in layers(f"block\n{block}\n")
+    assert layers(f"{pad} password%3Dhunter2hunter2")
