@@ -1,17 +1,21 @@
 """Language identification by mixture inference.
 
 Model: for each language, character n-gram (1-3) probabilities over words padded with blanks, from a sample of labelled
-training rows of at most `per_language` expected per language (the bound on what is fitted). N-grams are hashed into
-2^16 cells, so a language takes 512 KB at most.
+training rows of at most `per_language` expected per language (the bound on what is fitted), for the `LANGUAGES`
+commonest labels (the bound on the model: n-grams are hashed into 2^16 cells, so a language takes 256 KB). The sample is
+counted by the tasks that read it and summed by language on the executors in two steps.
 
 Inference: each word of a document comes from one language, drawn with the document's own proportions. A word's
 likelihood under a language is that of its n-grams. Expectation-maximisation finds the proportions; then, languages in
 descending proportion, sets of one, two, ... languages are refitted, and the set with the highest likelihood less
-`penalty` * log(words) for each language beyond the first is selected. The prediction is the selected set's largest
+`penalty` * log(words) for each language beyond the first is selected; a document's sets stop growing when its own
+value no longer rises, so a result depends on the document alone. The prediction is the selected set's largest
 proportion, which is also the score.
 
-A null text or one without a letter is `und` with score 0; ties go to the language that sorts first; repeated rows and
-other columns do not matter; without any labelled row every prediction is `und`; an empty table gives no row.
+A null text or one without a letter is `und` with score 0; ties, of proportions and of labels' frequencies alike, go to
+the language that sorts first; of two sets with the same value the smaller one is selected; repeated rows and other
+columns do not matter; rows without doc_id are sampled by their text; without any labelled row every prediction is
+`und`; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Words, annotate, bounded_batches, mix, text_array
 
 CELLS = 1 << 16
-#: Expected number of training rows for each language.
-PER_LANGUAGE = 1500
+#: Expected number of training rows for each language, and the most languages that are learnt (the commonest labels).
+PER_LANGUAGE, LANGUAGES = 1500, 256
+#: Partial sums that a language's counts pass through.
+_FANOUT = 32
 
 
 def held_out(key: Column) -> Column:
@@ -57,15 +63,30 @@ def word_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """lang and text of a bounded sample of the rows that may be learnt from, chosen by a hash of doc_id."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return rows.select("lang", "text")
+    most = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, per_language / r["n"]) * (1 << 30)))])
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    return rows.where(F.pmod(place, F.lit(1 << 30)) < most[F.col("lang")]).select("lang", "text")
+
+
+def _sparse(lang: str, cells: np.ndarray) -> tuple[str, bytes, bytes]:
+    full = np.flatnonzero(cells)
+    return lang, full.astype("<i4").tobytes(), cells[full].astype("<i8").tobytes()
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """The sum of sparse counts of one language."""
+    total = np.zeros(CELLS, np.int64)
+    for places, counts in zip(group.column("cells").to_pylist(), group.column("counts").to_pylist(), strict=True):
+        total[np.frombuffer(places, "<i4")] += np.frombuffer(counts, "<i8")
+    lang, places, counts = _sparse(group.column("lang")[0].as_py(), total)
+    return pa.table({"lang": pa.array([lang], pa.string()), "cells": pa.array([places], pa.binary()), "counts": pa.array([counts], pa.binary())})
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability of each cell under each, by counting the sample on the executors."""
+    """Languages and the log probability of each cell under each; the driver gets one row for each language."""
     bounded_batches(docs.sparkSession)
 
     def count(batches):
@@ -82,12 +103,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
                 held.setdefault(lang, np.zeros(CELLS, np.int64))
                 held[lang] += np.bincount(cells, weights=np.repeat(often, np.diff(offsets)), minlength=CELLS).astype(np.int64)
         for lang, cells in held.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "cells": [cells.astype("<i8").tobytes()]})
+            name, places, counts = _sparse(lang, cells)
+            yield pa.RecordBatch.from_pydict({"lang": [name], "cells": [places], "counts": [counts]})
 
-    rows = training_rows(docs, per_language).coalesce(8).mapInArrow(count, "lang string, cells binary").collect()
+    schema = "lang string, cells binary, counts binary"
+    parts = training_rows(docs, per_language).mapInArrow(count, schema).withColumn("part", F.pmod(F.xxhash64("cells"), F.lit(_FANOUT)))
+    rows = parts.groupBy("lang", "part").applyInArrow(_added, schema).groupBy("lang").applyInArrow(_added, schema).collect()
     total: dict[str, np.ndarray] = {}
     for r in rows:
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(bytes(r["cells"]), "<i8")
+        total[r["lang"]] = np.zeros(CELLS, np.int64)
+        total[r["lang"]][np.frombuffer(bytes(r["cells"]), "<i4")] = np.frombuffer(bytes(r["counts"]), "<i8")
     langs = sorted(total)
     if not langs:
         return [], np.zeros((CELLS, 0))
@@ -114,35 +139,33 @@ def infer(words: Words, table: np.ndarray, penalty: float = 1.0, rounds: int = 1
     top = each.max(axis=1, keepdims=True)
     weight = np.exp(np.maximum(each - top, -60))
     full = np.flatnonzero(sizes)
-    starts = bounds[full]
     counts = sizes[full]
-    row = np.repeat(np.arange(len(full)), counts)
     flat = np.ascontiguousarray(weight[codes].T)  # languages x words
 
-    def climb(share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(steps + 1):
+    def climb(flat: np.ndarray, counts: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.cumsum(counts) - counts
+        row = np.repeat(np.arange(len(counts)), counts)
+        while True:
             joint = [flat[j] * share[row, j] for j in range(k)]
             total = np.maximum(sum(joint), 1e-300)
-            if steps:
-                new = np.stack([np.add.reduceat(x / total, starts - starts[0]) for x in joint], axis=1) / counts[:, None]
-                share = new
-                steps -= 1
-            else:
-                break
-        return share, np.add.reduceat(np.log(total), starts - starts[0])
-
-    share, _ = climb(np.full((len(full), k), 1 / k), rounds)
+            if not steps:
+                return share, np.add.reduceat(np.log(total), starts)
+            share = np.stack([np.add.reduceat(x / total, starts) for x in joint], axis=1) / counts[:, None]
+            steps -= 1
+
+    share, _ = climb(flat, counts, np.full((len(full), k), 1 / k), rounds)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
-    best, chosen = np.full(len(full), -np.inf), share
+    best, chosen = np.full(len(full), -np.inf), share.copy()
+    live, held = np.arange(len(full)), flat  # the texts whose set still grows, and their words
     for size in range(1, k + 1):
-        start = np.where(rank < size, np.maximum(share, 1e-6), 0)
+        start = np.where(rank[live] < size, np.maximum(share[live], 1e-6), 0)
         start /= start.sum(axis=1, keepdims=True)
-        fitted, likelihood = climb(start, 0 if size == 1 else 4)
-        value = likelihood - penalty * (size - 1) * np.log(np.maximum(counts, 2))
-        better = value > best
-        best = np.where(better, value, best)
-        chosen = np.where(better[:, None], fitted, chosen)
-        if size > 1 and not better.any():
+        fitted, likelihood = climb(held, counts[live], start, 0 if size == 1 else 4)
+        value = likelihood - penalty * (size - 1) * np.log(np.maximum(counts[live], 2))
+        better = value > best[live]
+        best[live[better]], chosen[live[better]] = value[better], fitted[better]
+        held, live = held[:, np.repeat(better, counts[live])], live[better]
+        if not len(live):
             break
     out[full] = chosen
     return out
@@ -156,7 +179,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     def run(_, texts: pa.Array) -> dict[str, pa.Array]:
         full = text_array(texts)
         letters = np.asarray(pc.match_substring_regex(full, r"\pL"))
-        share = np.concatenate([infer(Words(full.slice(k, 512)), sent.value) for k in range(0, len(full), 512)])
+        step = max(16, 4096 // max(len(langs), 8))  # texts at a time: what is held grows with the languages
+        share = np.concatenate([infer(Words(full.slice(k, step)), sent.value) for k in range(0, len(full), step)])
         best = share.argmax(axis=1) if langs else np.zeros(len(full), int)
         known = letters & bool(langs)
         pred = [langs[b] if ok else "und" for b, ok in zip(best, known, strict=True)]
