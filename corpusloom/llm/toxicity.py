@@ -1,30 +1,35 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words are classed: insult, threat, target (someone addressed), negation, reported speech, clause end, or other. Five
-small transducers read the class sequence, each with its own states and its own weight for an insult or a threat:
-
-  insult    emits the word's own weight for an insult
-  threat    emits its weight for a threat word only if a target comes within REACH words
-  target    multiplies by 1.5 what comes within REACH words of a target
-  negation  multiplies by 0.5 what comes within 2 words of a negation
-  reported  multiplies by 0.5 everything in a clause after a verb of reporting
-
-They are composed into one table over the product of their states; a clause's score is the sum of its products, and
-clauses, not isolated words, are what a document's score is made of: log(1 + sum), log(1 + number of scoring clauses)
-and log(1 + best clause) enter a logistic model.
-
-What is learnt (from labelled rows that are not held out, at most `sample` expected rows, near copies thinned by a
-minimum hash over words): insult words and word beginnings whose presence marks label 1, found by covering the toxic
-documents greedily, each with its log ratio as weight; and the logistic model. Seed lists (SEEDS) are fixed; a seed
-insult's weight is 2 unless learnt otherwise. Without labelled rows the seeds and default coefficients remain.
+Words are classed: insult, threat, target (someone addressed), negation, reported speech, or other; punctuation and line
+ends end clauses. Five small transducers are composed into one non-deterministic automaton over the product of their
+states. A path through it marks one word of the clause, and its weight is the product of what the five emit:
+
+  insult    marks an insult word and emits the word's own weight
+  threat    marks a threat word and emits its weight; the path lives on only if a target follows within REACH words
+  target    reads the marked words: a factor if a target stands within REACH words before or behind the mark (the
+            factor behind is emitted late, when the target is met)
+  negation  a factor if a negation stands within NEAR words before the mark
+  reported  a factor if a verb of reporting stands before the mark in the clause
+
+A clause's score is the sum of the weights of all accepting paths, by the forward algorithm; clauses, not isolated
+words, are what a document's score is made of: log(1 + sum), log(1 + number of scoring clauses) and log(1 + best
+clause) enter a logistic model.
+
+What is learnt (from labelled rows that are not held out, at most `sample` expected rows; rows that share LEAST
+SuperMinHash slots of their 3-word shingles, as near copies do, are thinned to one): insult words and word beginnings
+whose presence marks label 1, found by covering the toxic documents greedily, each with its log ratio as weight; the
+threat words' weights and the factors of target, negation and reported speech, as shrunk ratios of how often marks are
+in toxic documents; and the logistic model. Seed lists (SEEDS) are fixed; a seed insult's weight is 2 unless learnt
+otherwise. Without labelled rows the seeds and default factors and coefficients remain. What reaches the driver (counts
+of marks, marks of toxic documents, three features a row) is bounded by the sample.
 
 A null or empty text has no clause and gets the score of an empty one; repeated rows and other columns do not matter;
-an empty table gives no row.
+marks that tie go to whole words, then longer ones, then the greater; an empty table gives no row.
 """
 
 from __future__ import annotations
 
-import itertools
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,10 +38,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Words, annotate, bounded_batches, stable_hashes, text_array
+from corpusloom.llm.common import Words, annotate, bounded_batches, mix, text_array
+from corpusloom.llm.near_dedup import shingles, superminhash
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, END = range(7)
-REACH = 3
+#: Words within which a target, and a negation, counts.
+REACH, NEAR = 3, 2
 #: Seed words of each class, by class.
 SEEDS = {
     INSULT: "idiot idiots moron morons loser losers scum worthless pathetic stupid trash clown disgusting dumb filth vermin idiota imbécil estúpido basura asqueroso idiote imbécile ordure minable dégoûtant trottel dummkopf abschaum wertlos widerlich".split(),
@@ -48,60 +55,128 @@ SEEDS = {
 #: Rows expected in the sample that is learnt from.
 SAMPLE = 12_000
 STEMS = (4, 5, 6)
+#: Slots that near copies share, and how many marks weigh as much as the default of a factor or weight.
+LEAST, SHRINK = 4, 20
+#: Default factors of the context transducers.
+FACTORS = {"target": 1.5, "negation": 0.5, "reported": 0.5}
 
 
 def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def _component(states: int, step) -> list[list[tuple[int, float, bool]]]:
-    """A transducer as a table: state x class -> (next state, weight for an insult or threat read now)."""
-    return [[step(s, c) for c in range(7)] for s in range(states)]
-
-
-def composed() -> np.ndarray:
-    """Product automaton: [state, class] -> (next state, multiplier). State 0 is the start and every clause's start."""
-    target = _component(REACH + 1, lambda s, c: (0 if c == END else REACH if c == TARGET else max(s - 1, 0), 1.5 if s else 1.0))
-    negation = _component(3, lambda s, c: (0 if c == END else 2 if c == NEGATION else max(s - 1, 0), 0.5 if s else 1.0))
-    reported = _component(2, lambda s, c: (0 if c == END else 1 if c == REPORTED else s, 0.5 if s else 1.0))
-    parts = (target, negation, reported)
-    states = list(itertools.product(*[range(len(p)) for p in parts]))
-    number = {s: n for n, s in enumerate(states)}
-    table = np.zeros((len(states), 7, 2))
-    for s in states:
-        for c in range(7):
-            moves = [p[k][c] for p, k in zip(parts, s, strict=True)]
-            table[number[s], c] = number[tuple(m[0] for m in moves)], np.prod([m[1] for m in moves])
-    return table
+#: A transducer's arcs: (state, class, marked or not) -> [(next state, factor)]; no arc, no path. State 0 is the start.
+Transducer = dict[tuple, list[tuple]]
 
 
-TABLE = composed().tolist()
+def _arcs(step) -> Transducer:
+    """Follow step(state, class, marked) -> [(next state, factor)] from the start to all states that can be reached."""
+    table, known = {}, [("start",)]
+    for state in known:
+        for c in range(END):
+            for marked in (False, True):
+                if found := step(state, c, marked):
+                    table[state, c, marked] = found
+                    known += [t for t, _ in found if t not in known]
+    return table
 
 
-def clause_scores(classes: list[int], weights: list[float]) -> list[float]:
-    """Score of each clause that has an insult, or a threat with a target within reach."""
-    out, total, state = [], 0.0, 0
-    n = len(classes)
-    for i, c in enumerate(classes):
-        follow, factor = TABLE[state][c]
-        if c == INSULT:
-            total += factor * weights[i]
-            # A target may also follow.
-            if factor < 1.5 and TARGET in itertools.takewhile(lambda x: x != END, classes[i + 1 : i + 1 + REACH]):
-                total += 0.5 * factor * weights[i]
-        elif c == THREAT and (TARGET in itertools.takewhile(lambda x: x != END, classes[i + 1 : min(n, i + 1 + REACH)])):
-            total += factor * weights[i]
-        elif c == END and total:
-            out.append(total)
-            total = 0.0
-        state = int(follow)
-    return [*out, total] if total else out
+def insult_transducer() -> Transducer:
+    def step(state, c, marked):
+        if state == ("start",):
+            return [(("insult",), 1.0)] if marked and c == INSULT else [] if marked else [(state, 1.0)]
+        return [] if marked else [(state, 1.0)]
+
+    return _arcs(step)
+
+
+def threat_transducer() -> Transducer:
+    """A marked threat waits for a target: ("wait", k) has k words left."""
+
+    def step(state, c, marked):
+        if state == ("start",):
+            return [(("wait", REACH), 1.0)] if marked and c == THREAT else [] if marked else [(state, 1.0)]
+        if marked:
+            return []
+        if state[0] == "wait":
+            return [(("threat",), 1.0)] if c == TARGET else [(("wait", state[1] - 1), 1.0)] if state[1] > 1 else []
+        return [(state, 1.0)]
+
+    return _arcs(step)
+
+
+def _before(c: int, reach: int | None, factor: float, behind: int = 0) -> Transducer:
+    """A factor if class c stands within `reach` words (None: anywhere) before the mark or, emitted late, `behind` it."""
+
+    def step(state, k, marked):
+        left = state[1] if state[0] == "seen" else 0
+        if state[0] in ("start", "seen"):
+            if marked:
+                return [(("done",), factor)] if left else [(("ahead", behind), 1.0)] if behind else [(("done",), 1.0)]
+            if k == c:
+                return [(("seen", reach or 1), 1.0)]
+            left = left if reach is None else left - 1
+            return [(("seen", left) if left > 0 else ("start",), 1.0)]
+        if marked:
+            return []
+        if state[0] == "ahead":
+            return [(("done",), factor)] if k == c else [(("ahead", state[1] - 1) if state[1] > 1 else ("done",), 1.0)]
+        return [(state, 1.0)]
+
+    return _arcs(step)
+
+
+def compose(factors: dict[str, float]) -> tuple[list[list[list[tuple[int, float, bool]]]], list[bool]]:
+    """The five transducers as one: arcs[state][class] = [(next state, factor, whether the word is marked)], accepting."""
+    context = [_before(TARGET, REACH, factors["target"], REACH), _before(NEGATION, NEAR, factors["negation"]), _before(REPORTED, None, factors["reported"])]
+    marks = [insult_transducer(), threat_transducer()]
+    start = (("start",),) * 4
+    number, arcs, todo = {start: 0}, [], [start]
+    for state in todo:
+        rows = []
+        for c in range(END):
+            found: dict[tuple, float] = defaultdict(float)
+            for table in marks:  # insult or threat: whatever either can read
+                for marked in (False, True):
+                    steps = [table.get((state[0], c, marked), []), *[t.get((s, c, marked), []) for t, s in zip(context, state[1:], strict=True)]]
+                    for a, f in steps[0]:
+                        if all(steps[1:]):
+                            following = (a, *[x[0][0] for x in steps[1:]])
+                            # Both read an unmarked start alike: one path, not two.
+                            found[following, marked] = f * float(np.prod([x[0][1] for x in steps[1:]]))
+            for following, _ in found:
+                if following not in number:
+                    number[following] = len(number)
+                    todo.append(following)
+            rows.append([(number[t], f, marked) for (t, marked), f in found.items()])
+        arcs.append(rows)
+    return arcs, [s[0] in (("insult",), ("threat",)) for s in number]
+
+
+def clause_scores(classes: list[int], weights: list[float], automaton) -> list[float]:
+    """Sum of the weights of all accepting paths, for each clause that has any; weights: those of the words themselves."""
+    arcs, accepting = automaton
+    out, active = [], {0: 1.0}
+    for c, w in zip([*classes, END], [*weights, 0.0], strict=True):
+        if c == END:
+            if total := sum(v for s, v in active.items() if accepting[s]):
+                out.append(total)
+            active = {0: 1.0}
+            continue
+        moved: dict[int, float] = {}
+        for s, v in active.items():
+            for t, f, marked in arcs[s][c]:
+                moved[t] = moved.get(t, 0.0) + v * f * (w if marked else 1.0)
+        active = moved
+    return out
 
 
 @dataclass
 class Model:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    threats: dict[str, float] = field(default_factory=dict)
+    factors: dict[str, float] = field(default_factory=lambda: dict(FACTORS))
     #: Intercept and coefficients of the three clause features, for seeds alone.
     weights: tuple[float, ...] = (-3.5, 1.5, 1.0, 1.5)
 
@@ -116,36 +191,48 @@ class Model:
             return INSULT, weight, ends
         for c in (INSULT, THREAT, TARGET, NEGATION, REPORTED):
             if bare in _SEED_SETS[c]:
-                return c, 2.0, ends
+                return c, self.threats.get(bare, 2.0) if c == THREAT else 2.0, ends
         return OTHER, 0.0, ends
 
-    def features(self, texts: pa.Array) -> np.ndarray:
-        """texts x 3 clause features, for texts without nulls. Line ends also end clauses."""
-        marked = pc.replace_substring(texts, "\n", " \x00 ")
-        words = Words(marked)
+    def clauses(self, texts: pa.Array):
+        """(text's number, classes, weights) of each clause with an insult or a threat. Line ends also end clauses."""
+        words = Words(pc.replace_substring(texts, "\n", " \x00 "))
+        if not len(words.codes):
+            return
         found = [(END, 0.0, False) if w == "\x00" else self.classify(w) for w in words.unique.to_pylist()]
-        kind = np.array([f[0] for f in found] or [0])
-        weight = np.array([f[1] for f in found] or [0.0])
-        ends = np.array([f[2] for f in found] or [False])
-        codes, offsets = words.codes, words.offsets
-        hot = (kind == INSULT) | (kind == THREAT)
-        out = np.zeros((len(offsets) - 1, 3))
-        if not len(codes):
-            return out
-        hits = np.concatenate([[0], np.cumsum(hot[codes])])
-        for i in np.flatnonzero(hits[offsets[1:]] > hits[offsets[:-1]]):
-            mine = codes[offsets[i] : offsets[i + 1]]
-            classes, weights = [], []
-            for c, w, e in zip(kind[mine].tolist(), weight[mine].tolist(), ends[mine].tolist(), strict=True):
-                classes.append(c)
-                weights.append(w)
-                if e:
-                    classes.append(END)
-                    weights.append(0.0)
-            scores = clause_scores(classes, weights)
+        kind, weight, ends = (np.array(x) for x in zip(*found, strict=True))
+        kinds, last = kind[words.codes], ends[words.codes] | (kind[words.codes] == END)
+        last[words.offsets[1:][np.diff(words.offsets) > 0] - 1] = True
+        clause = np.cumsum(last) - last  # a clause ends with its last word
+        hot = np.unique(clause[(kinds == INSULT) | (kinds == THREAT)])
+        owner, stops = words.owner(), np.flatnonzero(last)
+        begins = np.concatenate([[0], stops[:-1] + 1])
+        for a, z in zip(begins[hot].tolist(), (stops[hot] + 1).tolist(), strict=True):
+            own = kinds[a:z].tolist()
+            if own[-1] == END:
+                own.pop()
+            yield owner[a], own, weight[words.codes[a : a + len(own)]].tolist()
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """texts x 3 clause features, for texts without nulls."""
+        automaton = compose(self.factors)
+        held: dict[int, list[float]] = defaultdict(list)
+        for i, classes, weights in self.clauses(texts):
+            held[i] += clause_scores(classes, weights, automaton)
+        out = np.zeros((len(texts), 3))
+        for i, scores in held.items():
             out[i] = np.log1p(sum(scores)), np.log1p(len(scores)), np.log1p(max(scores, default=0.0))
         return out
 
+    def contexts(self, texts: pa.Array) -> np.ndarray:
+        """texts x 4: marks that paths accept, and those that each context transducer would weigh."""
+        automata = [compose({k: 2.0 if k == name else 1.0 for k in FACTORS}) for name in (None, *FACTORS)]
+        out = np.zeros((len(texts), 4))
+        for i, classes, _ in self.clauses(texts):
+            out[i] += [sum(clause_scores(classes, [1.0] * len(classes), a)) for a in automata]
+        out[:, 1:] -= out[:, :1]
+        return out
+
     def score(self, features: np.ndarray) -> np.ndarray:
         z = self.weights[0] + features @ np.array(self.weights[1:])
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -182,17 +269,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def thinned(batches):
         for batch in batches:
             texts = text_array(batch.column(1))
-            words = Words(pc.ascii_lower(texts))
-            if not len(words.codes):
-                continue
-            hashes = stable_hashes(words.unique)[words.codes]
-            full = np.flatnonzero(words.counts)
-            least = np.minimum.reduceat(hashes, words.offsets[full])
-            take = pa.array(full)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take).cast(pa.int32()), texts.take(take), pa.array(least.view(np.int64))], ["toxic", "text", "least"])
+            elements, offsets = shingles(texts, 3)
+            slots = superminhash(elements, offsets, LEAST)
+            key = np.zeros(len(texts), np.uint64)
+            for k in range(LEAST):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + slots[:, k])
+            take = pa.array(np.flatnonzero(np.diff(offsets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take).cast(pa.int32()), texts.take(take), pa.array(key.view(np.int64)).take(take)], ["toxic", "text", "least"])
 
     rows = sample_rows(docs, labels, sample).mapInArrow(thinned, "toxic int, text string, least long")
-    # Near copies mostly share the least word hash: one row of each stands for them.
+    # Near copies mostly share the slots: one row of each stands for them.
     rows = Scratch(spark, "toxic").keep(rows.groupBy("least", "toxic").agg(F.min("text").alias("text")), "sample")
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     good, bad = totals.get(0, 0), totals.get(1, 0)
@@ -207,9 +293,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 marks = sorted(_marks(text))
                 yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array([toxic] * len(marks), pa.int32())], ["mark", "toxic"])
 
-    pure = rows.select("toxic", "text").mapInArrow(emit, "mark string, toxic int").groupBy("mark").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    pure = pure.where((F.col("bad") >= least) & (F.col("good") * bad <= F.col("bad") * good * 0.02))
-    counts = {r["mark"]: (r["bad"], r["good"]) for r in pure.orderBy(F.desc("bad"), "mark").limit(5000).collect()}
+    tally = rows.select("toxic", "text").mapInArrow(emit, "mark string, toxic int").groupBy("mark").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    seeds = [f"={w}" for w in SEEDS[THREAT]]
+    # At most 100 marks for each mark that a toxic row of the sample has: every one here stands in a hundredth of them.
+    listed = tally.where(((F.col("bad") >= least) & (F.col("good") * bad <= F.col("bad") * good * 0.02)) | F.col("mark").isin(seeds)).collect()
+    known = {r["mark"]: (r["bad"], r["good"]) for r in listed}
+    for mark in known.keys() & set(seeds):
+        b, g = known[mark]
+        ratio = np.log((b + 0.5) / (bad + 1)) - np.log((g + 0.5) / (good + 1))
+        model.threats[mark[1:]] = float(np.clip(2.0 + (b + g) / (b + g + SHRINK) * (ratio - 2.0), 0.1, 6.0))
+    counts = {m: (b, g) for m, (b, g) in known.items() if b >= least and g * bad <= b * good * 0.02}
 
     def hits(batches):
         for batch in batches:
@@ -223,6 +316,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         weight = float(np.clip(np.log((b + 0.5) / (bad + 1)) - np.log((g + 0.5) / (good + 1)), 0.5, 6.0))
         (model.words if mark[0] == "=" else model.stems)[mark[1:]] = weight
 
+    def weigh(batches):
+        for batch in batches:
+            x = model.contexts(text_array(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(4))], ["toxic", *names])
+
+    names = ["marks", *FACTORS]
+    sums = rows.select("toxic", "text").mapInArrow(weigh, ", ".join(["toxic int", *[f"{n} double" for n in names]])).groupBy("toxic").agg(*[F.sum(n).alias(n) for n in names]).collect()
+    model.factors = learnt_factors({r["toxic"]: [r[n] for n in names] for r in sums})
+
     def measure(batches):
         for batch in batches:
             x = model.features(text_array(batch.column(1)))
@@ -233,6 +335,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
+def learnt_factors(sums: dict[int, list[float]]) -> dict[str, float]:
+    """Factors from the sums of contexts() by label: odds that a mark in the context is in a toxic row, over those of other marks."""
+    good, bad = sums.get(0, [0.0] * 4), sums.get(1, [0.0] * 4)
+    out = {}
+    for k, (name, default) in enumerate(FACTORS.items(), 1):
+        inside, outside = np.log((bad[k] + 1) / (good[k] + 1)), np.log((bad[0] - bad[k] + 1) / (good[0] - good[k] + 1))
+        often = bad[k] + good[k]
+        out[name] = float(np.exp(np.clip(np.log(default) + often / (often + SHRINK) * (inside - outside - np.log(default)), np.log(0.2), np.log(4))))
+    return out
+
+
 def _cover(covers: list[list[str]], counts: dict[str, tuple[int, int]], least: int, times: int = 2) -> list[str]:
     """Greedily choose marks until every toxic document has `times` of them or no mark adds `least` documents."""
     holders: dict[str, list[int]] = {}
