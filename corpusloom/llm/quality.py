@@ -7,13 +7,20 @@ more than half of the words repeat.
 
 Method: the statistics become a vector (log words, log mean word length, log symbols per 100 words, log repeated-line
 share, log repeated-word share), rounded to 1/1024. For every (language, source) a minimum-covariance-determinant
-estimate is found over all rows that pass the base rules: from medians and quartile ranges, concentration steps take
-the h rows nearest by Mahalanobis distance and re-estimate mean and covariance from them, then one step reweights. A
-step is one aggregation by (group, distance bin) that carries counts and moments, so no group is gathered and a hot
-group costs no more than others; sums are of integers, so a result does not depend on the order of rows. The h-subset
-ends at the bin that reaches h. A floor is added to each variance, as most texts have no symbols or repeats at all.
-Groups under min_rows rows use their language's estimate, those of small languages the estimate of all rows; if even all
-are too few, the method rejects nothing. A row is rejected if its squared distance exceeds `cutoff`.
+estimate is found over all rows that pass the base rules, from three starts: medians with quartile ranges; mean and
+covariance of all rows; medians with the correlation of tanh-squashed deviations. Concentration steps take the h rows
+nearest by Mahalanobis distance and re-estimate mean and covariance from them, for each start until the determinant of
+the covariance falls no more (STEPS steps at most; the estimate of least determinant met counts); the start with the
+least determinant wins, and one step reweights. A step is one aggregation by (group, start, distance bin) that carries
+counts and moments, so no group is gathered and a hot group costs no more than others; sums are of integers, so a result
+does not depend on the order of rows. The h-subset ends at the bin (a sixteenth of an octave) that reaches h, and the
+covariance is made consistent for the share it has. A floor is added to each variance, as most texts have no symbols or
+repeats at all; determinants are those with the floor. Groups under min_rows rows use their language's estimate, those
+of small languages the estimate of all rows; if even all are too few, the method rejects nothing. A row is rejected if
+its squared distance exceeds `cutoff`. Ties: rows at one distance share a bin; of equal determinants the first start's.
+
+Estimates go to the rows by broadcast while there are at most SMALL of them (their number is counted), beyond that by a
+join in which every group is dealt to many tasks.
 
 Nulls: a null text has no words and fails the base rules; a null lang or source is a group of its own. Repeated rows
 count as often as they occur. An empty table gives no row. Other columns are carried, whatever their names.
@@ -23,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,13 +40,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, Words, annotate, sums, text_array
+from corpusloom.llm.common import Scratch, Words, annotate, shuffle_parts, sums, text_array
 
 SCALE = 1024
 DIMS = 5
 #: Standard deviations added in quadrature, by dimension.
 FLOORS = (0.5, 0.1, 0.7, 0.7, 0.7)
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
+#: Most concentration steps of a start; estimates that are broadcast (about 400 bytes each); tasks a group is dealt to beyond.
+STEPS, SMALL, SALTS = 20, 20_000, 64
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -114,9 +124,10 @@ def chi2_point(q: float, p: int) -> float:
     return high
 
 
+@lru_cache(maxsize=4096)
 def _consistency(share: float) -> float:
     """What a covariance of the nearest `share` of normal rows is to be multiplied by."""
-    return share / _chi2_below(chi2_point(share, DIMS), DIMS + 2)
+    return share / _chi2_below(chi2_point(share, DIMS), DIMS + 2) if share < 1 else 1.0
 
 
 def _levels(df: DataFrame) -> DataFrame:
@@ -130,25 +141,57 @@ def _levels(df: DataFrame) -> DataFrame:
 
 
 KEYS = ["level", "g_lang", "g_source"]
-FIT = "level int, g_lang string, g_source string, n long, mean array<double>, precision array<double>"
+FIT = "level int, g_lang string, g_source string, start int, n long, mean array<double>, precision array<double>, det double"
+MOMENTS = [f"s{k}" for k in range(DIMS)] + [f"q{i}{j}" for i, j in PAIRS]
 
 
-def _estimate(share: float, names: list[str]):
-    """A fit row from each row of counts and moments."""
-    factor = _consistency(share) if share < 1 else 1.0
+def _moments(of: list[Column], prefix: str = "") -> list[Column]:
+    return [F.sum(of[k]).alias(f"{prefix}s{k}") for k in range(DIMS)] + [F.sum(of[i] * of[j]).alias(f"{prefix}q{i}{j}") for i, j in PAIRS]
+
+
+def _spread(r, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the r.m rows that moments sum up."""
+    count = max(r.m, 1)
+    mean = np.array([getattr(r, f"{prefix}s{i}") for i in range(DIMS)], dtype=float) / count
+    cov = np.empty((DIMS, DIMS))
+    for i, j in PAIRS:
+        cov[i, j] = cov[j, i] = getattr(r, f"{prefix}q{i}{j}") / count - mean[i] * mean[j]
+    return mean / SCALE, cov / SCALE**2
+
+
+def _fit_row(r, start: int, mean: np.ndarray, cov: np.ndarray, det: float | None = None) -> tuple:
+    cov = cov + np.diag(np.square(FLOORS))
+    return (*[getattr(r, k) for k in KEYS], start, r.n, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1]) if det is None else det)
+
+
+def _fit_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[*KEYS, "start", "n", "mean", "precision", "det"]).astype({"level": "int32", "start": "int32"})
+
+
+def _starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Three first estimates of each group; their determinants do not count."""
+    for frame in frames:
+        out = []
+        for r in frame.itertuples(index=False):
+            middle, sd = np.array(r.mid, dtype=float), np.array(r.range, dtype=float) / 1.349
+            out.append(_fit_row(r, 0, middle, np.diag(sd**2), math.inf))
+            out.append(_fit_row(r, 1, *_spread(r), math.inf))
+            squashed = _spread(r, "u")[1]
+            scale = np.sqrt(np.maximum(np.diag(squashed), 1e-12))
+            out.append(_fit_row(r, 2, middle, np.clip(squashed / np.outer(scale, scale), -1, 1) * np.outer(sd, sd), math.inf))
+        yield _fit_frame(out)
+
+
+def _estimates(share: float | None):
+    """An estimate from each row of moments; share: of normal rows that they stand for (None: m of n)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                count = max(r.m, 1)
-                mean = np.array([getattr(r, f"s{i}") for i in range(DIMS)], dtype=float) / count
-                cov = np.empty((DIMS, DIMS))
-                for i, j in PAIRS:
-                    cov[i, j] = cov[j, i] = getattr(r, f"q{i}{j}") / count - mean[i] * mean[j]
-                cov = cov * factor / SCALE**2 + np.diag(np.square(FLOORS))
-                out.append((*[getattr(r, k) for k in KEYS], r.n, (mean / SCALE).tolist(), np.linalg.inv(cov).ravel().tolist()))
-            yield pd.DataFrame(out, columns=[*KEYS, "n", "mean", "precision"]).astype({"level": "int32"})
+                mean, cov = _spread(r)
+                out.append(_fit_row(r, r.start, mean, cov * _consistency(round(min(r.m / r.n, 1.0), 4) if share is None else share)))
+            yield _fit_frame(out)
 
     return run
 
@@ -161,55 +204,74 @@ def _distance() -> Column:
     return total
 
 
-def _same(a: str, b: str) -> Column:
-    return F.expr(f"{a} <=> {b}")
-
-
-def fit(stats: DataFrame, scratch: Scratch, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """Robust mean and precision for each group; stats: lang, source, z0..z4 of the rows to fit."""
-    rows = scratch.keep(_levels(stats), "levels")
-    # Start: median and quartile range of each dimension, from a histogram on a grid of 1/32.
+def _meet(rows: DataFrame, fits: DataFrame, on: list[str], how: str, many: int | None = None) -> DataFrame:
+    """rows with the columns of fits (a table of known size) whose `on` columns, nulls included, are alike."""
+    named = fits.select(*[F.col(k).alias(f"f_{k}") for k in on], *[c for c in fits.columns if c not in on])
+    same = F.lit(True)
+    for k in on:
+        same = same & F.expr(f"{k} <=> f_{k}")
+    lost = [f"f_{k}" for k in on]
+    if (named.count() if many is None else many) <= SMALL:
+        return rows.join(F.broadcast(named), same, how).drop(*lost)
+    # One group may hold any share of the rows: rows are dealt by their statistics, and each estimate goes to every share.
+    salts = max(SALTS, shuffle_parts(rows.sparkSession))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*[f"z{k}" for k in range(DIMS)]), F.lit(salts)).cast("int"))
+    spread = named.withColumn("f_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(spread, same & (F.col("salt") == F.col("f_salt")), how).drop("salt", "f_salt", *lost)
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """KEYS, n, mid and range: medians and quartile ranges of each group, from a histogram on a grid of 1/32."""
     grid = rows.select(*KEYS, F.posexplode(F.array(*[F.floor(F.col(f"z{k}") / 32) for k in range(DIMS)])).alias("dim", "bin")).groupBy(*KEYS, "dim", "bin").agg(F.count("*").alias("c"))
     order = W.partitionBy(*KEYS, "dim").orderBy("bin")
     ranked = grid.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(W.partitionBy(*KEYS, "dim")))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("n") * q, F.col("bin"))) / 32.0 + 1 / 64
-    start = ranked.groupBy(*KEYS, "dim").agg(F.max("n").alias("n"), at(0.5).alias("mid"), (at(0.75) - at(0.25)).alias("range"))
-    by_dim = F.array_sort(F.collect_list(F.struct("dim", "mid", "range")))
-    start = start.groupBy(*KEYS).agg(F.max("n").alias("n"), by_dim.alias("d"))
-    floors = F.array(*[F.lit(f * f) for f in FLOORS])
-    inverse = F.zip_with(F.col("d"), floors, lambda d, f: 1 / (F.pow(d["range"] / 1.349, F.lit(2.0)) + f))
-    cells = [F.col("inv")[i] if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)]
-    found = start.withColumn("inv", inverse).select(F.col("level").cast("int").alias("level"), "g_lang", "g_source", "n", F.transform("d", lambda d: d["mid"]).alias("mean"), F.array(*cells).alias("precision"))
-    found = scratch.keep(found, "fit0")
-    moments = [F.sum(F.col(f"z{k}")).alias(f"s{k}") for k in range(DIMS)] + [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i, j in PAIRS]
-    names = [f"s{k}" for k in range(DIMS)] + [f"q{i}{j}" for i, j in PAIRS]
-    for step in range(1, steps + 2):
-        last = step == steps + 1
-        f = found.select(*[F.col(k).alias(f"f_{k}") for k in KEYS], "mean", "precision")
-        joined = rows.join(f, (F.col("level") == F.col("f_level")) & _same("g_lang", "f_g_lang") & _same("g_source", "f_g_source"))
-        d2 = _distance()
-        # Quarter octaves; the reweighting step only asks whether a row lies within the 0.975 point.
-        binned = F.when(d2 <= chi2_point(0.975, DIMS), 0).otherwise(1) if last else F.least(F.greatest(F.floor(4 * F.log2(d2 + 1e-9)), F.lit(-16)), F.lit(47)).cast("int")
-        bins = joined.withColumn("bin", binned).groupBy(*KEYS, "bin").agg(F.count("*").alias("c"), *moments)
-        group = W.partitionBy(*KEYS)
-        bins = bins.withColumn("n", F.sum("c").over(group)).withColumn("before", F.sum("c").over(group.orderBy("bin")) - F.col("c"))
-        chosen = bins.where((F.col("bin") == 0) | (F.col("before") == 0)) if last else bins.where(F.col("before") < F.ceil(F.col("n") * share))
-        summed = chosen.groupBy(*KEYS).agg(F.max("n").alias("n"), F.sum("c").alias("m"), *[F.sum(x).alias(x) for x in names])
-        found = scratch.keep(summed.mapInPandas(_estimate(0.975 if last else share, names), FIT), f"fit{step}")
+    by_dim = ranked.groupBy(*KEYS, "dim").agg(F.max("n").alias("n"), at(0.5).alias("mid"), (at(0.75) - at(0.25)).alias("range"))
+    listed = F.array_sort(F.collect_list(F.struct("dim", "mid", "range")))
+    return by_dim.groupBy(*KEYS).agg(F.max("n").alias("n"), listed.alias("d")).select(F.col("level").cast("int").alias("level"), "g_lang", "g_source", "n", F.transform("d", lambda d: d["mid"]).alias("mid"), F.transform("d", lambda d: d["range"]).alias("range"))
+
+
+def fit(stats: DataFrame, scratch: Scratch, share: float = 0.75, steps: int = STEPS) -> DataFrame:
+    """Robust mean and precision for each group; stats: lang, source, z0..z4 of the rows to fit."""
+    rows = scratch.keep(_levels(stats), "levels")
+    first = scratch.keep(_first(rows), "first")
+    z = [F.col(f"z{k}") for k in range(DIMS)]
+    u = [F.round(F.tanh((z[k] / F.lit(float(SCALE)) - F.col("mid")[k]) / F.sqrt(F.pow(F.col("range")[k] / 1.349, F.lit(2.0)) + FLOORS[k] ** 2)) * SCALE).cast("long") for k in range(DIMS)]
+    summed = _meet(rows, first.drop("n"), KEYS, "inner").groupBy(*KEYS).agg(F.count("*").alias("m"), F.max("mid").alias("mid"), F.max("range").alias("range"), *_moments(z), *_moments(u, "u")).withColumn("n", F.col("m"))
+    found = scratch.keep(summed.mapInPandas(_starts, FIT).withColumn("done", F.lit(False)), "fit0")
+    group, start = W.partitionBy(*KEYS), W.partitionBy(*KEYS, "start")
+    for step in range(1, steps + 1):
+        joined = _meet(rows, found.where("not done").select(*KEYS, "start", "mean", "precision"), KEYS, "inner")
+        binned = F.least(F.greatest(F.floor(16 * F.log2(_distance() + 1e-9)), F.lit(-64)), F.lit(191)).cast("int")
+        bins = joined.withColumn("bin", binned).groupBy(*KEYS, "start", "bin").agg(F.count("*").alias("c"), *_moments(z))
+        bins = bins.withColumn("n", F.sum("c").over(start)).withColumn("before", F.sum("c").over(start.orderBy("bin")) - F.col("c")).where(F.col("before") < F.ceil(F.col("n") * share))
+        new = bins.groupBy(*KEYS, "start").agg(F.max("n").alias("n"), F.sum("c").alias("m"), *[F.sum(x).alias(x) for x in MOMENTS]).mapInPandas(_estimates(None), FIT)
+        new = new.select(*KEYS, "start", F.struct("mean", "precision", "det").alias("new"))
+        same = F.lit(True)
+        for k in [*KEYS, "start"]:
+            same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        better = F.coalesce(F.col("new.det") < F.col("det") - 1e-9, F.lit(False))
+        either = [F.when(better, F.col(f"new.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("mean", "precision", "det")]
+        found = scratch.keep(found.alias("a").join(new.alias("b"), same, "left").select(*[F.col(f"a.{k}").alias(k) for k in [*KEYS, "start", "n"]], *either, (~better).alias("done")), f"fit{step}")
         scratch.drop(f"fit{step - 1}")
-    return found
+        if found.where("not done").isEmpty():
+            break
+    best = found.groupBy(*KEYS).agg(F.min_by(F.struct("start", "mean", "precision"), F.struct("det", "start")).alias("b")).select(*KEYS, "b.*")
+    joined = _meet(rows, scratch.keep(best, "best"), KEYS, "inner")
+    # Reweighting only asks whether a row lies within the 0.975 point.
+    bins = joined.withColumn("bin", F.when(_distance() <= chi2_point(0.975, DIMS), 0).otherwise(1)).groupBy(*KEYS, "start", "bin").agg(F.count("*").alias("c"), *_moments(z))
+    bins = bins.withColumn("n", F.sum("c").over(group)).withColumn("least", F.min("bin").over(group)).where("bin = least")
+    out = scratch.keep(bins.groupBy(*KEYS, "start").agg(F.max("n").alias("n"), F.sum("c").alias("m"), *[F.sum(x).alias(x) for x in MOMENTS]).mapInPandas(_estimates(0.975), FIT), "fit")
+    scratch.drop("levels", "first", f"fit{step}", "best")
+    return out
 
 
 def judge(annotated: DataFrame, fits: DataFrame, cutoff: float, min_rows: int) -> DataFrame:
     """annotated (lang, source, statistics) with distance (null if base_failed or not judged) and kept."""
     df = annotated.select("*", *_vector())
-    for level, on in ((0, ("lang", "source")), (1, ("lang",)), (2, ())):
-        f = fits.where((F.col("level") == level) & (F.col("n") >= min_rows)).select(F.col("g_lang").alias("f_lang"), F.col("g_source").alias("f_source"), F.struct("mean", "precision").alias(f"f{level}"))
-        if on:
-            match = _same("lang", "f_lang") if len(on) == 1 else _same("lang", "f_lang") & _same("source", "f_source")
-            df = df.join(f, match, "left").drop("f_lang", "f_source")
-        else:  # at most one row
-            df = df.join(F.broadcast(f.select(f"f{level}")), F.lit(True), "left")
+    for level, on in ((0, ["lang", "source"]), (1, ["lang"]), (2, [])):
+        own = fits.where((F.col("level") == level) & (F.col("n") >= min_rows)).select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), F.struct("mean", "precision").alias(f"f{level}"))
+        df = _meet(df, own.select(*on, f"f{level}"), on, "left")
     df = df.withColumn("f", F.coalesce("f0", "f1", "f2")).withColumn("mean", F.col("f.mean")).withColumn("precision", F.col("f.precision"))
     df = df.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
