@@ -5,8 +5,10 @@ it is scanned, then unwrapped: percent escapes and Unicode or character-referenc
 layer's text, a base64 run gives one of what it holds (after undoing gzip, zlib, bzip2 or zstd, as often as they nest).
 New layers join the worklist until none is new; a layer whose content was seen before is not taken again, which ends
 cycles. Each layer's characters map to the span of the document they came from, so a secret found at any depth is
-reported at its place in the document. Base64 broken into lines of one width is also read joined. All members of a
-compressed block are read as a stream; what it holds is scanned in overlapping windows, so memory is bounded, not coverage.
+reported at its place in the document. Base64 broken into lines of one width is also read joined. A run that does not
+decode to text as a whole (other characters of the alphabet may stand before or behind what was encoded, as in
+`key/...` or `x-...`) is decoded at each of the four alignments, and what is readable or opens a compressed block in it
+is a layer that maps to its part of the run. All members of a compressed block are read as a stream; what it holds is scanned in overlapping windows, so memory is bounded, not coverage.
 Bounds that remain: one base64 run may inflate to BOMB bytes (all nested formats together), zstd windows to EXPANSION,
 formats nest 64 deep, and a run inside a layer of several windows may be cut if longer than EXPANSION characters.
 
@@ -17,7 +19,6 @@ one by one, so repeated rows and other columns do not matter; an empty table giv
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -57,6 +58,9 @@ _ANY = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[u
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Inside decoded bytes: text, and what may open a compressed block.
+_STRETCH = re.compile(rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){10,}")
+_OPENS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\x28\xb5\x2f\xfd")
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)+={0,2}")
 _RUN = string.ascii_letters + string.digits + "+/_-=%\\"
 
@@ -263,20 +267,45 @@ def _unwrapped(layer: Layer):
         yield below._replace(window=layer.window)
     if ("\\" in layer.text or "&#" in layer.text) and (below := _rewritten(layer, _ESCAPE, _from_escape, "unicode")):
         yield below._replace(window=layer.window)
-    for start, end, found in chain(((m.start(), m.end(), m.group()) for m in _BASE64.finditer(layer.text)), _joined(layer.text)):
+    runs = ((m.start(), m.end(), m.group(), True) for m in _BASE64.finditer(layer.text))
+    for start, end, found, straight in chain(runs, ((*x, False) for x in _joined(layer.text))):
         run = found.rstrip("=").translate({45: 43, 95: 47})
-        if len(run) % 4 == 1:
+        whole = False
+        if len(run) % 4 != 1:
+            a, b = layer.span(start, end)
+            for text, names, several in _texts(_chunked(_decoded(run)), ("base64",), [BOMB]):
+                whole = True
+                yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)), (*layer.names, *names), several)
+        if whole:
             continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        a, b = layer.span(start, end)
-        pieces = lambda data=data: (data[k : k + STEP] for k in range(0, len(data), STEP))
-        for text, names, several in _texts(pieces, ("base64",), [BOMB]):
+        for text, names, several, first, last in _aligned(run):
+            a, b = layer.span(start + first, start + min(last, len(run))) if straight else layer.span(start, end)
             yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)), (*layer.names, *names), several)
 
 
+def _decoded(run: str) -> bytes:
+    return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+
+
+def _chunked(data: bytes, begin: int = 0):
+    return lambda: (data[k : k + STEP] for k in range(begin, len(data), STEP))
+
+
+def _aligned(run: str):
+    """(text, names, several, first and last character of the run) of what is readable at any of the four alignments."""
+    for skip in range(min(4, len(run))):
+        part = run[skip:]
+        data = _decoded(part[:-1] if len(part) % 4 == 1 else part)
+        place = lambda at: skip + at // 3 * 4
+        for m in _STRETCH.finditer(data):
+            yield m.group().decode("utf-8", "replace"), ("base64",), False, place(m.start()), place(m.end() + 2)
+        for m in _OPENS.finditer(data):
+            if m.start() or skip:  # the block at the very start was read with the whole run
+                for text, names, several in _texts(_chunked(data, m.start()), ("base64",), [BOMB]):
+                    if len(names) > 1:
+                        yield text, names, several, place(m.start()), len(run)
+
+
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[Finding]]:
     """The matches in the text itself, and all findings with those of unwrapped layers."""
     base = scan(text)

@@ -100,3 +100,22 @@ def test_nothing_is_cut_from_layers():
     block = base64.encodebytes(zlib.compress(f"{bytes(range(256)).hex()} {SECRET}".encode())).decode().rstrip()
     assert "\n" in block and (6, 6 + len(block), "base64>zlib") in layers(f"block\n{block}\n")
     assert layers(f"{pad} password%3Dhunter2hunter2")
+
+
+def test_base64_at_any_alignment():
+    """What stands before or behind a block may belong to its alphabet; the place is that of the block's own characters."""
+    run = base64.b64encode(f"{SECRET} and more".encode()).decode().rstrip("=")
+    packed = base64.b64encode(gzip.compress(SECRET.encode(), mtime=0)).decode().rstrip("=")
+    for before in ("key/", "a/", "x-", "ab_", "q", ""):
+        for behind in ("", "/b", "-xyz"):
+            at = len(before)
+            found = layers(f"see {before}{run}{behind} end")
+            assert any(abs(a - 4 - at) <= 4 and names == "base64" for a, _, names in found), (before, behind)
+            assert any(names == "base64>gzip" for *_, names in layers(f"see {before}{packed}{behind} end")) or behind, (before, behind)
+    half = len(run) // 2 // 4 * 4
+    assert layers(f"{run[:half]}\n{run[half:]}\n")
+
+
+def test_long_runs_of_other_text_end():
+    assert layers("path/to/some-long_name/" * 40_000) == set()
+    assert layers("a" * 3_000_000) == set()
