@@ -6,22 +6,28 @@ are thereby negatively correlated, which lowers the variance of the estimate. St
 batch at once; a set stops as soon as all its slots are filled, because later ranks are larger, so long sets take one
 to five steps.
 
-Candidates. Documents with equal sets are one class (128-bit set hash, order-free). Classes sharing all slots of a band
-meet in a bucket; every member is tied to the bucket's least id, which gives clusters: the connected parts of the
-bucket graph. A pair with a similarity of at least 0.85 shares no band with probability below 10^-5.
-
-Verification. Within a cluster every pair is compared on its full shingle sets, except pairs that are connected
-already: a breadth-first search over the links visits each class once and compares it with those not reached so far. A
-cluster of up to CHUNK classes is one task's group. A larger one is dealt by hash into chunks of CHUNK / 2 to 4 * CHUNK
-and every pair of chunks is compared in a group of its own, so no task ever holds more than about 8 * CHUNK texts; a
-chunk pair gives a spanning forest of its links, never all pairs. The links of all chunk pairs join the same components as all
-links would. Nothing is capped.
-
-Components come from min-label propagation with pointer jumping over tables in the shared folder.
+Candidates. Rows with equal sets are one class (128-bit set hash, order-free), named by its place in the order of
+(least doc_id, set hash). Classes sharing all slots of a band meet in a bucket; every member is tied to the bucket's
+least one, which gives clusters: the connected parts of the bucket graph. A pair with a similarity of at least the
+threshold shares no band with probability below 10^-5.
+
+Verification, on full shingle sets. A cluster of up to CHUNK classes is one task's group, in which every pair is
+compared except those connected already: a breadth-first search over the links visits each class once and compares it
+with those not reached so far. In larger clusters only classes that share a bucket are compared, in two steps. First
+each class meets the least of its buckets' least classes. Then, of each bucket whose members are still in several
+components (buckets of equal members count once), the members outside its largest component are compared with each
+other and with those inside, in chunks of CHUNK; so a bucket of near copies that are linked already costs a pass, not its
+square, and no task holds more than 2 * CHUNK texts. A group gives a spanning forest of its links, never all pairs: they
+join the same components as all links would. Nothing is capped.
+
+Components come from contraction: each node points to its least neighbour, pointers are followed to their roots, and
+arcs between roots remain. At most 1000 keys can hold more than a thousandth of a table's rows each; in every join by a
+root those go by broadcast and the others by key, so a giant component is no task's burden. Tables lie in the shared
+folder.
 
 A document without words, or with a null text, has an empty set and is linked with nothing. Rows with the same doc_id
-each keep a row; rows without doc_id are treated as different documents whose id is null and never represent others.
-An empty table gives no row; other columns are not read.
+are judged by their own sets, each keeps a row; rows without doc_id are treated as different documents whose id is null
+and never represent others. Ties: the least doc_id represents. An empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Scratch, Words, bounded_batches, mix, stable_hashes, sums, text_array
 
 BANDS = 30
-#: Classes of one cluster that one group may hold.
+#: Classes of one cluster, and of each side in a large cluster's bucket, that one group may hold.
 CHUNK = 256
 
 
@@ -67,8 +73,10 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def superminhash(elements: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarray:
-    """sets x slots matrix of least ranks: step in the top byte, random fraction below (all ones for an empty set)."""
+    """sets x slots matrix of least ranks: step in the top 12 bits, random fraction below (all ones for an empty set)."""
     n = len(offsets) - 1
+    if slots > 1 << 12:
+        raise ValueError("a rank has 12 bits for its step")
     out = np.full((n, slots), np.iinfo(np.uint64).max, dtype=np.uint64)
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(n), sizes)
@@ -77,13 +85,13 @@ def superminhash(elements: np.ndarray, offsets: np.ndarray, slots: int) -> np.nd
         if not len(live):
             break
         random = mix(elements[live] + np.uint64((step + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        fraction = random >> np.uint64(8)
+        fraction = random >> np.uint64(12)
         # A second draw picks the partner of this step's swap among the slots from `step` on.
         partner = (step + ((mix(random ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)) * np.uint64(slots - step) >> np.uint64(32)).astype(np.int64)).astype(np.int16)
         slot = partner.astype(np.int64)
         for earlier in range(step - 1, -1, -1):  # undo the earlier swaps to see what stands there
             slot = np.where(slot == history[earlier], earlier, slot)
-        rank = np.uint64(step) << np.uint64(56) | fraction
+        rank = np.uint64(step) << np.uint64(52) | fraction
         cell = owner[live] * slots + slot
         order = np.argsort(cell, kind="stable")
         cell, rank = cell[order], rank[order]
@@ -112,14 +120,14 @@ def rows_per_band(percent: int, bands: int = BANDS, missed: float = 1e-5) -> int
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (the set's hash) and bands (array<long>) of each row."""
+    """doc_id, th (hash of the text), n_shingles, h1, h2 (the set's hash) and bands (array<long>) of each row."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
-                ids, texts = batch.column(0).slice(k, 1024), text_array(batch.column(1).slice(k, 1024))
-                elements, offsets = shingles(texts, size)
+                ids, th, texts = (c.slice(k, 1024) for c in batch.columns)
+                elements, offsets = shingles(text_array(texts), size)
                 signature = superminhash(elements, offsets, bands * rows).reshape(len(ids), bands, rows)
                 key = np.zeros((len(ids), bands), dtype=np.uint64)
                 for r in range(rows):
@@ -127,39 +135,61 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 h1, h2 = _set_hash(elements, offsets)
                 flat = pa.array(key.reshape(-1).view(np.int64))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), listed], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids, th, pa.array(np.diff(offsets)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), listed], ["doc_id", "th", "n_shingles", "h1", "h2", "bands"])
                 pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, h1 long, h2 long, bands array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, n: int) -> DataFrame:
+    """rows with `to`: what table (id, to) has for the key, or the key itself. n: rows of rows, a stored table."""
+    often = rows.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("c")).where(F.col("c") * 1000 > max(n, 1000)).select("id")
+    hot = often.join(table, "id", "left").select(F.col("id").alias("hot"), F.coalesce("to", "id").alias("to"))
+    warm = rows.join(F.broadcast(hot), rows[key] == F.col("hot")).drop("hot")
+    cold = rows.join(F.broadcast(often.withColumnRenamed("id", "hot")), rows[key] == F.col("hot"), "left_anti")
+    named = table.select(F.col("id").alias("asked"), F.col("to").alias("found"))
+    cold = cold.join(named, cold[key] == named["asked"], "left").withColumn("to", F.coalesce("found", F.col(key))).drop("asked", "found")
+    return warm.unionByName(cold)
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """id, label for every end of links (a, b): the least id of its connected part."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    arcs = scratch.keep(both.distinct(), f"{name}-arcs")
-    labels = scratch.keep(arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
-    step = 0
-    while True:
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    arcs = scratch.keep(down, f"{name}-arcs0")
+    ends = arcs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
+    labels, step = scratch.keep(ends, f"{name}-labels0"), 0
+    nodes = labels.count()
+    while not arcs.isEmpty():
         step += 1
-        near = arcs.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
-        # A root that learnt of a smaller label passes it on to all that point at it.
-        hook = met.where("new < label").groupBy(F.col("label").alias("root")).agg(F.min("new").alias("hook"))
-        moved = met.join(hook, met["label"] == hook["root"], "left").select("id", "label", F.least("new", F.coalesce("hook", "new")).alias("new"))
-        jump = moved.select(F.col("id").alias("root"), F.col("new").alias("up"))
-        jumped = moved.join(jump, moved["new"] == jump["root"], "left").select("id", F.col("label").alias("old"), F.least("new", F.coalesce("up", "new")).alias("label"))
-        kept = scratch.keep(jumped, f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
-        labels = kept.select("id", "label")
-        if kept.where("old <> label").isEmpty():
-            return labels
-
-
-def forest(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
+        # The least neighbour is below a node unless it is a local minimum, which has no arc downwards.
+        up = scratch.keep(arcs.groupBy("a").agg(F.min("b").alias("to")), f"{name}-up{step}-0")
+        n, hop = up.count(), 0
+        while True:
+            hop += 1
+            further = _looked_up(up.withColumnRenamed("to", "near"), "near", up.select(F.col("a").alias("id"), "to"), n)
+            jumped = scratch.keep(further.select("a", "near", "to"), f"{name}-up{step}-{hop}")
+            scratch.drop(f"{name}-up{step}-{hop - 1}")
+            up = jumped.select("a", "to")
+            if jumped.where("near <> to").isEmpty():
+                break
+        roots = up.select(F.col("a").alias("id"), "to")
+        labels = scratch.keep(_looked_up(labels, "label", roots, nodes).select("node", F.col("to").alias("label")), f"{name}-labels{step}")
+        moved = scratch.keep(arcs.join(up, "a", "left").select(F.coalesce("to", "a").alias("x"), "b"), f"{name}-moved{step}")
+        both = _looked_up(moved, "b", roots, moved.count()).where("x <> to").select(F.greatest("x", "to").alias("a"), F.least("x", "to").alias("b")).distinct()
+        arcs = scratch.keep(both, f"{name}-arcs{step}")
+        scratch.drop(f"{name}-arcs{step - 1}", f"{name}-labels{step - 1}", f"{name}-moved{step}", f"{name}-up{step}-{hop}")
+    return labels.withColumnRenamed("node", "id")
+
+
+def forest(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets (sorted arrays): pairs with 100 * |A & B| >= percent * |A | B|.
 
-    split: the first `split` sets are one chunk and the others another; only links between chunks matter then, as
-    each chunk is compared with itself elsewhere - but links inside may be given too, they are links all the same.
+    known: a component for each set; sets of one component are connected already and not compared.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -168,11 +198,12 @@ def forest(sets: list[np.ndarray], percent: int, split: int | None = None) -> li
     mark = np.zeros(len(vocabulary), dtype=np.int32)
     open_ = np.ones(n, dtype=bool)
     out: list[tuple[int, int]] = []
+    part = np.arange(n) if known is None else np.unique(np.array(known), return_inverse=True)[1]
     for seed in range(n):
         if not open_[seed]:
             continue
-        open_[seed] = False
-        work = [seed]
+        work = np.flatnonzero(part == part[seed]).tolist()
+        open_[work] = False
         while work:
             a = work.pop()
             rest = np.flatnonzero(open_ & (100 * np.minimum(sizes, sizes[a]) >= percent * np.maximum(sizes, sizes[a])))
@@ -186,65 +217,143 @@ def forest(sets: list[np.ndarray], percent: int, split: int | None = None) -> li
             common = np.add.reduceat(mark[codes[at]], ends - lengths)
             mark[mine] = 0
             linked = rest[100 * common >= percent * (sizes[a] + lengths - common)]
-            open_[linked] = False
-            out += [(a, int(b)) for b in linked]
-            work += linked.tolist()
+            for b in linked.tolist():
+                if open_[b]:  # else another of its component was reached by this set just now
+                    out.append((a, b))
+                    more = np.flatnonzero(part == part[b])
+                    open_[more] = False
+                    work += more.tolist()
     return out
 
 
-def _cluster_links(size: int, percent: int):
-    """Arrow batches of one group (members with their texts) -> links (a, b)."""
+def _group_links(size: int, percent: int):
+    """Arrow batches of one group (id, text, part) -> links (a, b)."""
 
     def run(group: pa.Table) -> pa.Table:
-        elements, offsets = shingles(text_array(group.column("text")), size)
         ids = group.column("id").to_pylist()
-        pairs = forest([elements[offsets[k] : offsets[k + 1]] for k in range(len(ids))], percent) if len(ids) > 1 else []
+        if len(ids) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        elements, offsets = shingles(text_array(group.column("text")), size)
+        pairs = forest([elements[offsets[k] : offsets[k + 1]] for k in range(len(ids))], percent, group.column("part").to_pylist())
         return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.int64()), "b": pa.array([ids[j] for _, j in pairs], pa.int64())})
 
     return run
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
-    """Links (a, b) among the classes of each cluster; clusters: id, label."""
-    # Only clusters that need chunks are listed, one row for CHUNK classes at most; being a table, its size is known
-    # when the join is planned, so a small one is sent to the members and a hot label is never dealt to one task.
-    large = clusters.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK)
-    large = scratch.keep(large.select("label", F.ceil(F.col("members") / F.least(F.lit(4 * CHUNK), F.greatest(F.lit(CHUNK // 2), F.col("members") / 64))).cast("int").alias("parts")), "large")
-    placed = clusters.join(large, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # A member of chunk c goes to the pairs (c, d) and (d, c) of every other chunk; a lone chunk meets itself.
-    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda d: F.struct(F.least(d, F.col("chunk")).alias("low"), F.greatest(d, F.col("chunk")).alias("high")))
-    met = placed.select("id", "label", "parts", F.explode(other).alias("pair")).where((F.col("parts") == 1) | (F.col("pair.low") != F.col("pair.high")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    # A class is named by its least doc_id; should that id have several rows, those of the same set are all alike.
-    wanted = texts.join(clusters.select("id"), "id", "left_semi")
-    return met.join(wanted, "id").select("label", "pair", "id", "text").groupBy("label", "pair").applyInArrow(_cluster_links(size, percent), "a long, b long")
+def _star_links(size: int, percent: int):
+    """One group (id, text, hub) -> links of the hub with those of the others that are near it."""
 
+    def run(group: pa.Table) -> pa.Table:
+        ids, hub = group.column("id").to_pylist(), group.column("hub")[0].as_py()
+        elements, offsets = shingles(text_array(group.column("text")), size)
+        at = ids.index(hub)
+        core = elements[offsets[at] : offsets[at + 1]]
+        common = sums(np.isin(elements, core).astype(np.int64), offsets)
+        near = np.flatnonzero(100 * common >= percent * (len(core) + np.diff(offsets) - common))
+        found = [ids[k] for k in near.tolist() if k != at]
+        return pa.table({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable, itself included) and kept for each row."""
+    return run
+
+
+def _text_of(classes: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the classes in ids; rows that repeat a class's row are combined before they are dealt."""
+    wanted = classes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "th")
+    return _texts(docs).join(wanted, ["doc_id", "th"]).groupBy("id").agg(F.min("text").alias("text"))
+
+
+def _large_links(texts: DataFrame, slots: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """Links among the classes of large clusters; slots: id, band, key of buckets with several members."""
+    hubs = slots.groupBy("band", "key").agg(F.min("id").alias("hub"))
+    own = scratch.keep(slots.join(hubs, ["band", "key"]).groupBy("id").agg(F.min("hub").alias("hub")), "own")
+    # A hub goes to every share of its members; own has a row for the hub itself.
+    often = scratch.keep(own.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")), "hubs")
+    members = own.where("id <> hub").join(often, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("share"))
+    everyone = members.unionByName(often.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("share")))
+    first = scratch.keep(everyone.join(texts, "id").select("hub", "share", "id", "text").groupBy("hub", "share").applyInArrow(_star_links(size, percent), "a long, b long"), "first")
+    part = components(first, scratch, "first")
+    placed = scratch.keep(slots.join(part, "id", "left").select("id", "band", "key", F.coalesce("label", "id").alias("part")), "placed")
+    sides = placed.groupBy("band", "key", "part").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("y"))
+    buckets = sides.groupBy("band", "key").agg(F.max_by("part", F.struct("c", F.negative("part"))).alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("n"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")).where("n > in_main")
+    ways = lambda c: F.greatest(F.ceil(c / CHUNK), F.lit(1)).cast("int")
+    # Buckets of equal members count once.
+    once = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key", "main", "in_main")).alias("b")).select("b.*", ways(F.col("in_main")).alias("inner"), ways(F.col("n") - F.col("in_main")).alias("outer"))
+    once = scratch.keep(once, "open")
+    met = placed.join(once, ["band", "key"]).withColumn("inside", F.col("part") == F.col("main"))
+    met = met.withColumn("at", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    # Groups are (o, x): a share o of those outside with a share x of those inside, or, from `inner` on, of those outside.
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    of_inside = F.transform(every(F.col("outer")), lambda o: F.struct(o.alias("o"), F.col("at").alias("x")))
+    with_inside = F.transform(every(F.col("inner")), lambda x: F.struct(F.col("at").alias("o"), x.alias("x")))
+    outside = F.transform(every(F.col("outer")), lambda o: F.struct(F.least(o, F.col("at")).alias("o"), (F.col("inner") + F.greatest(o, F.col("at"))).alias("x")))
+    # A lone share of those outside meets itself in the groups with those inside.
+    outside = F.when(F.col("outer") == 1, F.array().cast("array<struct<o:int,x:int>>")).otherwise(outside)
+    groups = met.select("id", "part", "band", "key", F.explode(F.when(F.col("inside"), of_inside).otherwise(F.concat(with_inside, outside))).alias("g"))
+    second = groups.join(texts, "id").select("band", "key", "g", "id", "part", "text").groupBy("band", "key", "g").applyInArrow(_group_links(size, percent), "a long, b long")
+    out = first.unionByName(scratch.keep(second, "second"))
+    scratch.drop("own", "hubs", "placed", "open")
+    return out
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, slots: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """Links (a, b) among the classes of each cluster (id, label); slots: id, band, key of buckets with several members."""
+    texts = _text_of(classes, docs, clusters)
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("members"))
+    # Of n clustered classes at most n / CHUNK labels are large; they are few and never dealt to one task each.
+    large = scratch.keep(sizes.where(F.col("members") > CHUNK).select("label", F.lit(True).alias("large")), "large")
+    marked = scratch.keep(_looked_up(clusters, "label", large.select(F.col("label").alias("id"), F.lit(-1).cast("long").alias("to")), clusters.count()), "marked")
+    small = marked.where("to >= 0").select("label", "id").join(texts, "id").select("label", "id", "text", F.col("id").alias("part")).groupBy("label").applyInArrow(_group_links(size, percent), "a long, b long")
+    if large.isEmpty():
+        return small
+    rest = scratch.keep(marked.where("to < 0").select("id"), "rest")
+    kept = scratch.keep(texts.join(rest, "id", "left_semi"), "texts")
+    return small.unionByName(_large_links(kept, slots.join(rest, "id", "left_semi"), scratch, size, percent))
+
+
+def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, th, n_shingles, component_id and kept for each row."""
     scratch = Scratch(docs.sparkSession, "near")
     known = scratch.keep(sketches(docs, size, BANDS, rows_per_band(percent)), "sketches")
     linked = known.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = scratch.keep(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
+    # Sorted by the least doc_id, classes get rising numbers: the least class of a component has the least doc_id.
+    classes = linked.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("bands").alias("bands")).select("h1", "h2", "r.doc_id", "r.th", "bands")
+    classes = scratch.keep(classes.orderBy("doc_id", "h1", "h2").withColumn("id", F.monotonically_increasing_id()), "classes")
     slots = classes.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = slots.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    ties = slots.join(buckets, ["band", "key"]).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    shared = scratch.keep(slots.join(buckets, ["band", "key"]), "slots")
+    ties = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(ties, scratch, "clusters")
-    links = scratch.keep(verified_links(docs, clusters, scratch, size, percent), "links")
-    labels = components(links, scratch, "labels")
-    named = classes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"))
-    found = known.join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
+    links = scratch.keep(verified_links(docs, classes, clusters, shared.drop("hub"), scratch, size, percent), "links")
+    labels = scratch.keep(components(links, scratch, "labels"), "found")
+    # A label is a class: its doc_id names the component.
+    names = classes.select(F.col("id"), F.col("doc_id").alias("to"))
+    named = _looked_up(labels, "label", names, labels.count()).select("id", F.col("to").alias("root"))
+    named = scratch.keep(classes.select("h1", "h2", "id", "doc_id").join(named, "id", "left").select("h1", "h2", F.coalesce("root", "doc_id").alias("root")), "named")
+    scratch.drop("slots", "links", "found", "large", "marked", "rest", "texts", "first", "second")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    found = known.drop("bands").join(named, ["h1", "h2"], "left").select("doc_id", "th", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable, itself included) and kept for each row."""
+    return _judged(docs, size, percent).drop("th")
+
+
 def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicates (that of the least doc_id; one of its rows if it has several), whole."""
-    found = Scratch(docs.sparkSession, "near").keep(near_duplicates(docs, size, percent).select("doc_id", "kept"), "found")
+    """One row of each group of near-duplicates, whole: that of the least doc_id, of its rows one of the least text hash."""
+    found = Scratch(docs.sparkSession, "near").keep(_judged(docs, size, percent), "found")
+    grouped = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    rows = grouped.groupBy("doc_id", "th").agg(F.count("*").alias("c"), F.min("component_id").alias("component_id"), F.min("kept").alias("kept"))
+    first = rows.where("kept").groupBy("doc_id").agg(F.min("th").alias("first"))
+    judged = rows.join(first, "doc_id", "left").select("doc_id", "th", "c", F.coalesce(F.col("kept") & (F.col("th") == F.col("first")), F.lit(False)).alias("stays"))
+    names = [F.col(f"d.`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    lost = judged.where(~F.col("stays")).select(F.col("doc_id").alias("id"), "th")
     # What is dropped grows with the corpus: the join is by key at every size, so its cost stays in proportion.
-    left = docs.join(found.where(~F.col("kept")).select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    left = keyed.join(lost.hint("merge"), ["id", "th"], "left_anti")
+    repeated = judged.where("stays and c > 1").select(F.col("doc_id").alias("id"), "th")
     if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+        return left.select(*names)
+    once = left.join(repeated, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("d").alias("d"))
+    return left.join(repeated, ["id", "th"], "left_anti").select(*names).unionByName(once.select(*names))
