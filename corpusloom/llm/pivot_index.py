@@ -7,10 +7,15 @@ the annulus's pivot, the triangle inequality bounds the distance to any member f
 the annulus, hence the inner product from above by (|q|^2 + max|v|^2 - g^2) / 2.
 
 Search. When an annulus is cut, the queries among its own members get a first threshold: their k-th best score in it.
-Then each task takes its annuli and streams the query blocks from the shared folder: for a block, annuli are expanded
-outwards from the nearest bound, queries whose bound is below their threshold leave, and thresholds rise as scores come
-in. A task hands on at most k rows for a query, none below the query's first threshold; the best k of all are the
-result. Pivots are fitted on at most SAMPLE vectors (farthest-first); which pivots there are affects speed, not results.
+Annuli that lie side by side at one pivot form a group of at most GROUP vectors (more, if there would be more than
+HEADS groups, so that their heads - pivot, distances, norm - have a bounded size and are broadcast). A query goes only to
+groups whose bound reaches its threshold, in blocks of about BLOCK queries; each group meets each block that has queries
+for it in one task, where annuli are expanded outwards from the best bound, queries whose bound is below their threshold
+leave, and thresholds rise as scores come in. A task hands on at most k rows for a query, none below its first
+threshold; the best k of all are the result. The number of pivots grows with the square root of the number of vectors;
+they are fitted on at most SAMPLE vectors (farthest-first), and which pivots there are affects speed, not results.
+
+Scores are exact integers as long as they stay below 2^53 (for 1024 components, each below 2.9 million after scaling).
 
 Vectors that are null or hold a null or non-finite component, and rows without vec_id, take no part; shorter vectors
 count as filled up with zeros; rows with the query's vec_id are not its candidates; equal scores go to the smaller
@@ -24,17 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.dataset as pads
-from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, bounded_batches, shuffle_parts
 
-PIVOTS = 48
+#: Least and most pivots.
+PIVOTS = (16, 512)
 SAMPLE = 4096
 ANNULUS = 512
+GROUP, HEADS, BLOCK = 1 << 15, 1 << 17, 1 << 13
+#: Queries of a block that are scored at a time.
 QUERY_BLOCK = 1024
 
 
@@ -81,8 +88,11 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _cut(dims: int, k: int, every: int):
-    """Sorted rows (pivot, distance, vec_id, q) -> annulus rows, and a row for each query with its first threshold."""
+INDEX = "group long, pivot int, low double, high double, norm double, ids binary, x binary, asked binary, floors binary, q binary"
+
+
+def _cut(dims: int, k: int, every: int, most: int):
+    """Sorted rows (pivot, distance, vec_id, q) -> annulus rows with first thresholds of their queries; most: annuli in a group."""
 
     def annulus(rows: pa.Table) -> pa.RecordBatch:
         ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("q").combine_chunks(), dims)
@@ -94,9 +104,19 @@ def _cut(dims: int, k: int, every: int):
             other = np.flatnonzero(ids != ids[i])
             if len(other) >= k:
                 floor[n] = np.partition(scores[n][other], len(other) - k)[len(other) - k]
-        head = {"pivot": pa.array([rows.column("pivot")[0].as_py()], pa.int32()), "low": [distance.min()], "high": [distance.max()], "norm": [(x * x).sum(axis=1).max()]}
+        head = {"group": pa.array([number(pivot := rows.column("pivot")[0].as_py())]), "pivot": pa.array([pivot], pa.int32()), "low": [distance.min()], "high": [distance.max()], "norm": [(x * x).sum(axis=1).max()]}
         return pa.RecordBatch.from_pydict(head | {"ids": [ids.astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()], "asked": [ids[asked].astype("<i8").tobytes()], "floors": [floor.astype("<f8").tobytes()], "q": [x[asked].astype("<f8").tobytes()]})
 
+    at_pivot, made = [-1, 0, -1], [0]
+
+    def number(pivot: int) -> int:
+        """Of the group that takes the next annulus."""
+        if at_pivot[0] != pivot or at_pivot[1] == most:
+            at_pivot[:] = [pivot, 0, TaskContext.get().partitionId() << 32 | made[0]]
+            made[0] += 1
+        at_pivot[1] += 1
+        return at_pivot[2]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
@@ -119,25 +139,40 @@ def _cut(dims: int, k: int, every: int):
     return run
 
 
-def _search(path: str, dims: int, k: int, pivots: np.ndarray):
-    """Annuli of one partition against all query blocks -> (query_id, vec_id, score)."""
+def _route(heads: pa.Table, pivots: np.ndarray, dims: int):
+    """Annulus rows -> (group, query_id, floor, q): their queries, for each group that their threshold does not exclude."""
+    pivot, low, high, norm = (heads.column(c).to_numpy() for c in ("pivot", "low", "high", "norm"))
+    groups = heads.column("group").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = pafs.FileSystem.from_uri(path)
-        for batch in batches:  # bounded by the bytes of an Arrow batch
-            if not batch.num_rows:
-                continue
-            heads = [np.asarray(batch.column(batch.schema.get_field_index(c)), dtype=float) for c in ("pivot", "low", "high", "norm")]
-            ids = [np.frombuffer(b.as_buffer(), "<i8") for b in batch.column(batch.schema.get_field_index("ids"))]
-            x = [np.frombuffer(b.as_buffer(), "<f8").reshape(-1, dims) for b in batch.column(batch.schema.get_field_index("x"))]
-            for block in pads.dataset(folder, filesystem=system, format="parquet").to_batches(columns=["asked", "floors", "q"], batch_size=64):
-                asked = np.frombuffer(b"".join(block.column(0).to_pylist()), "<i8")
-                floors = np.frombuffer(b"".join(block.column(1).to_pylist()), "<f8")
-                q = np.frombuffer(b"".join(block.column(2).to_pylist()), "<f8").reshape(-1, dims)
-                for at in range(0, len(asked), QUERY_BLOCK):
-                    out = _expand(asked[at : at + QUERY_BLOCK], q[at : at + QUERY_BLOCK], floors[at : at + QUERY_BLOCK], heads, ids, x, k, pivots)
-                    if len(out[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["query_id", "vec_id", "score"])
+        for batch in batches:
+            for ids, floors, data in zip(*(batch.column(c).to_pylist() for c in ("asked", "floors", "q")), strict=True):
+                asked, floor, q = np.frombuffer(ids, "<i8"), np.frombuffer(floors, "<f8"), np.frombuffer(data, "<f8").reshape(-1, dims)
+                near = _distances(q, pivots)
+                for n in range(len(asked)):
+                    r = near[n][pivot]
+                    gap = np.maximum(np.maximum(low - r, r - high) - 1e-6, 0)
+                    live = np.flatnonzero((q[n] @ q[n] + norm - gap * gap) / 2 + 1e-6 >= floor[n])
+                    size = len(live)
+                    yield pa.RecordBatch.from_arrays([pa.array(groups[live]), pa.array(np.full(size, asked[n])), pa.array(np.full(size, floor[n])), pa.array([q[n].astype("<f8").tobytes()] * size, pa.binary())], ["group", "query_id", "floor", "q"])
+
+    return run
+
+
+def _search(dims: int, k: int, pivots: np.ndarray):
+    """A group's annuli and a block's queries for it -> (query_id, vec_id, score)."""
+
+    def run(annuli: pa.Table, queries: pa.Table) -> pa.Table:
+        none = pa.table([pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
+        if not annuli.num_rows or not queries.num_rows:
+            return none
+        heads = [annuli.column(c).to_numpy().astype(float) for c in ("pivot", "low", "high", "norm")]
+        ids = [np.frombuffer(b, "<i8") for b in annuli.column("ids").to_pylist()]
+        x = [np.frombuffer(b, "<f8").reshape(-1, dims) for b in annuli.column("x").to_pylist()]
+        asked, floors = queries.column("query_id").to_numpy(), queries.column("floor").to_numpy()
+        q = np.frombuffer(b"".join(queries.column("q").to_pylist()), "<f8").reshape(-1, dims)
+        parts = [_expand(asked[at : at + QUERY_BLOCK], q[at : at + QUERY_BLOCK], floors[at : at + QUERY_BLOCK], heads, ids, x, k, pivots) for at in range(0, len(asked), QUERY_BLOCK)]
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -178,7 +213,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     dims = max(int(size["d"] or 1), 1)
     share = min(1.0, SAMPLE / max(size["n"], 1))
     sample = clean.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE).select("q").toArrow()
-    pivots = farthest_first(_matrix(sample.column("q").combine_chunks(), dims), PIVOTS)
+    least, most = PIVOTS
+    pivots = farthest_first(_matrix(sample.column("q").combine_chunks(), dims), int(np.clip(np.sqrt(size["n"]) / 8, least, most)))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +225,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     keyed = clean.mapInArrow(key, "pivot int, distance double, vec_id long, q array<double>")
     parts = max(1, min(shuffle_parts(spark), -(-size["n"] // (4 * ANNULUS))))
     ordered = keyed.repartitionByRange(parts, "pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id")
-    annuli = ordered.mapInArrow(_cut(dims, k, every), "pivot int, low double, high double, norm double, ids binary, x binary, asked binary, floors binary, q binary")
-    index = scratch.keep(annuli, "index")
-    found = index.select("pivot", "low", "high", "norm", "ids", "x").mapInArrow(_search(scratch.path("index"), dims, k, pivots), "query_id long, vec_id long, score long")
+    together = max(GROUP, -(-size["n"] // HEADS)) // ANNULUS
+    index = scratch.keep(ordered.mapInArrow(_cut(dims, k, every, together), INDEX), "index")
+    heads = index.groupBy("group").agg(F.first("pivot").alias("pivot"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm")).toArrow()
+    # Queries are dealt into blocks of a bounded expected size; a group's annuli go to each block.
+    asked = index.agg(F.coalesce(F.sum(F.length("asked")), F.lit(0)).alias("bytes")).first()["bytes"] // 8
+    blocks = -(-asked // BLOCK) or 1
+    queries = index.select("asked", "floors", "q").where(F.length("asked") > 0).mapInArrow(_route(heads, pivots, dims), "group long, query_id long, floor double, q binary").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    annuli = index.select("group", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "pivot", "low", "high", "norm", "ids", "x")
+    found = annuli.groupBy("group", "block").cogroup(queries.groupBy("group", "block")).applyInArrow(_search(dims, k, pivots), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -48,3 +48,22 @@ def test_large_annuli_are_skipped():
     heads = [np.array([0.0]), np.array([1400.0]), np.array([1420.0]), np.array([0.0])]
     out = pivot_index._expand(np.array([0]), np.array([[1.0, 1.0]]), np.array([5.0]), heads, [np.arange(1, 11)], [x], 5, np.zeros((1, 2)))
     assert len(out[0]) == 0
+
+
+def test_many_groups_blocks_and_clashing_columns(spark, monkeypatch):
+    """Small groups and blocks, clustered vectors so that bounds exclude some, columns named like the index's own."""
+    for name, value in (("ANNULUS", 16), ("GROUP", 32), ("BLOCK", 8)):
+        monkeypatch.setattr(pivot_index, name, value)
+    rng = np.random.default_rng(6)
+    middle = rng.normal(0, 6, (12, 6))
+    rows = [(i, (middle[i % 12] + rng.normal(0, 0.2, 6)).astype(np.float32).tolist()) for i in range(700)]
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<float>, group long, q long, rank int")
+    got = [tuple(r) for r in pivot_index.top_k(frame, 5, 10).collect()]
+    assert set(got) == brute(rows, 5, 10) and len(got) == len(set(got))
+
+
+def test_repeated_ids_count_once_each(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0]), (3, [2.0, 0.0]), (10, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in pivot_index.top_k(frame, 5, 10).collect())
+    assert got == [(10, 1, 2, 3 * 65536), (10, 2, 3, 2 * 65536), (10, 3, 1, 65536), (10, 4, 1, 65536)]
