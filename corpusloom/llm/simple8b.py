@@ -10,21 +10,21 @@ size), then doc_id and length of each document (int64), the alphabet (uint32: th
 on; what is coded is an id's place in it, so common ids take few bits), the word offset of each block (int64, one more
 than blocks), the words (uint64), and an unsigned crc32 of all that (uint32).
 
-Writing: rows are range-partitioned by doc_id and sorted, so files in (partition, part) order hold ascending doc_ids; a
-file is closed at FILE_IDS ids. A file has a name of its own per attempt and only the manifest's files count, so a
-retried task does no harm. Ties of doc_id are ordered by text; null doc_ids come first; a null text is an empty one;
-an empty table gives no file; columns other than doc_id and text are not read.
+Writing: rows are range-partitioned by doc_id and sorted; a file is closed at FILE_IDS ids. Files are written and read by
+Spark, as the rows of a table (part, seq, before, docs, ids, data), so any store that Spark reaches holds them, and a task
+that is run again leaves one result. (part, seq) is the order of ascending doc_ids; `before` counts the ids of earlier
+files of the part, so a file's place follows from that and one total for each part. Ties of doc_id are ordered by text;
+null doc_ids come first; a null text is an empty one; an empty table gives no file; columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,8 +39,9 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 15
 MAGIC = b"S8BTOK01"
 BLOCK = 1024
-#: Ids after which a file is closed; bounds a reader's memory.
-FILE_IDS = 2_000_000
+#: Ids after which a file is closed, and bytes of a row group of the table; they bound a reader's memory.
+FILE_IDS, GROUP_BYTES = 2_000_000, 8 << 20
+FILES = "part int, seq int, before long, docs long, ids long, data binary"
 
 
 def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -151,9 +152,10 @@ def pack_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> byte
     return body + np.uint32(zlib.crc32(body)).astype("<u4").tobytes()
 
 
-def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_file(data: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, lengths and ids of a token file; raises ValueError if it is damaged."""
-    if data[:8] != MAGIC or len(data) < 60 or zlib.crc32(memoryview(data)[:-4]) != int.from_bytes(data[-4:], "little"):
+    data = memoryview(data)
+    if data[:8] != MAGIC or len(data) < 60 or zlib.crc32(data[:-4]) != int.from_bytes(data[-4:], "little"):
         raise ValueError("not a whole token file")
     docs, n, letters, blocks, n_words, block = np.frombuffer(data, "<i8", 6, 8).tolist()
     at = 56
@@ -170,23 +172,19 @@ _NULL_ID = np.iinfo(np.int64).min
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Write token files under path; the manifest: part, seq, file, docs, ids - a row for each file."""
-    bounded_batches(docs.sparkSession)
+    """Write token files to a table at path; returns the table: part, seq, before, docs, ids, data - a row for each file."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = pafs.FileSystem.from_uri(path)
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, held, size
+            nonlocal seq, before, held, size
             doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            name = f"tokens-{part:06d}-{seq:06d}-{uuid4().hex}.s8b"
-            system.create_dir(folder, recursive=True)
-            with system.open_output_stream(f"{folder}/{name}") as out:
-                out.write(pack_file(doc_ids, lengths, ids))
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [f"{path}/{name}"], "docs": pa.array([len(doc_ids)], pa.int64()), "ids": pa.array([len(ids)], pa.int64())})
-            seq, held, size = seq + 1, [], 0
-            return row
+            numbers = {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "before": pa.array([before]), "docs": pa.array([len(doc_ids)], pa.int64()), "ids": pa.array([len(ids)], pa.int64())}
+            seq, before, held, size = seq + 1, before + len(ids), [], 0
+            return pa.RecordBatch.from_pydict(numbers | {"data": pa.array([pack_file(doc_ids, lengths, ids)], pa.binary())})
 
         for batch in batches:
             if not batch.num_rows:
@@ -205,45 +203,44 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part int, seq int, file string, docs long, ids long")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(run, FILES).write.mode("overwrite").option("compression", "uncompressed").option("parquet.block.size", GROUP_BYTES).parquet(path)
+    return spark.read.schema(FILES).parquet(path)
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
+def read_tokens(files: DataFrame) -> DataFrame:
     """Documents of the files: doc_id, start (ids of all documents before it), tokens (array<long>)."""
-    return _from_files(manifest, "tokens array<long>", lambda ids, lengths: {"tokens": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids.astype(np.int64)))})
+    return _from_files(files, "tokens array<long>", lambda ids, lengths: {"tokens": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids.astype(np.int64)))})
 
 
-def read_digests(manifest: DataFrame) -> DataFrame:
+def read_digests(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of each document's ids as little-endian unsigned 32-bit integers, from the files."""
 
     def digest(ids: np.ndarray, lengths: np.ndarray) -> dict[str, pa.Array]:
         data, ends = memoryview(np.ascontiguousarray(ids, "<u4").tobytes()), 4 * np.cumsum(lengths)
         return {"n_tokens": pa.array(lengths.astype(np.int64)), "ids_crc32": pa.array([zlib.crc32(data[e - 4 * n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.int64())}
 
-    return _from_files(manifest, "n_tokens long, ids_crc32 long", digest)
+    return _from_files(files, "n_tokens long, ids_crc32 long", digest)
 
 
-def _from_files(manifest: DataFrame, schema: str, columns) -> DataFrame:
-    # A row for each file, so the running total over all of them is small.
-    before = F.coalesce(F.sum("ids").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    spread = manifest.select("file", before.alias("before")).repartition(shuffle_parts(manifest.sparkSession), "file")
+def _from_files(files: DataFrame, schema: str, columns) -> DataFrame:
+    # One row for each partition of the writing job, whose number is a setting: the running total and broadcast are small.
+    parts = files.groupBy("part").agg(F.sum("ids").alias("ids"))
+    start = parts.select("part", F.coalesce(F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    placed = files.join(F.broadcast(start), "part").select("data", (F.col("start") + F.col("before")).alias("start"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system, name = pafs.FileSystem.from_uri(file)
-                with system.open_input_stream(name) as source:
-                    doc_ids, lengths, ids = unpack_file(source.read())
-                made = columns(ids, lengths)
+            for k in range(batch.num_rows):
+                doc_ids, lengths, ids = unpack_file(batch.column(0)[k].as_buffer())
+                made, start = columns(ids, lengths), batch.column(1)[k].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == _NULL_ID), pa.array(start + np.cumsum(lengths) - lengths), *(made[n] for n in names)], ["doc_id", "start", *names])
+                pa.default_memory_pool().release_unused()
 
-    return spread.mapInArrow(run, f"doc_id long, start long, {schema}")
+    return placed.mapInArrow(run, f"doc_id long, start long, {schema}")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Encode, write, read back: a digest row for each document."""
-    scratch = Scratch(spark, "tokens")
-    manifest = scratch.keep(write_tokens(docs, scratch.path("files"), tokenizer_path, end_id), "manifest")
-    return read_digests(manifest)
+    return read_digests(write_tokens(docs, Scratch(spark, "tokens").path("files"), tokenizer_path, end_id))

@@ -69,8 +69,8 @@ def test_token_files_on_odd_documents(spark):
 def test_token_arrays_read_back(spark):
     scratch = Scratch(spark, "test")
     docs = spark.createDataFrame([(2, "b b"), (1, "a")], "doc_id long, text string")
-    manifest = scratch.keep(simple8b.write_tokens(docs, scratch.path("files"), PATH, 2), "manifest")
-    got = {r.doc_id: r.tokens for r in simple8b.read_tokens(manifest).collect()}
+    files = simple8b.write_tokens(docs, scratch.path("files"), PATH, 2)
+    got = {r.doc_id: r.tokens for r in simple8b.read_tokens(files).collect()}
     assert got == {1: [*library_ids("a"), 2], 2: [*library_ids("b b"), 2]}
 
 
