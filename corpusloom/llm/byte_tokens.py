@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 from corpusloom.llm.common import gather, worker_threads_off
 
-#: Entries of a worker's caches of units and of pieces; a full one starts anew.
-CACHE_UNITS, CACHE_PIECES = 450_000, 100_000
+#: Entries of a worker's cache of units and of pieces (a unit may be a piece, with the same ids); a full one starts anew.
+CACHE = 550_000
 #: Code points that count as white space for the pre-tokeniser besides blank and line feed, and NUL.
 _ODD = r"[\x00\t\x0B\x0C\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}\x{3000}\x{FEFF}]|[ \n][ \n]|[ \n]$|<\|"
 
@@ -40,35 +40,40 @@ class ByteTokenizer:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         extra = [b for b in range(256) if b not in plain]
         self.stand_in = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(extra)}
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         """Ids, as little-endian 32-bit integers, of what the pre-tokeniser keeps together."""
-        known = self.pieces.get(piece)
-        if known is None:
+        found = self.known.get(piece)
+        return self._new_piece(piece) if found is None else found
+
+    def _new_piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece[:1] == " " and piece[1:].isalpha():
+            word = "\u0120" + piece[1:]  # letters stand for themselves
+        else:
             word = piece.encode().decode("latin-1").translate(self.stand_in)
-            known = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        return known
+        found = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        if len(piece) <= 64:
+            self.known[piece] = found
+        return found
 
     def _unit(self, unit: str) -> bytes:
-        known = self.units.get(unit)
-        if known is None:
+        found = self.known.get(unit)
+        if found is None:
             if unit[:1] == " " and unit[1:].isalpha():
-                known = self._piece(unit)
-            elif unit[:1] == " " and unit[-1] in ",." and unit[1:-1].isalpha():
-                known = self._piece(unit[:-1]) + self._piece(unit[-1])
+                return self._new_piece(unit)
+            if unit[:1] == " " and unit[-1] in ",." and unit[1:-1].isalpha():
+                found = self._piece(unit[:-1]) + self._piece(unit[-1])
             else:
-                known = b"".join(map(self._piece, self.split(unit)))
+                found = b"".join(map(self._piece, self.split(unit)))
             if len(unit) <= 64:
-                self.units[unit] = known
-        return known
+                self.known[unit] = found
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """texts without nulls -> (ids of all texts, offsets)."""
-        for cache, most in ((self.units, CACHE_UNITS), (self.pieces, CACHE_PIECES)):
-            if len(cache) >= most:
-                cache.clear()
+        if len(self.known) >= CACHE:
+            self.known.clear()
         odd = np.asarray(pc.match_substring_regex(texts, _ODD))
         easy = texts.filter(pa.array(~odd))
         marked = pc.replace_substring(pc.replace_substring(easy, " ", "\x00 "), "\n", "\x00\n")
