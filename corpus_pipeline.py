@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
 of documents: the first two drop the documents they reject, the third keeps one document of each group of near-copies,
 the fourth replaces secrets in the texts; the last returns the pieces of packed sequences.
+
+Null texts and texts that fail the base rules go with the first stage; null lang and source are groups of their own.
+Rows without doc_id stay, each by itself; of repeated rows, and of near-copies, one row of the least doc_id stays. Ties
+are settled as each operator states. Other columns of documents, whatever their names, are carried up to the last
+stage, which reads doc_id and text only. An empty table gives no row. Tables that a stage made are deleted as soon as
+its result is stored.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import language_mixture, near_dedup, packing, quality, secrets
-from corpusloom.llm.common import Scratch
+from corpusloom.llm.common import Scratch, made, release
 from corpusloom.llm.queries import table, vocabulary
 
 #: SQL cannot express the stages; tests hold run() against a brute-force version.
@@ -47,11 +53,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`."""
+    return run_on(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str = "") -> DataFrame:
     """All stages; each one's result is a table in the shared folder that the next one reads."""
     scratch = Scratch(spark, "pipeline")
-    docs, before = table(spark, sf_dir, "documents"), None
+    before = None
     for name, stage in STAGES[:-1]:
+        own = made()
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        release(spark, own)
         if before:
             scratch.drop(before)
         before = name

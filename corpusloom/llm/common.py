@@ -27,6 +27,8 @@ BATCH_BYTES = 16 << 20
 SLICE_ROWS = 1024
 
 _own_dir: str | None = None
+#: Folders of Scratch tables that were made and not deleted yet.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +51,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/corpusloom-{label}-{uuid.uuid4().hex}"
+        _made.append(self.root)
         bounded_batches(spark)
 
     def path(self, name: str) -> str:
@@ -62,10 +65,28 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, [self.path(n) for n in names])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the Scratch tables made since `since` (0: all of this process), once what was built on them is stored.
+
+    Results are lazy and read these tables, so operators cannot delete them themselves. Returns what to pass next time.
+    """
+    _delete(spark, _made[since:])
+    del _made[since:]
+    return len(_made)
+
+
+def made() -> int:
+    return len(_made)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -1,10 +1,13 @@
 from collections import defaultdict
 
+import numpy as np
+
 import corpus_pipeline
 from corpusloom.llm import language_mixture, quality
 from corpusloom.llm.queries import vocabulary
 from corpusloom.llm.secrets import find_secrets, redact
 
+from .fixtures import ODD_TEXTS, empty_documents
 from .test_near_dedup import brute as near_brute
 from .test_tokens import check_packing
 
@@ -34,3 +37,18 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert out.columns == COLUMNS and out.dtypes == docs.dtypes, name
         seen[name] = out.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "minhash_near_dedup", "secret_scans", "sequence_packing"]
+
+
+def test_odd_and_empty_tables(spark):
+    """Nulls, empty and long texts, repeated rows, clashing columns: everything short fails the base rules."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(6)]
+    rows = [(i, t, "en", "s", len(t), None, "x") for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 1, None, "y"), (70, texts[1], None, None, None, "r", "z"), (None, texts[2] + " end", "en", "s", 1, None, "n")]
+    rows += [(100 + i, t, None, None, None, None, None) for i, t in enumerate(ODD_TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, kept string")
+    pieces = corpus_pipeline.run_on(spark, docs).collect()
+    # The copy of text 1 and the repeated row of text 0 went; the row without id stayed by itself.
+    assert {p.doc_id for p in pieces if p.doc_id is None or p.doc_id < 100} == {0, 1, 2, 3, 4, 5, None}
+    assert sum(p.length for p in pieces if p.doc_id == 0) == next(p.doc_tokens for p in pieces if p.doc_id == 0)
+    assert corpus_pipeline.run_on(spark, empty_documents(spark).selectExpr("*", "'x' as row")).collect() == []
