@@ -64,51 +64,6 @@ def test_large_cluster_of_near_copies_in_chunks(spark, monkeypatch):
     assert result(near_dedup.near_duplicates(frame, 3, 85).collect()) == brute(docs, 3, 85)
 
 
-def test_large_cluster_of_several_groups(spark, monkeypatch):
-    """Chains of texts that drift apart: many share buckets, only neighbours are links, and there are several components."""
-    monkeypatch.setattr(near_dedup, "CHUNK", 8)
-    rng = np.random.default_rng(11)
-    docs, words = {}, [f"w{i}" for i in range(100)]
-    for i in range(140):
-        if i % 35 == 34:  # a jump: often a shared bucket, never a link
-            for k in range(0, 100, 14):
-                words[k] = f"j{i}x{k}"
-        for k in rng.choice(100, 3, replace=False):
-            words[k] = f"v{i}x{k}"
-        docs[(i * 37) % 140] = " ".join(words)
-    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    want = brute(docs, 3, 85)
-    assert 1 < len({r for _, r in want.values()}) < 140
-    assert result(near_dedup.near_duplicates(frame, 3, 85).collect()) == want
-
-
-def test_components_of_chains_stars_and_rings(spark):
-    rng = np.random.default_rng(2)
-    links = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 200)] + [(300 + i, 300 + (i + 1) % 7) for i in range(7)] + [tuple(map(int, rng.integers(400, 480, 2))) for _ in range(60)]
-    parent = {n: n for pair in links for n in pair}
-
-    def root(n):
-        while parent[n] != n:
-            n = parent[n]
-        return n
-
-    for a, b in links:
-        p, q = sorted((root(a), root(b)))
-        parent[q] = p
-    got = near_dedup.components(spark.createDataFrame(links, "a long, b long"), near_dedup.Scratch(spark, "test"), "c").collect()
-    assert {r.id: r.label for r in got} == {n: root(n) for pair in links if pair[0] != pair[1] for n in pair}
-
-
-def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
-    base = " ".join(f"w{i}" for i in range(60))
-    rows = [(3, base), (7, base + " more"), (7, "a clean text of its own"), (8, "A clean  text of its own"), (7, "a clean text of its own")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
-    assert got == [(3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), (8, 7, False)]
-    assert sorted(tuple(r) for r in near_dedup.keep_representatives(docs).collect()) == [(3, base), (7, "a clean text of its own")]
-    assert near_dedup.keep_representatives(empty_documents(spark)).collect() == []
-
-
 def test_odd_documents(spark):
     rows = near_dedup.near_duplicates(odd_documents(spark), 3, 85).collect()
     assert len(rows) == len(ODD_TEXTS) + 3
