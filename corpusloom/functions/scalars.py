@@ -70,6 +70,19 @@ def resolve_relative(source: Column, target: Column) -> Column:
     return fold_path(F.concat_ws("/", dirname(source), target))
 
 
+def relative_path(path: Column, base: str) -> Column:
+    """path as seen from the folder base ('' is the root)."""
+    own = [x for x in base.split("/") if x]
+    parts = F.split(path, "/")
+    out = path
+    # From the root down: the more folders agree, the fewer are climbed.
+    for k in range(len(own) + 1):
+        same = F.slice(parts, 1, k) == F.array(*[F.lit(x) for x in own[:k]]) if k else F.lit(True)
+        rest = F.array_join(F.slice(parts, k + 1, F.greatest(F.size(parts) - k, F.lit(0))), "/")
+        out = F.when(same & (F.size(parts) > k), F.concat(F.lit("../" * (len(own) - k)), rest)).otherwise(out)
+    return out
+
+
 def escapes_root(path: Column) -> Column:
     return (path == "..") | path.startswith("../") | path.startswith("/")
 

@@ -2,47 +2,29 @@
 
 Edges: link, anchor, image, import, id-ref; multiplicity is kept, edges to oneself are not. Iterative operators join a
 frontier with the distinct arcs, keep their state in tables under spark.checkpoint.dir (any executor may be lost) and
-stop when nothing changes. Cycle paths are found for each component by a task, in components too large for one on Spark.
-Lexicographic order is sequential by nature: it runs on the driver and refuses inputs beyond a stated size.
+stop when nothing changes, whatever the size of the graph. Cycle paths are found for each component by a task, in
+components too large for one on Spark. A topological order goes by level (the longest path from a source), inside a level
+by path.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.patterns import check
-from corpusloom.functions.scalars import candidates, file_part, has_scheme, id_tokens, prose_tokens
-from corpusloom.operators import local_graph
+from corpusloom.functions.scalars import candidates, file_part, has_scheme, id_tokens, prose_tokens, relative_path
 from corpusloom.sources.corpus import Corpus
 from corpusloom.sources.tables import Tables
 
 EDGE_TYPES = ("link", "anchor", "image", "import", "id-ref")
 HUB_IN_DEGREE = 3
-#: Arcs that the operator without a distributed form accepts, and that one task walks in a strongly connected part.
+#: Arcs of a strongly connected part that one task walks.
 DRIVER_NODES = 2_000_000
-#: Up to so many arcs (and nodes) an iterative operator runs on the driver, where a round costs microseconds instead of
-#: Spark jobs. The size is checked first; larger graphs take the distributed form. Both give the same result.
-LOCAL_ARCS = 100_000
-
-
-def _local_arcs(hop: DataFrame) -> list[tuple[str, str]] | None:
-    """The arcs if there are at most LOCAL_ARCS, else None; never fetches more."""
-    if not LOCAL_ARCS:
-        return None
-    rows = hop.limit(LOCAL_ARCS + 1).collect()
-    return None if len(rows) > LOCAL_ARCS else [(r["src"], r["dst"]) for r in rows]
-
-
-def _local_nodes(paths: DataFrame) -> list[str] | None:
-    if not LOCAL_ARCS:
-        return None
-    rows = paths.select("path").distinct().limit(LOCAL_ARCS + 1).collect()
-    return None if len(rows) > LOCAL_ARCS else sorted(r["path"] for r in rows)
 
 
 def defined_ids(corpus: Corpus, id_pattern: str, definitions: list[str] | None = None, column: str | None = None) -> DataFrame:
@@ -106,8 +88,6 @@ def traverse(starts: DataFrame, edges: DataFrame, depth: int | None = None, type
     """path, depth, via: breadth-first from starts(path); via is the least predecessor at the least depth."""
     tables = Tables(edges.sparkSession, "bfs")
     hop = tables.keep(arcs(edges, types, reverse), "arcs")
-    if (small := _local_arcs(hop)) is not None and (begin := _local_nodes(starts)) is not None:
-        return edges.sparkSession.createDataFrame(local_graph.levels(begin, small, depth), "path string, depth int, via string")
     seen = tables.keep(starts.select("path").distinct().select("path", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")), "level0")
     parts, frontier, level = [seen], seen, 0
     while depth is None or level < depth:
@@ -135,8 +115,6 @@ def components(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """path, component: the least path of its weakly connected part; lone nodes included."""
     tables = Tables(edges.sparkSession, "components")
     hop = tables.keep(arcs(edges), "hop")
-    if (small := _local_arcs(hop)) is not None and (nodes := _local_nodes(paths)) is not None:
-        return edges.sparkSession.createDataFrame(list(local_graph.parts(nodes, small).items()), "path string, component string")
     both = tables.keep(hop.union(hop.select("dst", "src")).distinct(), "arcs")
     labels = tables.keep(paths.select("path", F.col("path").alias("component")).distinct(), "0")
     step = 0
@@ -157,8 +135,6 @@ def peel(edges: DataFrame, paths: DataFrame, reverse: bool = False) -> DataFrame
     """Nodes that lie on a cycle or behind one (before one, if reversed): what remains after removing sources repeatedly."""
     tables = Tables(edges.sparkSession, "peel")
     left = tables.keep(arcs(edges, reverse=reverse), "arcs0")
-    if (small := _local_arcs(left)) is not None and (nodes := _local_nodes(paths)) is not None:
-        return edges.sparkSession.createDataFrame([(n,) for n in local_graph.unpeeled(nodes, small)], "path string")
     alive = tables.keep(paths.select("path").distinct(), "alive0")
     step = 0
     while True:
@@ -180,8 +156,6 @@ def strong_components(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """
     tables = Tables(edges.sparkSession, "scc")
     hop = tables.keep(arcs(edges), "hop")
-    if (small := _local_arcs(hop)) is not None:
-        return edges.sparkSession.createDataFrame([(n, part[0]) for part in local_graph.strong(small) for n in part], "path string, scc string")
     core = peel(edges, paths).join(peel(edges, paths, reverse=True), "path")
     inside = lambda df, nodes: df.join(nodes.select(F.col("path").alias("src")), "src", "left_semi").join(nodes.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst")
     nodes = tables.keep(core, "nodes0")
@@ -215,41 +189,30 @@ def strong_components(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(big, "scc", "left_semi").select("path", "scc")
 
 
-def _on_driver(edges: DataFrame, types: list[str] | None = None) -> dict[str, list[str]]:
-    rows = arcs(edges, types).orderBy("src", "dst").limit(DRIVER_NODES + 1).collect()
-    if len(rows) > DRIVER_NODES:
-        raise ValueError(f"more than {DRIVER_NODES} arcs: use the distributed operators")
-    out: dict[str, list[str]] = defaultdict(list)
-    for r in rows:
-        out[r["src"]].append(r["dst"])
-    return out
+def topological_levels(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """path, level of every node that no cycle excludes: arcs lead to higher levels, and sources have level 0."""
+    tables = Tables(edges.sparkSession, "levels")
+    left, alive = tables.keep(arcs(edges), "arcs0"), tables.keep(paths.select("path").distinct(), "alive0")
+    parts, level = [], 0
+    while True:
+        free = tables.keep(alive.join(left.select(F.col("dst").alias("path")).distinct(), "path", "left_anti").select("path", F.lit(level).alias("level")), f"level{level}")
+        if free.isEmpty():
+            break
+        parts.append(free)
+        if len(parts) > 16:  # keep the plan short on deep graphs
+            parts = [tables.keep(reduce(DataFrame.unionByName, parts), f"placed{level}")]
+        level += 1
+        alive = tables.keep(alive.join(free.select("path"), "path", "left_anti"), f"alive{level}")
+        left = tables.keep(left.join(free.select(F.col("path").alias("src")), "src", "left_anti").select("src", "dst"), f"arcs{level}")
+        tables.drop(f"arcs{level - 1}", f"alive{level - 1}")
+    return reduce(DataFrame.unionByName, parts) if parts else paths.select("path", F.lit(0).alias("level")).where("false")
 
 
 def topological_order(paths: DataFrame, edges: DataFrame) -> tuple[list[str], list[str]]:
-    """Order with the least available path first, and what cycles exclude; on the driver."""
-    nodes = [r["path"] for r in paths.select("path").distinct().orderBy("path").collect()]
-    return kahn(nodes, _on_driver(edges))
-
-
-def kahn(nodes: list[str], out: dict[str, list[str]]) -> tuple[list[str], list[str]]:
-    degree = dict.fromkeys(nodes, 0)
-    for a in nodes:
-        for b in out.get(a, ()):
-            if b in degree:
-                degree[b] += 1
-    ready = [n for n in nodes if not degree[n]]
-    heapq.heapify(ready)
-    order = []
-    while ready:
-        a = heapq.heappop(ready)
-        order.append(a)
-        for b in out.get(a, ()):
-            if b in degree:
-                degree[b] -= 1
-                if not degree[b]:
-                    heapq.heappush(ready, b)
-    placed = set(order)
-    return order, [n for n in nodes if n not in placed]
+    """topological_levels() as a list for display, and what cycles exclude."""
+    placed = topological_levels(paths, edges)
+    excluded = paths.select("path").distinct().join(placed, "path", "left_anti")
+    return [r["path"] for r in placed.orderBy("level", "path").collect()], [r["path"] for r in excluded.orderBy("path").collect()]
 
 
 def cycle_path(members: list[str], out: dict[str, list[str]], steps: int = 100_000) -> list[str]:
@@ -356,6 +319,16 @@ def impact(target: str, edges: DataFrame) -> dict[str, DataFrame]:
     return {"directly": direct, "transitively": visits.where("depth >= 2"), "affected": visits.select("path")}
 
 
+def relativize(parts: dict[str, DataFrame], base: str) -> dict[str, DataFrame]:
+    """impact() with paths (and `via`) relative to the folder `base`; paths outside it climb with '..'."""
+    out = {}
+    for name, df in parts.items():
+        for c in {"path", "via"} & set(df.columns):
+            df = df.withColumn(c, relative_path(F.col(c), base))
+        out[name] = df
+    return out
+
+
 def reading_order(affected: DataFrame, edges: DataFrame) -> tuple[list[str], list[str]]:
     """Topological order of the induced subgraph."""
     inner = edges.join(affected.select(F.col("path").alias("src")), "src", "left_semi").join(affected.select(F.col("path").alias("dst")), "dst", "left_semi")

@@ -72,14 +72,19 @@ def propose(corpus: Corpus, spark_clusters: DataFrame | None = None) -> list[dic
         out.append({"rule": "SEC-001", "options": {"sections": names, "files": scope}, "evidence": f"all documents have {len(names)} section(s) in common"})
         if len(names) > 1:
             out.append({"rule": "SEC-002", "options": {"order": names, "files": scope}, "evidence": "the common sections"})
-    t = corpus.tables.groupBy("headers").agg(F.count("*").alias("n"), F.count_distinct("path").alias("documents")).where(F.col("documents") >= MIN_DOCUMENTS).orderBy(F.desc("n"), F.array_join("headers", "|")).limit(1).collect()
-    for row in t:
+    # Every table shape that enough documents share; shapes and their first columns, never rows, reach the driver.
+    shapes = corpus.tables.groupBy("headers").agg(F.count("*").alias("n"), F.count_distinct("path").alias("documents")).where(F.col("documents") >= MIN_DOCUMENTS).orderBy(F.desc("n"), F.array_join("headers", "|")).collect()
+    firsts = sorted({r["headers"][0] for r in shapes if r["headers"]})
+    own = corpus.cells.where(F.col("header").isin(firsts)).groupBy("header").agg(F.count("*").alias("n"), F.count_if(F.col("value").rlike("^[A-Z][A-Z0-9]*-\\d+\\z")).alias("hits"), F.count_distinct("value").alias("d")) if firsts else None
+    ids = {r["header"]: r for r in own.collect()} if own is not None else {}
+    for row in shapes:
         out.append({"rule": "TBL-001", "options": {"columns": list(row["headers"])}, "evidence": f"{row['n']} tables have these columns"})
-        ids = corpus.cells.where(F.col("header") == row["headers"][0]).agg(F.count("*").alias("n"), F.count_if(F.col("value").rlike("^[A-Z][A-Z0-9]*-\\d+\\z")).alias("hits"), F.count_distinct("value").alias("d")).first()
-        if ids["n"] and ids["hits"] == ids["n"]:
-            out.append({"rule": "TBL-004", "options": {"column": row["headers"][0], "pattern": "^[A-Z][A-Z0-9]*-\\d+$"}, "evidence": "all values are ids"})
-            if ids["d"] == ids["n"]:
-                out.append({"rule": "TBL-006", "options": {"column": row["headers"][0]}, "evidence": "all ids differ"})
+    for name in firsts:
+        found = ids.get(name)
+        if found and found["n"] and found["hits"] == found["n"]:
+            out.append({"rule": "TBL-004", "options": {"column": name, "pattern": "^[A-Z][A-Z0-9]*-\\d+$"}, "evidence": "all values are ids"})
+            if found["d"] == found["n"]:
+                out.append({"rule": "TBL-006", "options": {"column": name}, "evidence": "all ids differ"})
     if not corpus.links.where("kind = 'local-file'").isEmpty():
         out += [{"rule": "REF-001", "options": {}, "evidence": "documents link to files"}]
         if not corpus.links.where("anchor <> ''").isEmpty():

@@ -6,12 +6,13 @@ finding is (path, line, col, message, data); line 0 stands for the whole file.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.globs import glob_column
-from corpusloom.functions.patterns import check
+from corpusloom.functions.patterns import check, to_python
 from corpusloom.functions.scalars import candidates, file_part, has_scheme, trim_all
 
 #: What alone in a section counts as a placeholder.
@@ -135,19 +136,27 @@ def section_order(headings: DataFrame, order: list[str], level: int | None = Non
 def content_not_match(documents: DataFrame, pattern: str, flags: str = "") -> DataFrame:
     """documents: path, content. A finding for each match, with its line; also for matches of nothing.
 
-    Texts are cut at matches rather than searched line by line, so patterns may span lines.
+    The JVM finds the documents that match at all; the places of matches, which its functions do not tell, come from one
+    pass over each of their texts in Arrow batches.
     """
-    java = check(pattern, flags)
-    found = F.regexp_extract_all("content", F.lit(f"({java})"), F.lit(1))
-    # Line of the k-th match: line feeds before it, by cutting the text at the first k matches.
-    gaps = F.split("content", java, -1)
-    feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    zipped = F.arrays_zip(found.alias("m"), F.transform(gaps, feeds).alias("g"), F.transform(found, feeds).alias("f"))
-    state = F.aggregate(
-        zipped, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("lines")),
-        lambda acc, z: F.struct((acc["n"] + F.coalesce(z["g"], F.lit(0)) + F.coalesce(z["f"], F.lit(0))).alias("n"), F.when(z["m"].isNull(), acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["n"] + F.coalesce(z["g"], F.lit(0)) + 1))).alias("lines")),
-    )
-    df = documents.where(F.col("content").rlike(java)).select("path", F.explode(F.arrays_zip(found.alias("m"), state["lines"].alias("l"))).alias("x")).select("path", F.col("x.m").alias("match"), F.col("x.l").alias("line"))
+    compiled = to_python(pattern, flags)
+    sticky = "y" in flags
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                line, at = 1, 0
+                for m in compiled.finditer(text):
+                    if sticky and m.start() != at:
+                        break
+                    line, at = line + text.count("\n", 0 if line == 1 and not at else at, m.start()), m.start()
+                    rows.append((path, m.group(), line))
+                    if sticky:
+                        line, at = line + text.count("\n", at, m.end()), m.end()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.string()), (2, pa.int32()))], ["path", "match", "line"])
+
+    df = documents.where(F.col("content").rlike(check(pattern, flags))).select("path", "content").mapInArrow(run, "path string, match string, line int")
     return findings(df, say("Forbidden text: '%s'.", F.col("match")), match=F.col("match"))
 
 
@@ -192,8 +201,10 @@ def link_resolves(links: DataFrame, files: DataFrame, router: dict | None = None
     return findings(df, say("Link target '%s' does not exist.", F.col("raw_target")), col=F.col("col"), target=F.col("raw_target"))
 
 
-def image_resolves(images: DataFrame, files: DataFrame) -> DataFrame:
-    """Images without a scheme whose file does not exist."""
+def image_resolves(images: DataFrame, files: DataFrame, exclude: list[str] | None = None) -> DataFrame:
+    """Images without a scheme whose file does not exist; targets that match `exclude` are skipped."""
     df = images.where(~has_scheme(F.col("raw_target")) & (file_part(F.col("raw_target")) != ""))
+    if exclude:
+        df = df.where(~F.exists(candidates(F.col("path"), file_part(F.col("raw_target"))), lambda c: glob_column(c, exclude)))
     df = first_existing(df, files).where(F.col("target").isNull())
     return findings(df, say("Image '%s' does not exist.", F.col("raw_target")), target=F.col("raw_target"))

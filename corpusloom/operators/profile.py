@@ -39,5 +39,5 @@ def budget(corpus: Corpus, edges: DataFrame, entries: list[dict]) -> DataFrame:
     if not patterns:
         return corpus.paths.where("false").select("path", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("limit"))
     limit = F.least(*[F.when(glob_column(F.col("path"), e["entrypoints"]), F.lit(e["maxTokensPerEntrypoint"])) for e in entries], F.lit(None).cast("int")) if len(entries) > 1 else F.when(glob_column(F.col("path"), entries[0]["entrypoints"]), F.lit(entries[0]["maxTokensPerEntrypoint"]))
-    totals = closure_tokens(corpus, edges.where("type = 'import'"), ["**/*"]).withColumn("limit", limit.cast("long"))
+    totals = closure_tokens(corpus, edges.where("type = 'import'"), patterns).withColumn("limit", limit.cast("long"))
     return totals.where("limit is not null and total > limit").select("path", "total", "limit")

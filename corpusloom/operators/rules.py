@@ -81,19 +81,22 @@ def import_budget(c: Corpus, o: dict) -> DataFrame:
     budget = closure_tokens(c, edges, o["entrypoints"])
     limit = o["maxTokensPerEntrypoint"]
     over = budget.where(F.col("total") > limit)
-    big = findings(over, say("Entry point needs %d estimated tokens, over the budget of " + str(limit) + ".", F.col("total")), line=F.lit(0), totalTokens=F.col("total"), maxTokens=F.lit(limit), importedFiles=F.col("imported"))
+    percent = F.ceil((F.col("total") - limit) * 100 / limit).cast("long")
+    big = findings(over, say("Entry point needs %d estimated tokens, over the budget of " + str(limit) + ".", F.col("total")), line=F.lit(0), totalTokens=F.col("total"), maxTokens=F.lit(limit), importedFiles=F.col("imported"), percentOver=percent)
     # Only what entry points reach is reported.
     starts = c.paths.where(glob_column(F.col("path"), o["entrypoints"]))
     reached = g.traverse(starts, edges).select("path")
     asked = p.first_existing(c.imports.join(reached, "path", "left_semi").withColumn("full", F.col("raw_target")).withColumn("raw_target", F.expr("substring(raw_target, 2)")), c.paths, c.router)
     missing = findings(asked.where(F.col("target").isNull()), say("Imported file '%s' does not exist.", F.col("full")), col=F.col("col"), rawTarget=F.col("full"))
-    # An import that leads back to where it came from closes a cycle.
+    # An import that leads back to where it came from closes a cycle: an arc inside a strongly connected part that does
+    # not lead away from the entry points. Every cycle has one. A document importing itself is a cycle too.
     parts = g.strong_components(c.paths, edges)
-    inner = edges.join(parts.select(F.col("path").alias("src"), F.col("scc").alias("a")), "src").join(parts.select(F.col("path").alias("dst"), F.col("scc").alias("b")), "dst").where("a = b")
-    # Of each cycle the arc that returns to its least member; a document importing itself is a cycle too.
-    closing = inner.where("dst = b").select(F.col("src").alias("path"), "line", F.col("b").alias("cycle"))
+    far = g.traverse(starts, edges).select("path", "depth")
+    end = lambda a, b: far.join(parts, "path").select(F.col("path").alias(a), F.col("scc").alias(f"{b}_scc"), F.col("depth").alias(f"{b}_depth"))
+    inner = edges.select("src", "dst", "line").join(end("src", "s"), "src").join(end("dst", "d"), "dst")
+    closing = inner.where("s_scc = d_scc and d_depth <= s_depth").select(F.col("src").alias("path"), "line", F.col("dst").alias("cycle"))
     own = asked.where("target = path").select("path", "line", F.col("path").alias("cycle"))
-    loops = closing.unionByName(own).join(reached, "path", "left_semi")
+    loops = closing.unionByName(own)
     cyclic = findings(loops, say("Import closes a cycle through '%s'.", F.col("cycle")), cycle=F.col("cycle"))
     return big.unionByName(missing).unionByName(cyclic).dropDuplicates(["path", "line", "col", "message"])
 
@@ -199,25 +202,30 @@ def required_files(c: Corpus, o: dict) -> DataFrame:
 # --- references ---------------------------------------------------------------------------------------------------
 
 
-@rule("REF-001", "Links to files resolve.", "error", "document", SCOPE | {"excludeTargets": TEXTS})
+_ROUTER = Option("dict", fields={"preset": TEXT, "contentDir": TEXT, "defaultLocale": TEXT})
+
+
+@rule("REF-001", "Links to files resolve.", "error", "document", {"files": TEXTS, "exclude": TEXTS, "siteRouter": _ROUTER})
 def links_resolve(c: Corpus, o: dict) -> DataFrame:
-    return p.link_resolves(scoped(c.links, o), c.on_disk, c.router, o.get("excludeTargets"))
+    """exclude: targets that are not looked for; siteRouter: instead of the settings' one."""
+    return p.link_resolves(scoped(c.links, {"files": o.get("files")}), c.on_disk, o.get("siteRouter", c.router), o.get("exclude"))
 
 
-@rule("REF-002", "Anchors match a heading.", "error", "document", SCOPE)
+@rule("REF-002", "Anchors match a heading.", "error", "document", SCOPE | {"siteRouter": _ROUTER})
 def anchors_match(c: Corpus, o: dict) -> DataFrame:
     """Same-file anchors and anchors of links whose target is in the corpus; others and empty anchors are skipped."""
     links = scoped(c.links, o).where(F.col("anchor") != "")
     own = links.where(F.col("kind") == "same-file-anchor").withColumn("target", F.col("path"))
-    far = p.first_existing(links.where(F.col("kind") == "local-file"), c.paths, c.router).where(F.col("target").isNotNull())
+    far = p.first_existing(links.where(F.col("kind") == "local-file"), c.paths, o.get("siteRouter", c.router)).where(F.col("target").isNotNull())
     known = c.headings.select(F.col("path").alias("target"), F.col("slug").alias("anchor")).distinct()
     lost = own.unionByName(far).join(known, ["target", "anchor"], "left_anti")
     return findings(lost, say("No heading '#%s' in '%s'.", F.col("anchor"), F.col("target")), col=F.col("col"), anchor=F.col("anchor"), target=F.col("target"))
 
 
-@rule("REF-003", "Images resolve.", "error", "document", SCOPE)
+@rule("REF-003", "Images resolve.", "error", "document", {"files": TEXTS, "exclude": TEXTS})
 def images_resolve(c: Corpus, o: dict) -> DataFrame:
-    return p.image_resolves(scoped(c.images, o), c.on_disk)
+    """exclude: targets that are not looked for."""
+    return p.image_resolves(scoped(c.images, {"files": o.get("files")}), c.on_disk, o.get("exclude"))
 
 
 def zone_of(path: Column, zones_dir: str) -> Column:
@@ -257,21 +265,26 @@ def trace(defined: DataFrame, used: DataFrame) -> DataFrame:
     return findings(dangling, say("'%s' is not defined.", F.col("id")), severity=F.lit("error"), id=F.col("id")).unionByName(findings(orphan, say("'%s' is never referenced.", F.col("id")), severity=F.lit("warning"), id=F.col("id")))
 
 
-@rule("REF-006", "Nothing depends on something less stable.", "warning", "project", SCOPE | {"idColumn": need(TEXT), "stabilityColumn": need(TEXT), "referenceColumn": need(TEXT), "order": need(TEXTS)})
+@rule("REF-006", "Nothing depends on something less stable.", "warning", "project", {"stabilityColumn": need(TEXT), "stabilityOrder": need(Option("list", items=TEXT, least=2)), "definitions": need(TEXTS), "references": need(TEXTS), "idColumn": need(TEXT), "idPattern": TEXT})
 def stability(c: Corpus, o: dict) -> DataFrame:
+    """Both sides are rows of tables with both columns; a referring row's ids stand in the id column as well."""
     cell = lambda name: trim_all(F.coalesce(F.col("cells")[o[name]], F.lit("")))
-    rows = scoped(c.rows, o)
-    rows = rows.select("path", "table_pos", "row_pos", "line", cell("idColumn").alias("id"), cell("stabilityColumn").alias("level"), cell("referenceColumn").alias("refs"))
-    return less_stable(rows, o["order"])
+    rows = c.rows.where(F.array_contains("headers", o["idColumn"]) & F.array_contains("headers", o["stabilityColumn"]))
+    rows = rows.select("path", "table_pos", "row_pos", "line", cell("idColumn").alias("id"), cell("stabilityColumn").alias("level"))
+    return less_stable(rows.where(in_scope(F.col("path"), o["definitions"])), rows.where(in_scope(F.col("path"), o["references"])), o["stabilityOrder"], o.get("idPattern"))
 
 
-def less_stable(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows: path, table_pos, row_pos, line, id, level, refs. The last definition of an id counts; unknown levels are skipped."""
+def less_stable(defined: DataFrame, used: DataFrame, order: list[str], id_pattern: str | None = None) -> DataFrame:
+    """defined, used: path, table_pos, row_pos, line, id, level; order: from least to most stable.
+
+    The last definition of an id with a level counts; rows and definitions of unknown level are skipped.
+    """
     rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("level"))
-    last = rows.where("id <> ''").groupBy("id").agg(F.max_by("level", F.struct("path", "table_pos", "row_pos")).alias("level")).select(F.col("id").alias("ref"), F.col("level").alias("ref_level"), rank.alias("ref_rank"))
-    own = rows.withColumn("rank", rank).where("rank > 0").withColumn("ref", F.explode(id_tokens(F.col("refs"))))
+    last = defined.where("id <> '' and level <> ''").groupBy("id").agg(F.max_by("level", F.struct("path", "table_pos", "row_pos")).alias("level")).select(F.col("id").alias("ref"), F.col("level").alias("ref_level"), rank.alias("ref_rank"))
+    own = used.withColumn("rank", rank).where("rank > 0").withColumn("ref", F.explode(id_tokens(F.col("id"))))
+    own = own if id_pattern is None else own.where(F.col("ref").rlike(java(id_pattern)))
     worse = own.join(last, "ref").where("ref_rank > 0 and ref_rank < rank")
-    return findings(worse, say("'%s' (%s) depends on '%s' (%s).", F.col("id"), F.col("level"), F.col("ref"), F.col("ref_level")), id=F.col("id"), reference=F.col("ref"))
+    return findings(worse, say("A row of stability '%s' depends on '%s' (%s).", F.col("level"), F.col("ref"), F.col("ref_level")), id=F.col("ref"), level=F.col("level"), reference_level=F.col("ref_level"))
 
 
 # --- context ------------------------------------------------------------------------------------------------------
@@ -287,29 +300,33 @@ def checklists_done(c: Corpus, o: dict) -> DataFrame:
     return p.all_checked(scoped(c.check_items, o), o.get("section"))
 
 
-@rule("CTX-003", "Terms are used in their canonical form.", "warning", "project", SCOPE | {"glossary": need(TEXT), "termColumn": need(TEXT), "aliasColumn": need(TEXT)})
+@rule("CTX-003", "Terms are used in their canonical form.", "warning", "project", SCOPE | {"glossary": need(TEXT), "termColumn": need(TEXT), "aliasColumn": TEXT, "section": TEXT})
 def canonical_terms(c: Corpus, o: dict) -> DataFrame:
-    glossary = normalize(o["glossary"])
-    rows = c.rows.where(F.col("path") == glossary)
-    cell = lambda k: trim_all(F.coalesce(F.col("cells")[o[k]], F.lit("")))
-    named = rows.select("table_pos", "row_pos", cell("termColumn").alias("term"), F.explode(F.split(cell("aliasColumn"), ",")).alias("alias")).select("*", trim_all(F.col("alias")).alias("a")).where("a <> '' and term <> ''")
-    aliases = {r["a"]: r["term"] for r in named.groupBy("a").agg(F.max_by("term", F.struct("table_pos", "row_pos")).alias("term")).orderBy("a").collect()}  # one document's table
-    documents = scoped(c.documents.select("path", "content"), o).where(F.col("path") != glossary)
-    return alias_findings(documents, aliases)
+    """With a section, only bodies under headings of that text are read. Without an alias column there is nothing to find."""
+    inside = glob_column(F.col("path"), [o["glossary"]])
+    aliases = {}
+    if o.get("aliasColumn"):
+        rows = c.rows.where(inside & F.array_contains("headers", o["termColumn"]))
+        cell = lambda k: trim_all(F.coalesce(F.col("cells")[o[k]], F.lit("")))
+        named = rows.select("path", "table_pos", "row_pos", cell("termColumn").alias("term"), F.explode(F.split(cell("aliasColumn"), ",")).alias("alias")).select("*", trim_all(F.col("alias")).alias("a")).where("a <> '' and term <> '' and a <> term")
+        aliases = {r["a"]: r["term"] for r in named.groupBy("a").agg(F.max_by("term", F.struct("path", "table_pos", "row_pos")).alias("term")).orderBy("a").collect()}  # the glossary's tables
+    if o.get("section") is None:
+        texts = c.documents.select("path", "content", F.lit(0).alias("base"))
+    else:
+        texts = c.section_bodies.where(F.col("text") == o["section"]).select("path", F.col("body").alias("content"), F.col("line").alias("base"))
+    return alias_findings(scoped(texts, o).where(~inside), aliases)
 
 
 def alias_findings(documents: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """A finding for each whole-word use of an alias. documents: path, content."""
-    lines = documents.select("path", F.posexplode(F.split("content", "\n", -1)).alias("n", "text"))
-    found = None
-    # One alternation finds all aliases at once; longer ones first, so that none hides in another.
-    if aliases:
-        either = "|".join(literal(a) for a in sorted(aliases, key=lambda a: (-len(a), a)))
-        hits = F.regexp_extract_all("text", F.lit(f"(?<![\\p{{L}}\\p{{N}}_])({either})(?![\\p{{L}}\\p{{N}}_])"), F.lit(1))
-        found = lines.select("path", (F.col("n") + 1).alias("line"), F.explode(hits).alias("alias"))
-    else:
-        found = lines.select("path", F.col("n").alias("line"), F.lit("").alias("alias")).where("false")
-    term = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[F.col("alias")] if aliases else F.lit("")
+    """A finding for each whole-word use of each alias, also inside another alias. documents: path, content, base (lines before)."""
+    lines = documents.select("path", "base", F.posexplode(F.split("content", "\n", -1)).alias("n", "text"))
+    if not aliases:
+        return findings(lines.where("false").withColumn("line", F.lit(0)), F.lit(""))
+    # One alternation tells the lines that hold anything; in those each alias is searched by itself.
+    lines = lines.where(F.col("text").rlike("|".join(literal(a) for a in sorted(aliases, key=lambda a: (-len(a), a)))))
+    hits = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?<![A-Za-z0-9_])({literal(a)})(?![A-Za-z0-9_])"), F.lit(1)) for a in aliases]))
+    found = lines.select("path", (F.col("base") + F.col("n") + 1).alias("line"), F.explode(hits).alias("alias"))
+    term = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[F.col("alias")]
     return findings(found, say("Use '%s' instead of '%s'.", term, F.col("alias")), alias=F.col("alias"), term=term)
 
 
@@ -334,24 +351,27 @@ def no_orphans(c: Corpus, o: dict) -> DataFrame:
     return findings(scoped(nodes, o).where((F.col("in_degree") == 0) & ~entry), F.lit("Nothing references this document."), line=F.lit(0))
 
 
-@rule("GRP-003", "Every stage is covered by the next one.", "warning", "project", {"idPattern": need(TEXT), "stages": need(Option("list", items=Option("dict", fields={"files": need(TEXTS), "idColumn": TEXT, "referenceColumn": TEXT}), least=2))})
+_STAGE = Option("dict", fields={"stage": need(TEXT), "files": need(TEXTS), "idColumn": TEXT, "refColumn": need(TEXT)})
+
+
+@rule("GRP-003", "Every stage is covered by the next one.", "warning", "project", {"chain": need(Option("list", items=_STAGE, least=2)), "idPattern": TEXT})
 def stages_covered(c: Corpus, o: dict) -> DataFrame:
+    def ids(column: str, files: list[str]) -> DataFrame:
+        out = c.cells.where((F.col("header") == column) & in_scope(F.col("path"), files)).select("path", "line", F.explode(id_tokens(F.col("value"))).alias("id"))
+        return out if o.get("idPattern") is None else out.where(F.col("id").rlike(java(o["idPattern"])))
+
     out = None
-    for this, after in zip(o["stages"], o["stages"][1:], strict=False):
-        if not this.get("idColumn"):
-            continue
-        tokens = lambda column, files: c.cells.where((F.col("header") == column) & in_scope(F.col("path"), files)).select("path", "line", F.explode(id_tokens(F.col("value"))).alias("id")).where(F.col("id").rlike(java(o["idPattern"])))
-        column = after.get("referenceColumn") or after.get("idColumn") or this["idColumn"]
-        gap = uncovered(tokens(this["idColumn"], this["files"]), tokens(column, after["files"]))
-        out = gap if out is None else out.unionByName(gap)
+    for this, after in zip(o["chain"], o["chain"][1:], strict=False):
+        if this.get("idColumn"):
+            gap = uncovered(ids(this["idColumn"], this["files"]), ids(after["refColumn"], after["files"]), this["stage"], after["stage"])
+            out = gap if out is None else out.unionByName(gap)
     return out if out is not None else findings(c.paths.where("false"), F.lit(""), line=F.lit(0))
 
 
-def uncovered(stage: DataFrame, after: DataFrame) -> DataFrame:
-    """stage, after: path, line, id. Ids of a stage that the next one never mentions, at their first place."""
-    first = stage.groupBy("id").agg(F.min(F.struct("path", "line")).alias("f")).select("id", "f.path", "f.line")
-    lost = first.join(after.select("id").distinct(), "id", "left_anti")
-    return findings(lost, say("'%s' is not covered by the next stage.", F.col("id")), id=F.col("id"))
+def uncovered(stage: DataFrame, after: DataFrame, name: str = "", following: str = "") -> DataFrame:
+    """stage, after: path, line, id. Every place of an id of a stage that the next one never mentions."""
+    lost = stage.join(after.select("id").distinct(), "id", "left_anti")
+    return findings(lost, say("'%s' is not covered by the next stage.", F.col("id")), id=F.col("id"), fromStage=F.lit(name), toStage=F.lit(following))
 
 
 # --- custom -------------------------------------------------------------------------------------------------------
@@ -369,8 +389,8 @@ ASSERTIONS = {
     "contentNotMatch": ({"pattern": need(TEXT), "flags": TEXT}, lambda c, o: p.content_not_match(scoped(c.documents.select("path", "content"), o), o["pattern"], o.get("flags", ""))),
     "noPlaceholders": ({"placeholders": TEXTS, "section": TEXT}, sections_filled),
     "allChecked": ({"section": TEXT}, checklists_done),
-    "linkResolves": ({"excludeTargets": TEXTS}, links_resolve),
-    "imageResolves": ({}, images_resolve),
+    "linkResolves": ({"excludeTargets": TEXTS}, lambda c, o: p.link_resolves(scoped(c.links, o), c.on_disk, c.router, o.get("excludeTargets"))),
+    "imageResolves": ({"excludeTargets": TEXTS}, lambda c, o: p.image_resolves(scoped(c.images, o), c.on_disk, o.get("excludeTargets"))),
 }
 
 

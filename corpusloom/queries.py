@@ -19,7 +19,7 @@ from corpusloom.operators import rules as r
 from corpusloom.operators.registry import registry
 from corpusloom.plans import findings as plan
 from corpusloom.sources.corpus import Corpus
-from corpusloom.sources.generated import generated_documents
+from corpusloom.sources.generated import generated_documents, path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -254,21 +254,37 @@ def id_trace_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", F.col("line").cast("long").alias("line"), F.col("data.id").alias("id"), "severity")
 
 
-_STATUS = "CASE WHEN {0} % 11 = 0 THEN 'bad' WHEN {0} % 2 = 0 THEN 'open' ELSE 'done' END"
-
-
-@query(D + f""" SELECT path, CAST(9 + o AS BIGINT) AS line, 'REQ-' || i AS id, 'REQ-' || dep AS reference FROM d
-  WHERE dep < n AND ({_STATUS.format('i')}) = 'done' AND ({_STATUS.format('dep')}) IN ('bad', 'open') OR dep < n AND ({_STATUS.format('i')}) = 'open' AND ({_STATUS.format('dep')}) = 'bad'""")
+@query("""WITH d AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 WHEN 'F' THEN 3 END AS r, o_orderstatus AS s FROM orders), u AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linestatus AS s, CASE l_linestatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 WHEN 'F' THEN 3 END AS r FROM lineitem)
+  SELECT CAST(u.k AS VARCHAR) AS id, CAST(u.n AS BIGINT) AS line, u.s AS level, d.s AS reference_level FROM u JOIN d USING (k) WHERE d.r < u.r""")
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(r.stability(corpus(spark, sf_dir), {"idColumn": "ID", "stabilityColumn": "Status", "referenceColumn": "Depends", "order": ["bad", "open", "done"]}), "id", "reference")
+    """Line items that depend on orders less stable than themselves."""
+    rows = lambda t, k, s, n: table(spark, sf_dir, t).select(F.lit(t).alias("path"), F.lit(0).alias("table_pos"), n.alias("row_pos"), n.alias("line"), F.col(k).cast("string").alias("id"), F.col(s).alias("level"))
+    found = r.less_stable(rows("orders", "o_orderkey", "o_orderstatus", F.lit(1)), rows("lineitem", "l_orderkey", "l_linestatus", F.col("l_linenumber")), ["P", "O", "F"])
+    return found.select(F.col("data.id").alias("id"), F.col("line").cast("long").alias("line"), F.col("data.level").alias("level"), F.col("data.reference_level").alias("reference_level"))
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS path, alias, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+')) AS alias FROM documents) WHERE alias IN ('ing', 'the', 'ung') GROUP BY ALL""")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS path, alias, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS alias FROM documents) WHERE alias IN ('ing', 'the', 'ung') GROUP BY ALL""")
 def alias_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.lit(0).alias("base"))
     return r.alias_findings(docs, {"ing": "Ing", "the": "The", "ung": "Ung"}).groupBy("path", F.col("data.alias").alias("alias")).agg(F.count("*").alias("n"))
 
 
+@query(D + """, t AS (SELECT path, o, i, 'the app store of the app ' || CASE WHEN i % 2 = 0 THEN 'and app store' ELSE '' END AS text FROM d) SELECT path, 'app' AS alias, CAST(CASE WHEN i % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n FROM t UNION ALL SELECT path, 'app store', CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END FROM t""")
+def alias_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases one of which lies inside the other: each is found by itself."""
+    i = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"))
+    docs = i.select(path_of(F.col("i")).alias("path"), F.concat(F.lit("the app store of the app "), F.when(F.col("i") % 2 == 0, "and\napp store").otherwise("")).alias("content"), F.lit(0).alias("base"))
+    return r.alias_findings(docs, {"app": "program", "app store": "shop"}).groupBy("path", F.col("data.alias").alias("alias")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'lineitem' AS stage, CAST(l_suppkey AS VARCHAR) AS id, CAST(l_linenumber AS BIGINT) AS line, count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT c_nationkey FROM customer) GROUP BY ALL""")
+def chain_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that the next stage lacks, at every place where they stand."""
+    ids = lambda t, c, n: table(spark, sf_dir, t).select(F.lit(t).alias("path"), n.alias("line"), F.col(c).cast("string").alias("id"))
+    lost = r.uncovered(ids("lineitem", "l_suppkey", F.col("l_linenumber")), ids("customer", "c_nationkey", F.lit(1)))
+    return lost.groupBy(F.col("path").alias("stage"), F.col("data.id").alias("id"), F.col("line").cast("long").alias("line")).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT 'nation' AS stage, CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)
   UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def chain_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,12 +520,12 @@ def nearest_preceding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(prior, F.lit(-1)).alias("prior"))
 
 
-@query()
+@query(E.replace("WITH ", "WITH RECURSIVE ", 1) + """, a AS (SELECT DISTINCT src AS s, dst AS t FROM e WHERE type = 'import'), w(path, level) AS (SELECT path, 0 FROM p UNION SELECT a.t, w.level + 1 FROM w JOIN a ON a.s = w.path)
+  SELECT path, CAST(max(level) AS BIGINT) AS level FROM w GROUP BY 1""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicographic topological order of the import graph (driver-side by nature)."""
+    """Topological order of the import graph, as levels."""
     c = corpus(spark, sf_dir)
-    order, _ = g.topological_order(c.paths, g.build_edges(c).where("type = 'import'"))
-    return spark.createDataFrame(list(enumerate(order)), "pos long, path string")
+    return g.topological_levels(c.paths, g.build_edges(c).where("type = 'import'")).select("path", F.col("level").cast("long").alias("level"))
 
 
 @query()

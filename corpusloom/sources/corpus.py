@@ -139,9 +139,8 @@ class Corpus:
         """
         h = F.col("headings")
         ends = F.transform(h, lambda x: F.array_min(F.transform(F.filter(h, lambda y: (y["line"] > x["line"]) & (y["depth"] <= x["depth"])), lambda y: y["line"])))
-        lines = F.split(F.replace(F.col("content"), F.lit("\r"), F.lit("")), "\n", -1)
-        return (
-            self.documents.select("path", lines.alias("lines"), F.posexplode(F.arrays_zip(h.alias("h"), ends.alias("e"))).alias("pos", "z"))
-            .select("path", "pos", "z.h.*", F.array_join(F.slice("lines", F.col("z.h.line") + 1, F.coalesce(F.col("z.e") - F.col("z.h.line") - 1, F.size("lines"))), "\n").alias("body"))
-            .select("path", "pos", "text", "depth", "line", "body")
-        )
+        lines = self.documents.select("path", F.split(F.replace(F.col("content"), F.lit("\r"), F.lit("")), "\n", -1).alias("lines"), F.arrays_zip(h.alias("h"), ends.alias("e")).alias("z"))
+        # Bodies are cut out before the rows are multiplied, so no row carries another section's lines.
+        body = lambda z: F.array_join(F.slice("lines", z["h"]["line"] + 1, F.coalesce(z["e"] - z["h"]["line"] - 1, F.size("lines"))), "\n")
+        cut = lines.select("path", F.posexplode(F.transform("z", lambda z: F.struct(z["h"].alias("h"), body(z).alias("body")))).alias("pos", "s"))
+        return cut.select("path", "pos", "s.h.text", "s.h.depth", "s.h.line", "s.body")

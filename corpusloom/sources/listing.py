@@ -117,16 +117,22 @@ def _relative(frame: DataFrame, top: str) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, uri: str, scope: Scope | None = None, router: dict | None = None) -> Corpus:
-    """The documents below any folder that Spark can list (object stores, HDFS), listed and read by executors."""
+    """The documents below any folder that Spark can list (object stores, HDFS), listed and read by executors.
+
+    Paths are relative to the folder, however its address is written; only documents in scope are read.
+    """
     from corpusloom.functions.globs import in_scope
 
     scope = scope or Scope.of()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(uri)
+    top = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(uri)
-    top = uri.rstrip("/")
-    path = F.regexp_replace(F.col("path"), "^[a-z]+:/+[^/]*" if "://" not in top else f"^{re.escape(top)}/", "")
-    listing = files.select(path.alias("path"))
-    raw = files.select(path.alias("path"), "content").where(in_scope(F.col("path"), list(scope.include), list(scope.exclude)))
-    return Corpus.of(raw.withColumn("content", F.decode("content", "UTF-8")), listing, router)
+    # What stands before the path is the scheme and perhaps an authority.
+    own = F.regexp_replace(F.col("path"), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+    path = F.substring(own, len(top) + 2, 1 << 20)
+    raw = files.where(in_scope(path, list(scope.include), list(scope.exclude))).select(path.alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return Corpus.of(raw, files.select(path.alias("path")), router)
 
 
 def read_table(frame: DataFrame, path: str = "path", content: str = "content", router: dict | None = None) -> Corpus:

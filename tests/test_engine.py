@@ -75,8 +75,6 @@ def test_deep_chain_and_loop(spark):
     edges = spark.createDataFrame([(name(k), name(k + 1), "link") for k in range(n - 1)], "src string, dst string, type string")
     start = spark.createDataFrame([(name(0),)], "path string")
     assert g.traverse(start, edges).agg(F.max("depth")).first()[0] == n - 1
-    order, excluded = g.kahn([str(k) for k in range(5000)], {str(k): [str(k + 1)] for k in range(4999)})
-    assert len(order) == 5000 and not excluded
     loop = {str(k): [str((k + 1) % 5000)] for k in range(5000)}
     assert len(g.cycle_path(sorted(loop), loop)) == 5001
 
@@ -87,6 +85,51 @@ def test_content_matches_report_lines(spark):
     assert sorted(r.line for r in content_not_match(frame, "r foo\\n").collect()) == [2]
 
 
+def test_content_matches_follow_javascript(spark):
+    found = lambda text, *a: sorted((r.line, r.data["match"]) for r in content_not_match(spark.createDataFrame([("a", text)], "path string, content string"), *a).collect())
+    assert found("aa x\nab\nbb", r"(\w)\1") == [(1, "aa"), (3, "bb")]
+    assert found("a\nb\nc", "^", "m") == [(1, ""), (2, ""), (3, "")]
+    assert found("axb", "x*") == [(1, ""), (1, ""), (1, ""), (1, "x")]
+    assert found("end\n", "$") == [(2, "")] and found("q [x]\nA", "[[x]a", "i") == []
+    assert found("one\ntwo", "e[^]t") == [(1, "e\nt")] and found("é a", r"\w+") == [(1, "a")]
+    assert found("k=k\nk=v", r"(?<n>k)=\k<n>") == [(1, "k=k")] and found("aab", "a", "y") == [(1, "a"), (1, "a")]
+
+
+def test_tree_paths_are_relative_however_it_is_named(spark, tmp_path):
+    from corpusloom.sources.listing import read_tree
+
+    for name in ("a.md", "sub/b.md", "sub/pic.png", "node_modules/c.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("# T\n\n[up](../a.md)\n")
+    for uri in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        corpus = read_tree(spark, uri)
+        assert sorted(r.path for r in corpus.paths.collect()) == ["a.md", "sub/b.md"]
+        assert "sub/pic.png" in {r.path for r in corpus.on_disk.collect()}
+
+
+def test_every_import_cycle_is_reported(spark):
+    corpus = Corpus.in_memory(spark, {"a.md": "@b.md\n", "b.md": "@c.md\n", "c.md": "@b.md\n\n@a.md\n"})
+    bound = conf.from_dict({"rules": [{"rule": "LLM-001", "options": {"entrypoints": ["a.md"], "maxTokensPerEntrypoint": 100}}]}).bound
+    found = plan.lint(corpus, bound).where("message like '%cycle%'").collect()
+    assert sorted((r.path, r.line, r.data["cycle"]) for r in found) == [("c.md", 1, "b.md"), ("c.md", 3, "a.md")]
+
+
+def test_stability_and_stages_take_the_usual_options(spark):
+    table = lambda *rows: "| ID | Stability |\n| --- | --- |\n" + "".join(f"| {a} | {b} |\n" for a, b in rows)
+    corpus = Corpus.in_memory(spark, {"defs.md": table(("A-1", "experimental"), ("A-2", "stable"), ("A-2", "")), "uses.md": table(("A-1, A-2", "stable"), ("A-1", "experimental"), ("A-9 A-9", "stable"))})
+    rules = [{"rule": "REF-006", "options": {"idColumn": "ID", "stabilityColumn": "Stability", "stabilityOrder": ["experimental", "stable"], "definitions": ["defs.md"], "references": ["uses.md"]}}, {"rule": "GRP-003", "options": {"chain": [{"stage": "use", "files": ["uses.md"], "idColumn": "ID", "refColumn": "ID"}, {"stage": "def", "files": ["defs.md"], "refColumn": "ID"}]}}]
+    found = sorted((r.rule_id, r.line, r.data["id"]) for r in plan.lint(corpus, conf.from_dict({"rules": rules}).bound).collect())
+    assert found == [("GRP-003", 5, "A-9"), ("GRP-003", 5, "A-9"), ("REF-006", 3, "A-1")]
+
+
+def test_relative_impact_paths(spark):
+    from corpusloom.functions.scalars import relative_path
+
+    frame = spark.createDataFrame([("docs/a.md",), ("docs/x/b.md",), ("c.md",), ("other/d.md",)], "path string")
+    assert [r[0] for r in frame.select(relative_path(F.col("path"), "docs/x")).collect()] == ["../a.md", "b.md", "../../c.md", "../../other/d.md"]
+    assert [r[0] for r in frame.select(relative_path(F.col("path"), "")).collect()] == ["docs/a.md", "docs/x/b.md", "c.md", "other/d.md"]
+
+
 def test_search_and_impact(project):
     ref = CONFIG["settings"]["idRef"]
     edges = g.build_edges(project, ref)

@@ -1,4 +1,4 @@
-"""The driver-side and the distributed form of each graph operator agree."""
+"""Graph operators against plain Python."""
 
 import random
 
@@ -6,6 +6,8 @@ import pytest
 
 from corpusloom.operators import graph as g
 
+from . import local_graph
+
 
 @pytest.fixture(scope="module")
 def random_graph(spark):
@@ -15,26 +17,20 @@ def random_graph(spark):
     return spark.createDataFrame([(n,) for n in names], "path string"), spark.createDataFrame([a for a in arcs if a[0] != a[1]], "src string, dst string, type string")
 
 
-def both(monkeypatch, call):
-    out = []
-    for limit in (100_000, 0):
-        monkeypatch.setattr(g, "LOCAL_ARCS", limit)
-        out.append(sorted(map(tuple, call().collect()), key=str))
-    return out
-
-
-def test_forms_agree(monkeypatch, random_graph):
+def test_spark_equals_plain_python(random_graph):
     paths, edges = random_graph
-    starts = paths.where("path in ('n01', 'n07')")
-    for call in (
-        lambda: g.traverse(starts, edges).select("path", "depth", "via"),
-        lambda: g.traverse(starts, edges, 2, reverse=True).select("path", "depth", "via"),
-        lambda: g.components(paths, edges).select("path", "component"),
-        lambda: g.peel(edges, paths).select("path"),
-        lambda: g.strong_components(paths, edges).select("path", "scc"),
-    ):
-        local, distributed = both(monkeypatch, call)
-        assert local == distributed and local
+    nodes, arcs = [r.path for r in paths.collect()], sorted({(r.src, r.dst) for r in edges.collect()})
+    starts, back = ["n01", "n07"], [(b, a) for a, b in arcs]
+    got = lambda df: sorted(map(tuple, df.collect()), key=str)
+    some = paths.where("path in ('n01', 'n07')")
+    assert got(g.traverse(some, edges).select("path", "depth", "via")) == sorted(local_graph.levels(starts, arcs, None), key=str)
+    assert got(g.traverse(some, edges, 2, reverse=True).select("path", "depth", "via")) == sorted(local_graph.levels(starts, back, 2), key=str)
+    assert dict(got(g.components(paths, edges).select("path", "component"))) == local_graph.parts(nodes, arcs)
+    assert [p for (p,) in got(g.peel(edges, paths).select("path"))] == local_graph.unpeeled(nodes, arcs)
+    assert got(g.strong_components(paths, edges).select("path", "scc")) == sorted((n, part[0]) for part in local_graph.strong(arcs) for n in part)
+    levels = dict(got(g.topological_levels(paths, edges).select("path", "level")))
+    assert sorted(set(nodes) - set(levels)) == local_graph.unpeeled(nodes, arcs)
+    assert all(levels[b] == max(levels[a] for a, t in arcs if t == b) + 1 if any(t == b for _, t in arcs) else levels[b] == 0 for b in levels)
 
 
 def test_cycles_of_parts_beyond_the_limit(monkeypatch, spark):
