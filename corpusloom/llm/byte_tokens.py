@@ -10,6 +10,7 @@ of a special token's string) go through `encode` whole.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 from array import array
 
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from corpusloom.llm.common import gather, worker_threads_off
 
 #: Entries of a worker's cache of units and of pieces (a unit may be a piece, with the same ids); a full one starts anew.
-CACHE = 550_000
+CACHE = 1_000_000
 #: Code points that count as white space for the pre-tokeniser besides blank and line feed, and NUL.
 _ODD = r"[\x00\t\x0B\x0C\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}\x{3000}\x{FEFF}]|[ \n][ \n]|[ \n]$|<\|"
 
@@ -72,6 +73,14 @@ class ByteTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """texts without nulls -> (ids of all texts, offsets)."""
+        # Nothing here makes reference cycles, but so many objects that the collector would run all the time.
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) >= CACHE:
             self.known.clear()
         odd = np.asarray(pc.match_substring_regex(texts, _ODD))
