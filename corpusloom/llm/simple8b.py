@@ -44,62 +44,71 @@ FILE_IDS, GROUP_BYTES = 2_000_000, 8 << 20
 FILES = "part int, seq int, before long, docs long, ids long, data binary"
 
 
+#: Values that may follow a block's end in the laid-out form of blocks: more than any word holds, all zero.
+MARGIN = 64
+
+
 def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """uint64 values -> (words, word offset of each block and the end)."""
+    """uint64 values -> (words, word offset of each block and the end).
+
+    Blocks are rows of a matrix with a margin of zeros, so a word that runs over a block's end needs no special care.
+    """
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    values = values.astype(np.uint64, copy=False)
-    starts = np.arange(0, n, block)
-    ends = np.minimum(starts + block, n)
-    stop = np.repeat(ends, ends - starts).astype(np.int32)
-    place = np.arange(n, dtype=np.int32)
-    left = stop - place
-    choice = np.full(n, ESCAPE, dtype=np.int8)
-    take = np.ones(n, dtype=np.int32)
-    most = int(values.max()).bit_length()
-    # Selectors wider than need be for every value are never better than the narrowest that takes all.
-    useful = int(np.searchsorted(BITS, most)) if most <= 60 else len(BITS) - 1
-    for selector in range(useful, -1, -1):
-        count, bits = int(COUNTS[selector]), int(BITS[selector])
-        wide = np.flatnonzero(values >> np.uint64(bits)).astype(np.int32)
-        # The next value that does not fit, for every place.
-        clear = np.repeat(np.append(wide, np.int32(n)), np.diff(np.concatenate([[-1], wide, [n - 1]])))
-        fits = (clear - place >= count) | (clear >= stop)
-        np.putmask(choice, fits, selector)
-        np.copyto(take, np.minimum(left, count), where=fits)
-    at, word_starts, rows = starts.copy(), [], []
-    live = np.arange(len(starts))
+    rows, width = -(-n // block), block + MARGIN
+    ends = np.full(rows, block)
+    ends[-1] = n - (rows - 1) * block
+    laid = np.zeros((rows, width), dtype=np.uint64)
+    laid[:-1, :block] = values[: (rows - 1) * block].reshape(-1, block)
+    laid[-1, : ends[-1]] = values[(rows - 1) * block :]
+    # The narrowest selector that takes each value (14: none does), and the widest need of the next 1, 2, 4, ... values.
+    need = np.zeros((rows, width), dtype=np.uint8)
+    for bits in BITS.tolist():
+        if int(values.max()) >> bits:
+            need += laid >= np.uint64(1 << bits)
+    widest = [need]
+    for k in range(5):
+        widest.append(np.maximum(widest[-1][:, : -(1 << k)], widest[-1][:, 1 << k :]))
+    # Who takes fewer values takes wider ones, so the first selector that fits is the number of those that do not.
+    choice = np.zeros((rows, block), dtype=np.uint8)
+    for selector in range(int(need.max())):
+        count = int(COUNTS[selector])
+        power = count.bit_length() - 1
+        two = widest[power], count - (1 << power)
+        choice += np.maximum(two[0][:, :block], two[0][:, two[1] : two[1] + block]) > selector
+    take = np.append(COUNTS, 1).astype(np.uint8)[choice]
+    head = np.zeros((rows, block), dtype=bool)
+    at, live = np.zeros(rows, dtype=np.int64), np.arange(rows)
     while len(live):
-        word_starts.append(at[live])
-        rows.append(live)
-        at[live] += take[at[live]]
-        live = live[at[live] < ends[live]]
-    heads, owner = np.concatenate(word_starts), np.concatenate(rows)
-    order = np.lexsort((heads, owner))
-    heads, owner = heads[order], owner[order]
-    chosen = choice[heads].astype(np.int64)
-    size = np.where(chosen == ESCAPE, 2, 1)
+        here = at[live]
+        head[live, here] = True
+        at[live] = here = here + take[live, here]
+        live = live[here < ends[live]]
+    heads = np.flatnonzero(head)
+    owner = heads // block
+    chosen, source = choice.reshape(-1)[heads], heads + owner * MARGIN
+    size = np.where(chosen == len(COUNTS), 2, 1)
     where = np.cumsum(size) - size
-    words = np.zeros(int(size.sum()), dtype=np.uint64)
-    words[where] = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([values, np.zeros(60, np.uint64)])
+    words, flat = np.zeros(int(size.sum()), dtype=np.uint64), laid.reshape(-1)
     for selector, (count, bits) in enumerate(zip(COUNTS.tolist(), BITS.tolist(), strict=True)):
         mine = np.flatnonzero(chosen == selector)
+        first, word = source[mine], np.full(len(mine), selector << 60, dtype=np.uint64)
         for slot in range(count if len(mine) else 0):
-            inside = slot < take[heads[mine]]
-            words[where[mine]] |= np.where(inside, padded[heads[mine] + slot], np.uint64(0)) << np.uint64(slot * bits)
-    escaped = np.flatnonzero(chosen == ESCAPE)
-    words[where[escaped] + 1] = values[heads[escaped]]
-    per_block = np.bincount(owner, weights=size, minlength=len(starts)).astype(np.int64)
+            word |= flat[first + slot] << np.uint64(slot * bits)
+        words[where[mine]] = word
+    escaped = np.flatnonzero(chosen == len(COUNTS))
+    words[where[escaped]] = np.uint64(ESCAPE << 60)
+    words[where[escaped] + 1] = flat[source[escaped]]
+    per_block = np.bincount(owner, weights=size, minlength=rows).astype(np.int64)
     return words, np.concatenate([[0], np.cumsum(per_block)])
 
 
 def decode_blocks(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
     """The inverse of encode_blocks for n values."""
-    out = np.zeros(n, dtype=np.uint64)
     if not n:
-        return out
+        return np.zeros(0, dtype=np.uint64)
+    rows, width = len(offsets) - 1, block + MARGIN
     selector = (words >> np.uint64(60)).astype(np.int64)
     if (selector == ESCAPE).any():  # a raw word may look like any selector: only words that are not the payload of an escape count
         raw = np.zeros(len(words), dtype=bool)
@@ -116,33 +125,33 @@ def decode_blocks(words: np.ndarray, offsets: np.ndarray, n: int, block: int = B
     owner = np.searchsorted(offsets, heads, side="right") - 1
     slots = np.where(chosen == ESCAPE, 1, COUNTS[np.minimum(chosen, len(COUNTS) - 1)])
     before = np.cumsum(slots) - slots
-    first = np.searchsorted(owner, np.arange(len(offsets) - 1))
-    start = owner * block + before - before[first[owner]]
-    stop = np.minimum((owner + 1) * block, n)
+    first = np.searchsorted(owner, np.arange(rows))
+    start = owner * width + before - before[first[owner]]
+    # As in encoding, what a block's last word holds beyond the block goes to the margin.
+    out = np.zeros(rows * width, dtype=np.uint64)
     for s, (count, bits) in enumerate(zip(COUNTS.tolist(), BITS.tolist(), strict=True)):
         mine = np.flatnonzero(chosen == s)
-        if not len(mine):
-            continue
-        payload, mask = words[heads[mine]], np.uint64((1 << bits) - 1)
-        for slot in range(count):
-            inside = start[mine] + slot < stop[mine]
-            out[(start[mine] + slot)[inside]] = ((payload >> np.uint64(slot * bits)) & mask)[inside]
+        payload, place, mask = words[heads[mine]], start[mine], np.uint64((1 << bits) - 1)
+        for slot in range(count if len(mine) else 0):
+            out[place + slot] = (payload >> np.uint64(slot * bits)) & mask
     escaped = np.flatnonzero(chosen == ESCAPE)
     out[start[escaped]] = words[heads[escaped] + 1]
-    return out
+    return out.reshape(rows, width)[:, :block].reshape(-1)[:n]
 
 
 def pack_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One token file. doc_ids holds the smallest int64 for a null."""
     if len(ids) and int(ids.max()) < 1 << 22:
         often = np.bincount(ids)
-        alphabet = np.flatnonzero(often)
-        place, often = (np.cumsum(often > 0) - 1)[ids], often[alphabet]
+        alphabet, place = np.flatnonzero(often), ids
+        rank = np.zeros(len(often), dtype=np.uint64)  # by id
+        order = np.argsort(-often[alphabet], kind="stable")
+        rank[alphabet[order]] = np.arange(len(order))
     else:
         alphabet, place, often = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
-    rank = np.empty(len(order), dtype=np.uint64)
-    rank[order] = np.arange(len(order))
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(len(order), dtype=np.uint64)  # by place in the alphabet
+        rank[order] = np.arange(len(order))
     words, offsets = encode_blocks(rank[place] if len(ids) else np.zeros(0, np.uint64))
     body = b"".join([
         MAGIC,
