@@ -145,9 +145,10 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         step += 1
         near = arcs.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         met = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
-        # A root that learnt of a smaller label passes it on to all that point at it.
+        # A root takes the least label that any of its members learnt of, and passes it on when they jump: the join is by
+        # the unique id, never by the label that a large part's rows share.
         hook = met.where("new < label").groupBy(F.col("label").alias("root")).agg(F.min("new").alias("hook"))
-        moved = met.join(hook, met["label"] == hook["root"], "left").select("id", "label", F.least("new", F.coalesce("hook", "new")).alias("new"))
+        moved = met.join(hook, met["id"] == hook["root"], "left").select("id", "label", F.least("new", F.coalesce("hook", "new")).alias("new"))
         jump = moved.select(F.col("id").alias("root"), F.col("new").alias("up"))
         jumped = moved.join(jump, moved["new"] == jump["root"], "left").select("id", F.col("label").alias("old"), F.least("new", F.coalesce("up", "new")).alias("label"))
         kept = scratch.keep(jumped, f"{name}-{step}")
