@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, Words, bounded_batches, mix, stable_hashes, sums, text_array
+from corpusloom.llm.common import Scratch, Words, bounded_batches, mix, shuffle_parts, stable_hashes, sums, text_array
 
 BANDS = 30
 #: Classes of one cluster that one group may hold.
@@ -137,6 +137,7 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """id, label for every end of links (a, b): the least id of its connected part."""
+    salts = shuffle_parts(links.sparkSession)
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     arcs = scratch.keep(both.distinct(), f"{name}-arcs")
     labels = scratch.keep(arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
@@ -149,8 +150,12 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         # the unique id, never by the label that a large part's rows share.
         hook = met.where("new < label").groupBy(F.col("label").alias("root")).agg(F.min("new").alias("hook"))
         moved = met.join(hook, met["id"] == hook["root"], "left").select("id", "label", F.least("new", F.coalesce("hook", "new")).alias("new"))
-        jump = moved.select(F.col("id").alias("root"), F.col("new").alias("up"))
-        jumped = moved.join(jump, moved["new"] == jump["root"], "left").select("id", F.col("label").alias("old"), F.least("new", F.coalesce("up", "new")).alias("label"))
+        # Rows ask for their root's label once for each salt, so a root that many rows share is asked by `salts` rows at
+        # most, and its answers go to as many keys.
+        moved = moved.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        asked = moved.select("new", "salt").distinct()
+        root = moved.select(F.col("id").alias("new"), F.col("new").alias("up"))
+        jumped = moved.join(asked.join(root, "new"), ["new", "salt"], "left").select("id", F.col("label").alias("old"), F.least("new", F.coalesce("up", "new")).alias("label"))
         kept = scratch.keep(jumped, f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
         labels = kept.select("id", "label")
