@@ -21,7 +21,9 @@ import pyarrow.compute as pc
 from corpusloom.llm.common import gather, worker_threads_off
 
 #: Entries of a worker's cache of units and of pieces (a unit may be a piece, with the same ids); a full one starts anew.
-CACHE = 1_000_000
+CACHE = 700_000
+#: Texts that are split at a time.
+SLICE = 2048
 #: Code points that count as white space for the pre-tokeniser besides blank and line feed, and NUL.
 _ODD = r"[\x00\t\x0B\x0C\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}\x{3000}\x{FEFF}]|[ \n][ \n]|[ \n]$|<\|"
 
@@ -76,9 +78,13 @@ class ByteTokenizer:
         # Nothing here makes reference cycles, but so many objects that the collector would run all the time.
         gc.disable()
         try:
-            return self._encode(texts)
+            parts = [self._encode(texts.slice(k, SLICE)) for k in range(0, max(len(texts), 1), SLICE)]
         finally:
             gc.enable()
+        if len(parts) == 1:
+            return parts[0]
+        before = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], *(ends[1:] + b for (_, ends), b in zip(parts, before))])
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) >= CACHE:
