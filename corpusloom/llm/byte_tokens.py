@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corpusloom.llm.common import gather, worker_threads_off
+from corpusloom.llm.common import encoder_caches, gather, worker_threads_off
 
 #: Entries of a worker's cache of units and of pieces (a unit may be a piece, with the same ids); a full one starts anew.
 CACHE = 700_000
@@ -121,6 +121,9 @@ def tokenizer(path: str) -> ByteTokenizer:
     return ByteTokenizer(os.fspath(path))
 
 
+encoder_caches.append(tokenizer.cache_clear)
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with end_id after each text."""
     n = len(offsets) - 1

@@ -26,6 +26,9 @@ BATCH_BYTES = 16 << 20
 #: Rows that annotate() works on at a time.
 SLICE_ROWS = 1024
 
+#: What empties the caches that encoders keep in this worker; each encoder's module adds its own.
+encoder_caches: list[Callable[[], None]] = []
+
 _own_dir: str | None = None
 #: Folders of Scratch tables that were made and not deleted yet.
 _made: list[str] = []
@@ -106,16 +109,24 @@ def text_array(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
-def annotate(df: DataFrame, compute: Callable[[pa.Array, pa.Array], dict[str, pa.Array]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def forget_encoders() -> None:
+    """Give back the caches of encoders: Spark reuses Python workers, so they would lie beside the next operator's memory."""
+    for empty in encoder_caches:
+        empty()
+
+
+def annotate(df: DataFrame, compute: Callable[[pa.Array, pa.Array], dict[str, pa.Array]], schema: str, key: str = "doc_id", text: str = "text", encodes: bool = False) -> DataFrame:
     """One row per input row: column `row` holds all input columns untouched, beside the columns that `compute` derives.
 
     compute gets the keys and the texts (nulls kept) of a batch. Because the input travels as one struct, its other
-    columns may have any name and type.
+    columns may have any name and type. encodes: compute is an encoder, whose caches stay from task to task.
     """
     out = T.StructType([T.StructField("row", df.schema), *T._parse_datatype_string(schema).fields])
     names = [f.name for f in out.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            forget_encoders()
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE_ROWS):
                 row, key_column, texts = (c.slice(k, SLICE_ROWS) for c in batch.columns)

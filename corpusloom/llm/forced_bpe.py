@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import annotate, text_array
+from corpusloom.llm.common import annotate, encoder_caches, text_array
 
 #: Entries of a worker's caches; a full one starts anew.
 CACHE = 500_000
@@ -167,6 +167,9 @@ def forced_bpe(path: str) -> ForcedBoundaryBpe:
     return ForcedBoundaryBpe(path)
 
 
+encoder_caches.append(forced_bpe.cache_clear)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Each row with `ids` (array<int>) and `decoded` (string)."""
 
@@ -175,9 +178,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         ids = [bpe.encode(t) for t in text_array(texts).to_pylist()]
         return {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([bpe.decode(i) for i in ids], pa.string())}
 
-    return annotate(docs, run, "ids array<int>, decoded string")
+    return annotate(docs, run, "ids array<int>, decoded string", encodes=True)
 
 
 def digest_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Each row with n_tokens, ids_sha256 and decoded_sha256, without building the arrays of ids."""
-    return annotate(docs, lambda _, texts: forced_bpe(tokenizer_path).digest(text_array(texts)), "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return annotate(docs, lambda _, texts: forced_bpe(tokenizer_path).digest(text_array(texts)), "n_tokens long, ids_sha256 string, decoded_sha256 string", encodes=True)

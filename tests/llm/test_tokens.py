@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from corpusloom.llm import packing, simple8b
 from corpusloom.llm.byte_tokens import tokenizer
-from corpusloom.llm.common import Scratch
+from corpusloom.llm.common import Scratch, forget_encoders
 from corpusloom.llm.queries import op2_simple8b, op3_vector_packing, vocabulary
 
 from .fixtures import ODD_TEXTS, empty_documents, odd_documents
@@ -25,6 +25,15 @@ def library_ids(text):
     return tokenizer(PATH).tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_forgotten_encoder_starts_anew_with_the_same_ids():
+    texts = pa.array(["some words and some more", ""])
+    before = tokenizer(PATH).encode(texts)
+    forget_encoders()
+    assert tokenizer.cache_info().currsize == 0
+    after = tokenizer(PATH).encode(texts)
+    assert all((a == b).all() for a, b in zip(before, after, strict=True))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 2**17), st.integers(0, 2**64 - 1)), max_size=3000))
 def test_simple8b_round_trip(values):
