@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.patterns import check
 from corpusloom.functions.scalars import candidates, file_part, has_scheme, id_tokens, prose_tokens, relative_path
+from corpusloom.operators.contract import longest_levels, shortest_depths, spread
 from corpusloom.sources.corpus import Corpus
 from corpusloom.sources.tables import Tables
 
 EDGE_TYPES = ("link", "anchor", "image", "import", "id-ref")
 HUB_IN_DEGREE = 3
+#: Levels that a traversal walks one by one.
+PLAIN_LEVELS = 8
 #: Arcs of a strongly connected part that one task walks.
 DRIVER_NODES = 2_000_000
 
@@ -85,30 +88,32 @@ def arcs(edges: DataFrame, types: list[str] | None = None, reverse: bool = False
 
 
 def traverse(starts: DataFrame, edges: DataFrame, depth: int | None = None, types: list[str] | None = None, reverse: bool = False) -> DataFrame:
-    """path, depth, via: breadth-first from starts(path); via is the least predecessor at the least depth."""
+    """path, depth, via: breadth-first from starts(path); via is the least predecessor at the least depth.
+
+    The first PLAIN_LEVELS levels are a round each; what lies deeper is found by contraction, in rounds that do not grow
+    with its depth. Both give the same.
+    """
     tables = Tables(edges.sparkSession, "bfs")
     hop = tables.keep(arcs(edges, types, reverse), "arcs")
-    seen = tables.keep(starts.select("path").distinct().select("path", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")), "level0")
-    parts, frontier, level = [seen], seen, 0
+    frontier = tables.keep(starts.select("path").distinct().select("path", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")), "level0")
+    parts, level = [frontier], 0
     while depth is None or level < depth:
         level += 1
+        done = reduce(DataFrame.unionByName, parts)
+        if level > PLAIN_LEVELS:
+            seen = tables.keep(done, "seen")
+            deep = shortest_depths(seen.select("path", "depth"), hop)
+            deep = tables.keep(deep if depth is None else deep.where(F.col("depth") <= depth), "deep")
+            all_depths = seen.select("path", "depth").unionByName(deep)
+            before = hop.join(all_depths.select(F.col("path").alias("src"), (F.col("depth") + 1).alias("depth")), "src").select(F.col("dst").alias("path"), "depth", "src")
+            via = before.groupBy("path", "depth").agg(F.min("src").alias("via"))
+            return seen.unionByName(deep.join(via, ["path", "depth"]))
         reached = frontier.select(F.col("path").alias("src")).join(hop, "src").groupBy(F.col("dst").alias("path")).agg(F.min("src").alias("via"))
-        done = parts[0]
-        for p in parts[1:]:
-            done = done.unionByName(p)
         frontier = tables.keep(reached.join(done.select("path"), "path", "left_anti").select("path", F.lit(level).alias("depth"), "via"), f"level{level}")
         if frontier.isEmpty():
             break
         parts.append(frontier)
-        if len(parts) > 16:  # keep the plan of the visited set short on deep graphs
-            whole = parts[0]
-            for p in parts[1:]:
-                whole = whole.unionByName(p)
-            parts = [tables.keep(whole, f"seen{level}")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def components(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -132,27 +137,18 @@ def components(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def peel(edges: DataFrame, paths: DataFrame, reverse: bool = False) -> DataFrame:
-    """Nodes that lie on a cycle or behind one (before one, if reversed): what remains after removing sources repeatedly."""
+    """Nodes that lie on a cycle or behind one (before one, if reversed)."""
     tables = Tables(edges.sparkSession, "peel")
-    left = tables.keep(arcs(edges, reverse=reverse), "arcs0")
-    alive = tables.keep(paths.select("path").distinct(), "alive0")
-    step = 0
-    while True:
-        step += 1
-        blocked = left.select(F.col("dst").alias("path")).distinct()
-        keep = tables.keep(alive.join(blocked, "path", "left_semi"), f"alive{step}")
-        if keep.count() == alive.count():
-            return keep
-        left = tables.keep(left.join(keep.select(F.col("path").alias("src")), "src", "left_semi").select("src", "dst"), f"arcs{step}")
-        tables.drop(f"arcs{step - 1}", f"alive{step - 1}")
-        alive = keep
+    placed = longest_levels(paths, tables.keep(arcs(edges, reverse=reverse), "arcs"))
+    return paths.select("path").distinct().join(placed, "path", "left_anti")
 
 
 def strong_components(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """path, scc: members of strongly connected parts with more than one node, named by their least path.
 
     Colouring: after peeling from both sides, every node takes the least label that reaches it; a label's node and all
-    of its colour that reach it back are one part, which leaves the graph; repeat with the rest.
+    of its colour that reach it back are one part, which leaves the graph; repeat with the rest. Labels jump along
+    pointers that double (contract.spread), forwards and back.
     """
     tables = Tables(edges.sparkSession, "scc")
     hop = tables.keep(arcs(edges), "hop")
@@ -164,48 +160,29 @@ def strong_components(paths: DataFrame, edges: DataFrame) -> DataFrame:
     step = 0
     while not left.isEmpty():
         step += 1
-        colour = nodes.select("path", F.col("path").alias("colour"))
-        k = 0
-        while True:
-            k += 1
-            near = left.join(colour.select(F.col("path").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("path")).agg(F.min("colour").alias("near"))
-            new = tables.keep(colour.join(near, "path", "left").select("path", F.col("colour").alias("old"), F.least("colour", "near").alias("colour")), f"colour{step}-{k}")
-            colour = new.select("path", "colour")
-            if new.where("old <> colour").isEmpty():
-                break
-        same = left.join(colour.select(F.col("path").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("path").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst")
-        roots = colour.where("path = colour").select("path")
-        back = traverse(roots, same.withColumn("type", F.lit("link")), reverse=True)
-        part = tables.keep(back.select("path").join(colour, "path").select("path", F.col("colour").alias("scc")), f"part{step}")
+        colour = spread(nodes.select("path", F.col("path").alias("label")), left, tables, f"colour{step}").withColumnRenamed("label", "colour")
+        same = left.join(colour.select(F.col("path").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("path").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
+        # Backwards inside a colour: 0 spreads from its root to all that reach it.
+        own = colour.select("path", F.when(F.col("path") == F.col("colour"), 0).otherwise(1).alias("label"))
+        back = spread(own, tables.keep(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), f"same{step}"), tables, f"back{step}")
+        part = tables.keep(back.where("label = 0").select("path").join(colour, "path").select("path", F.col("colour").alias("scc")), f"part{step}")
         found.append(part)
         nodes = tables.keep(nodes.join(part.select("path"), "path", "left_anti"), f"nodes{step}")
         left = tables.keep(inside(left, nodes), f"arcs{step}")
     if not found:
         return paths.sparkSession.createDataFrame([], "path string, scc string")
-    out = found[0]
-    for p in found[1:]:
-        out = out.unionByName(p)
+    out = reduce(DataFrame.unionByName, found)
     big = out.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1").select("scc")
     return out.join(big, "scc", "left_semi").select("path", "scc")
 
 
 def topological_levels(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """path, level of every node that no cycle excludes: arcs lead to higher levels, and sources have level 0."""
+    """path, level of every node that no cycle excludes: arcs lead to higher levels, and sources have level 0.
+
+    Rounds grow with the logarithm of chains, not with the number of levels (contract.longest_levels).
+    """
     tables = Tables(edges.sparkSession, "levels")
-    left, alive = tables.keep(arcs(edges), "arcs0"), tables.keep(paths.select("path").distinct(), "alive0")
-    parts, level = [], 0
-    while True:
-        free = tables.keep(alive.join(left.select(F.col("dst").alias("path")).distinct(), "path", "left_anti").select("path", F.lit(level).alias("level")), f"level{level}")
-        if free.isEmpty():
-            break
-        parts.append(free)
-        if len(parts) > 16:  # keep the plan short on deep graphs
-            parts = [tables.keep(reduce(DataFrame.unionByName, parts), f"placed{level}")]
-        level += 1
-        alive = tables.keep(alive.join(free.select("path"), "path", "left_anti"), f"alive{level}")
-        left = tables.keep(left.join(free.select(F.col("path").alias("src")), "src", "left_anti").select("src", "dst"), f"arcs{level}")
-        tables.drop(f"arcs{level - 1}", f"alive{level - 1}")
-    return reduce(DataFrame.unionByName, parts) if parts else paths.select("path", F.lit(0).alias("level")).where("false")
+    return longest_levels(paths, tables.keep(arcs(edges), "arcs"))
 
 
 def topological_order(paths: DataFrame, edges: DataFrame) -> tuple[list[str], list[str]]:

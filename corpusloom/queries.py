@@ -528,6 +528,22 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.topological_levels(c.paths, g.build_edges(c).where("type = 'import'")).select("path", F.col("level").cast("long").alias("level"))
 
 
+def deep_arcs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Chains of 400 documents with short cuts; in each whole chain an arc leads from its 391st document back to its 381st."""
+    i, docs = F.col("i"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"))
+    name = lambda x: F.lpad(x.cast("string"), 9, "0")
+    ahead = docs.select(i, F.explode(F.array(F.lit(1), F.when(i % 3 == 0, 2), F.when(i % 400 == 390, -10))).alias("by")).where("by is not null")
+    arcs = ahead.select(i.alias("a"), (i + F.col("by")).alias("b")).where("a div 400 = b div 400").join(docs.select(i.alias("b")), "b", "left_semi")
+    return docs.select(name(i).alias("path")), arcs.select(name(F.col("a")).alias("src"), name(F.col("b")).alias("dst"), F.lit("link").alias("type"))
+
+
+@query("""SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, doc_id % 400 AS level FROM documents
+  WHERE doc_id % 400 < 380 OR (SELECT count(*) FROM documents x WHERE x.doc_id = documents.doc_id // 400 * 400 + 390) = 0""")
+def deep_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of a graph hundreds of arcs deep."""
+    return g.topological_levels(*deep_arcs(spark, sf_dir)).select("path", F.col("level").cast("long").alias("level"))
+
+
 @query()
 def cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One representative cycle of each strongly connected part."""
