@@ -2,17 +2,18 @@
 
 Edges: link, anchor, image, import, id-ref; multiplicity is kept, edges to oneself are not. Iterative operators join a
 frontier with the distinct arcs, keep their state in tables under spark.checkpoint.dir (any executor may be lost) and
-stop when nothing changes, whatever the size of the graph. Cycle paths are found for each component by a task, in
-components too large for one on Spark. A topological order goes by level (the longest path from a source), inside a level
-by path.
+stop when nothing changes, whatever the size of the graph. A topological order goes by level (the longest path from a
+source), inside a level by path.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import deque
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,6 @@ EDGE_TYPES = ("link", "anchor", "image", "import", "id-ref")
 HUB_IN_DEGREE = 3
 #: Levels that a traversal walks one by one.
 PLAIN_LEVELS = 8
-#: Arcs of a strongly connected part that one task walks.
-DRIVER_NODES = 2_000_000
 
 
 def defined_ids(corpus: Corpus, id_pattern: str, definitions: list[str] | None = None, column: str | None = None) -> DataFrame:
@@ -192,75 +191,76 @@ def topological_order(paths: DataFrame, edges: DataFrame) -> tuple[list[str], li
     return [r["path"] for r in placed.orderBy("level", "path").collect()], [r["path"] for r in excluded.orderBy("path").collect()]
 
 
-def cycle_path(members: list[str], out: dict[str, list[str]], steps: int = 100_000) -> list[str]:
-    """A closed walk through the least member: depth-first over sorted neighbours, first hit.
+def cycle_path(out: list[list[int]]) -> list[int]:
+    """The first closed simple path through node 0 in the order of a depth-first walk that takes smaller neighbours first.
 
-    After `steps` moves a shortest closed walk is taken instead, so no component takes exponential time.
+    out: ascending neighbours of each node; every node reaches 0 and is reached by it. A step is taken only if 0 can be
+    reached from there without the nodes walked already, so nothing is taken back: a search that backtracks finds the same
+    path, but may take exponential time. Which nodes still reach 0 is kept as a tree of next hops; a node walked over
+    sends only those whose hops led through it to look for others.
     """
-    inside, start = set(members), min(members)
-    path, trail, moves = [start], {start}, 0
-    choice = [iter(sorted(n for n in out.get(start, ()) if n in inside))]
-    while choice and moves < steps:
-        moves += 1
-        following = next(choice[-1], None)
-        if following is None:
-            choice.pop()
-            trail.discard(path.pop())
-        elif following == start:
-            return [*path, start]
-        elif following not in trail:
-            path.append(following)
-            trail.add(following)
-            choice.append(iter(sorted(n for n in out.get(following, ()) if n in inside)))
-    came, queue = {start: None}, [start]
-    for a in queue:
-        for b in sorted(out.get(a, ())):
-            if b == start:
-                back = [start]
-                while a is not None:
-                    back.append(a)
-                    a = came[a]
-                return back[::-1]
-            if b in inside and b not in came:
-                came[b] = a
-                queue.append(b)
-    raise ValueError(f"{start} lies on no closed walk: not a whole strongly connected part")
+    back: list[list[int]] = [[] for _ in out]
+    for a, following in enumerate(out):
+        for b in following:
+            back[b].append(a)
+    hop: list[int | None] = [None] * len(out)
+    hop[0] = 0
+
+    def attach(queue: deque) -> None:
+        while queue:
+            v = queue.popleft()
+            for u in back[v]:
+                if hop[u] is None and not walked[u]:
+                    hop[u] = v
+                    queue.append(u)
+
+    walked = [False] * len(out)
+    walked[0] = True
+    attach(deque([0]))
+    path, at = [0], 0
+    while True:
+        following = next(b for b in out[at] if (b == 0 and at) or (not walked[b] and hop[b] is not None))
+        if following == 0:
+            return [*path, 0]
+        path.append(following)
+        walked[following] = True
+        lost = [following]
+        for v in lost:
+            lost += [u for u in back[v] if hop[u] == v and u != v and not walked[u]]
+        for v in lost:
+            hop[v] = None
+        again = deque()
+        for v in lost[1:]:
+            if hop[v] is None:
+                w = next((w for w in out[v] if w == 0 or (hop[w] is not None and not walked[w])), None)
+                if w is not None:
+                    hop[v] = w
+                    again.append(v)
+        attach(again)
+        at = following
 
 
 def _part_walk(group: pa.Table) -> pa.Table:
-    out = defaultdict(list)
-    for a, b in zip(group.column("src").to_pylist(), group.column("dst").to_pylist(), strict=True):
-        out[a].append(b)
-    return pa.table([group.column("scc").slice(0, 1), pa.array([cycle_path(sorted(out), out)], pa.list_(pa.string()))], names=["scc", "walk"])
-
-
-def _shortest_walks(inner: DataFrame, tables: Tables) -> DataFrame:
-    """scc, walk: a shortest closed walk through each part's least member, breadth-first on Spark; inner: src, dst, scc."""
-    seen = tables.keep(traverse(inner.select(F.col("scc").alias("path")), inner), "levels")
-    closing = inner.where("dst = scc").join(seen.select(F.col("path").alias("src"), "depth"), "src")
-    best = closing.groupBy("scc").agg(F.min(F.struct("depth", "src")).alias("b"))
-    walks = tables.keep(best.select("scc", F.col("b.src").alias("at"), F.array("b.src", "scc").alias("walk")), "walk0")
-    step = 0
-    while not walks.where("at <> scc").isEmpty():
-        step += 1
-        back = walks.join(seen.select(F.col("path").alias("at"), "via"), "at")
-        walks = tables.keep(back.select("scc", F.coalesce("via", "at").alias("at"), F.when(F.col("via").isNull(), F.col("walk")).otherwise(F.concat(F.array("via"), "walk")).alias("walk")), f"walk{step}")
-        tables.drop(f"walk{step - 1}")
-    return walks.select("scc", "walk")
+    src, dst = (group.column(c).combine_chunks() for c in ("src", "dst"))
+    names = pc.unique(src)
+    names = names.take(pc.array_sort_indices(names))  # in a strongly connected part every node has an arc
+    a, b = (np.asarray(pc.index_in(c, names)) for c in (src, dst))
+    order = np.lexsort((b, a))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(names)))])
+    b = b[order]
+    walk = cycle_path([b[ends[k] : ends[k + 1]].tolist() for k in range(len(names))])
+    return pa.table([group.column("scc").slice(0, 1), pa.array([names.take(pa.array(walk)).to_pylist()], pa.list_(pa.string()))], names=["scc", "walk"])
 
 
 def cycle_walks(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """scc, walk: one closed path for each strongly connected part, by its least member.
+    """scc, walk: one closed path for each strongly connected part, the same at every size; see cycle_path().
 
-    A part of up to DRIVER_NODES arcs is walked by one task (cycle_path), a larger one breadth-first on Spark.
+    A path of a part is sequential, so one task walks a part and holds its arcs; parts share the tasks.
     """
     tables = Tables(edges.sparkSession, "cycles")
     parts = tables.keep(strong_components(paths, edges), "parts")
     inner = arcs(edges).join(parts.select(F.col("path").alias("src"), "scc"), "src").join(parts.select(F.col("path").alias("dst"), F.col("scc").alias("other")), "dst").where("scc = other")
-    inner = tables.keep(inner.select("src", "dst", "scc", F.lit("link").alias("type")), "inner")
-    large = tables.keep(inner.groupBy("scc").agg(F.count("*").alias("n")).where(F.col("n") > DRIVER_NODES).select("scc"), "large")
-    out = inner.join(large, "scc", "left_anti").select("scc", "src", "dst").groupBy("scc").applyInArrow(_part_walk, "scc string, walk array<string>")
-    return out if large.isEmpty() else out.unionByName(_shortest_walks(inner.join(large, "scc", "left_semi"), tables))
+    return tables.keep(inner.select("scc", "src", "dst").groupBy("scc").applyInArrow(_part_walk, "scc string, walk array<string>"), "walks")
 
 
 def cycles(paths: DataFrame, edges: DataFrame) -> list[list[str]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from corpusloom.operators import primitives as p
 from corpusloom.operators.primitives import findings, say
 from corpusloom.operators.registry import Option, Rule, registry
 from corpusloom.sources.corpus import Corpus
+from corpusloom.sources.tables import Tables
 
 TEXT, NUMBER, FLAG = Option("str"), Option("int", least=1), Option("bool")
 TEXTS = Option("list", items=TEXT)
@@ -81,30 +83,62 @@ def import_budget(c: Corpus, o: dict) -> DataFrame:
     budget = closure_tokens(c, edges, o["entrypoints"])
     limit = o["maxTokensPerEntrypoint"]
     over = budget.where(F.col("total") > limit)
-    percent = F.ceil((F.col("total") - limit) * 100 / limit).cast("long")
-    big = findings(over, say("Entry point needs %d estimated tokens, over the budget of " + str(limit) + ".", F.col("total")), line=F.lit(0), totalTokens=F.col("total"), maxTokens=F.lit(limit), importedFiles=F.col("imported"), percentOver=percent)
+    percent = F.format_string("%.1f", (F.col("total") - limit) * 100 / limit)
+    said = say("Entry point needs %d estimated tokens, over the budget of " + str(limit) + " (%s%% over).", F.col("total"), percent)
+    big = findings(over, said, line=F.lit(0), totalTokens=F.col("total"), maxTokens=F.lit(limit), importedFiles=F.col("imported"), percentOver=percent)
     # Only what entry points reach is reported.
     starts = c.paths.where(glob_column(F.col("path"), o["entrypoints"]))
     reached = g.traverse(starts, edges).select("path")
     asked = p.first_existing(c.imports.join(reached, "path", "left_semi").withColumn("full", F.col("raw_target")).withColumn("raw_target", F.expr("substring(raw_target, 2)")), c.paths, c.router)
     missing = findings(asked.where(F.col("target").isNull()), say("Imported file '%s' does not exist.", F.col("full")), col=F.col("col"), rawTarget=F.col("full"))
-    # An import that leads back to where it came from closes a cycle: an arc inside a strongly connected part that does
-    # not lead away from the entry points. Every cycle has one. A document importing itself is a cycle too.
-    parts = g.strong_components(c.paths, edges)
-    far = g.traverse(starts, edges).select("path", "depth")
-    end = lambda a, b: far.join(parts, "path").select(F.col("path").alias(a), F.col("scc").alias(f"{b}_scc"), F.col("depth").alias(f"{b}_depth"))
-    inner = edges.select("src", "dst", "line").join(end("src", "s"), "src").join(end("dst", "d"), "dst")
-    closing = inner.where("s_scc = d_scc and d_depth <= s_depth").select(F.col("src").alias("path"), "line", F.col("dst").alias("cycle"))
-    own = asked.where("target = path").select("path", "line", F.col("path").alias("cycle"))
-    loops = closing.unionByName(own)
-    cyclic = findings(loops, say("Import closes a cycle through '%s'.", F.col("cycle")), cycle=F.col("cycle"))
+    loops = import_cycles(c, edges, asked, o["entrypoints"])
+    cyclic = findings(loops, say("Import closes the cycle %s.", F.array_join("cycle", " -> ")), cycle=F.array_join("cycle", " -> "))
     return big.unionByName(missing).unionByName(cyclic).dropDuplicates(["path", "line", "col", "message"])
 
 
-def closure_tokens(c: Corpus, edges: DataFrame, entrypoints: list[str]) -> DataFrame:
-    """path, total, imported: tokens of each matching entry point and of all that it imports, each file once."""
-    from corpusloom.sources.tables import Tables
+def import_cycles(c: Corpus, edges: DataFrame, asked: DataFrame, entrypoints: list[str]) -> DataFrame:
+    """path, line, cycle: imports that lead back to a document of the chain that led to them, from an entry point.
 
+    asked: imports with path, pos, line and target (null: missing). Documents are visited depth-first, imports in the order of the
+    text, each document once for each entry point; an import of a document on the current chain closes a cycle, which is
+    the chain from there. Each chain is named once for an entry point, at its first import.
+
+    Only entry points that reach a cycle are walked, each by one task, which gets the imports of its closure in order.
+    """
+    own = asked.where("target = path").select("path")
+    looping = g.strong_components(c.paths, edges).select("path").union(own).distinct()
+    reach = closure(c, edges, entrypoints)
+    roots = reach.join(looping, "path", "left_semi").select("root").distinct()
+    hops = reach.join(roots, "root", "left_semi").join(asked.where("target is not null").select("path", "pos", "line", "target"), "path")
+    return hops.select("root", "path", "pos", "line", "target").groupBy("root").applyInArrow(_walk_imports, "path string, line int, cycle array<string>").distinct()
+
+
+def _walk_imports(group: pa.Table) -> pa.Table:
+    hops = group.sort_by([("path", "ascending"), ("pos", "ascending")])
+    out: dict[str, list[tuple[str, int]]] = {}
+    for path, target, line in zip(*(hops.column(c).to_pylist() for c in ("path", "target", "line")), strict=True):
+        out.setdefault(path, []).append((target, line))
+    root = group.column("root")[0].as_py()
+    chain, place, visited, found = [root], {root: 0}, {root}, {}
+    following = [iter(out.get(root, ()))]
+    while chain:
+        target, line = next(following[-1], (None, 0))
+        if target is None:
+            following.pop()
+            del place[chain.pop()]
+        elif target in place:
+            found.setdefault((*chain[place[target] :], target), (chain[-1], line))
+        elif target not in visited:
+            visited.add(target)
+            place[target] = len(chain)
+            chain.append(target)
+            following.append(iter(out.get(target, ())))
+    paths, lines = zip(*found.values(), strict=True) if found else ((), ())
+    return pa.table([pa.array(paths, pa.string()), pa.array(lines, pa.int32()), pa.array([list(k) for k in found], pa.list_(pa.string()))], names=["path", "line", "cycle"])
+
+
+def closure(c: Corpus, edges: DataFrame, entrypoints: list[str]) -> DataFrame:
+    """root, path: each matching entry point with itself and all that it imports, each once."""
     tables = Tables(edges.sparkSession, "closure")
     hop = tables.keep(g.arcs(edges), "arcs")
     seen = tables.keep(c.paths.where(glob_column(F.col("path"), entrypoints)).select(F.col("path").alias("root"), "path"), "0")
@@ -114,7 +148,12 @@ def closure_tokens(c: Corpus, edges: DataFrame, entrypoints: list[str]) -> DataF
         new = frontier.select("root", F.col("path").alias("src")).join(hop, "src").select("root", F.col("dst").alias("path")).distinct()
         frontier = tables.keep(new.join(seen, ["root", "path"], "left_anti"), f"new{step}")
         seen = tables.keep(seen.unionByName(frontier), f"seen{step}")
-    return seen.join(c.tokens, "path").groupBy(F.col("root").alias("path")).agg(F.sum("tokens").alias("total"), (F.count("*") - 1).alias("imported"))
+    return seen
+
+
+def closure_tokens(c: Corpus, edges: DataFrame, entrypoints: list[str]) -> DataFrame:
+    """path, total, imported: tokens of each matching entry point and of all that it imports, each file once."""
+    return closure(c, edges, entrypoints).join(c.tokens, "path").groupBy(F.col("root").alias("path")).agg(F.sum("tokens").alias("total"), (F.count("*") - 1).alias("imported"))
 
 
 # --- tables -------------------------------------------------------------------------------------------------------

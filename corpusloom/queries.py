@@ -544,7 +544,17 @@ def deep_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.topological_levels(*deep_arcs(spark, sf_dir)).select("path", F.col("level").cast("long").alias("level"))
 
 
-@query()
+#: The least closed simple path through each strongly connected part's least member.
+_WALKS = (
+    _ARCS
+    + """, m AS (SELECT x.s AS path, min(least(x.s, x.t)) AS scc FROM w x JOIN w y ON y.s = x.t AND y.t = x.s WHERE x.s <> x.t GROUP BY 1),
+  inner_arcs AS (SELECT a.s, a.t, f.scc FROM a JOIN m f ON f.path = a.s JOIN m o ON o.path = a.t AND o.scc = f.scc),
+  walks(scc, walk) AS (SELECT DISTINCT scc, [scc] FROM m UNION ALL SELECT k.scc, list_append(k.walk, i.t) FROM walks k JOIN inner_arcs i ON i.scc = k.scc AND i.s = k.walk[-1] WHERE (len(k.walk) = 1 OR k.walk[-1] <> k.scc) AND (i.t = k.scc OR NOT list_contains(k.walk, i.t))),
+  least_walks AS (SELECT scc, min(walk) AS walk FROM walks WHERE len(walk) > 1 AND walk[-1] = scc GROUP BY 1)"""
+)
+
+
+@query(_WALKS + " SELECT cycle, CAST(unnest(range(len(walk))) AS BIGINT) AS pos, unnest(walk) AS path FROM (SELECT row_number() OVER (ORDER BY scc) - 1 AS cycle, walk FROM least_walks)")
 def cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One representative cycle of each strongly connected part."""
     paths, edges = lineage_arcs(spark, sf_dir)
@@ -553,6 +563,28 @@ def cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.select("cycle", F.posexplode("walk").alias("pos", "path")).select("cycle", F.col("pos").cast("long").alias("pos"), "path")
 
 
+@query(_WALKS + """ SELECT walk[1] || '.md' AS path, (SELECT count(*) FROM a WHERE s = walk[1] AND t <= walk[2]) AS line, array_to_string([x || '.md' FOR x IN walk], ' -> ') AS cycle FROM least_walks WHERE len(walk) > 3""")
+def reference_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRP-001 over documents that link to each other, a link on each line."""
+    paths, edges = lineage_arcs(spark, sf_dir)
+    links = edges.distinct().groupBy(F.col("src").alias("path")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("[next]("), "dst", F.lit(".md)")))), "\n").alias("content"))
+    raw = paths.join(links, "path", "left").select(F.concat("path", F.lit(".md")).alias("path"), F.coalesce("content", F.lit("End.")).alias("content"))
+    return shown(r.no_cycles(Corpus.of(raw, persist=False), {}), "cycle")
+
+
+@query("""WITH d AS (SELECT doc_id // 6 AS k, count(*) AS n FROM documents GROUP BY 1), c AS (SELECT 'm' || (6 * k + 2) || '.md' AS c, 'm' || (6 * k + 3) || '.md' AS d, 'm' || (6 * k + 4) || '.md' AS e FROM d WHERE n > 4)
+  SELECT e AS path, CAST(1 AS BIGINT) AS line, c || ' -> ' || d || ' -> ' || e || ' -> ' || c AS cycle FROM c UNION ALL SELECT c, 1, d || ' -> ' || e || ' -> ' || c || ' -> ' || d FROM c UNION ALL SELECT c, 3, e || ' -> ' || c || ' -> ' || e FROM c""")
+def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LLM-001 over blocks of six documents: two entry points that enter one strongly connected part at different documents."""
+    i = F.col("i")
+    at = lambda k: F.concat(F.lit("@m"), (i - i % 6 + k).cast("string"), F.lit(".md"))
+    text = F.when(i % 6 == 1, at(3)).when(i % 6 == 2, F.concat(at(3), F.lit("\n\n"), at(4))).when(i % 6 == 3, at(4)).when(i % 6 == 5, "None.").otherwise(at(2))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"))
+    raw = docs.select(F.concat(F.when(i % 6 < 2, "e").otherwise("m"), i.cast("string"), F.lit(".md")).alias("path"), text.alias("content"))
+    found = r.import_budget(Corpus.of(raw, persist=False), {"entrypoints": ["e*.md"], "maxTokensPerEntrypoint": 10**9})
+    return shown(found.where("data.cycle is not null"), "cycle")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -33,13 +33,40 @@ def test_spark_equals_plain_python(random_graph):
     assert all(levels[b] == max(levels[a] for a, t in arcs if t == b) + 1 if any(t == b for _, t in arcs) else levels[b] == 0 for b in levels)
 
 
-def test_cycles_of_parts_beyond_the_limit(monkeypatch, spark):
-    """Two rings and a part with a chord: every part keeps its walk when all have more arcs than one task takes."""
+def backtracking(out):
+    """The first closed simple path by a search that takes steps back."""
+    path, choice = [0], [iter(out[0])]
+    while True:
+        following = next(choice[-1], None)
+        if following is None:
+            choice.pop()
+            path.pop()
+        elif following == 0 and len(path) > 1:
+            return [*path, 0]
+        elif following not in path:
+            path.append(following)
+            choice.append(iter(out[following]))
+
+
+def test_cycle_paths_equal_a_backtracking_search():
+    rng = random.Random(8)
+    for _ in range(500):
+        n = rng.randint(2, 11)
+        ring = rng.sample(range(n), n)
+        arcs = set(zip(ring, ring[1:] + ring[:1], strict=True)) | {tuple(rng.sample(range(n), 2)) for _ in range(rng.randint(0, 2 * n))}
+        out = [sorted(b for a, b in arcs if a == k) for k in range(n)]
+        assert g.cycle_path(out) == backtracking(out)
+
+
+def test_a_search_that_would_take_exponential_time():
+    """Every step leads into a dense part that only its entrance leaves."""
+    k = 40
+    out = [[1]] + [[*range(2, k + 2), k + 2]] + [sorted({*range(2, k + 2)} - {v} | {1}) for v in range(2, k + 2)] + [[0]]
+    assert g.cycle_path(out) == [0, 1, k + 2, 0]
+
+
+def test_every_part_has_a_walk(spark):
     arcs = [(f"{r}{k}", f"{r}{(k + 1) % 5}") for r in "abc" for k in range(5)] + [("c0", "c3"), ("a0", "b0")]
     paths = spark.createDataFrame([(n,) for n in sorted({x for a in arcs for x in a})], "path string")
     edges = spark.createDataFrame([(*a, "link") for a in arcs], "src string, dst string, type string")
-    whole = [[f"{r}{k}" for k in (0, 1, 2, 3, 4, 0)] for r in "abc"]
-    assert g.cycles(paths, edges) == whole
-    for limit, last in ((5, ["c0", "c3", "c4", "c0"]), (4, ["c0", "c3", "c4", "c0"]), (6, whole[2])):
-        monkeypatch.setattr(g, "DRIVER_NODES", limit)
-        assert g.cycles(paths, edges) == [*whole[:2], last]
+    assert g.cycles(paths, edges) == [[f"{r}{k}" for k in (0, 1, 2, 3, 4, 0)] for r in "abc"]
