@@ -127,19 +127,16 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     return _emit(text, args.out or config.compile.get("outFile"))
 
 
-def fix_files(corpus: Corpus, config: conf.Config, root: str) -> list[str]:
-    """Apply the fixes of active fixable rules, one after the other, and write what changed."""
-    spark = corpus.documents.sparkSession
-    texts = {r["path"]: r["content"] for r in corpus.documents.select("path", "content").collect()} if any(rule.fixable for rule, _, s in config.bound if s != "off") else {}
-    changed: dict[str, str] = {}
-    for rule, options, severity in config.bound:
-        if severity == "off" or not rule.fixable:
-            continue
-        now = Corpus.in_memory(spark, texts)
-        made = fix.fix_empty_cells(now, options.get("columns")) if rule.id == "TBL-002" else fix.fix_missing_sections(now, options["sections"])
-        for r in made.collect():
-            changed[r["path"]] = texts[r["path"]] = r["content"]
-    return fix.write_files({str(Path(root) / k): v for k, v in changed.items()})[0]
+def fix_files(corpus: Corpus, config: conf.Config, root: str) -> int:
+    """Apply the fixes of active fixable rules; tasks write the files. The number of files; OSError if some could not be written."""
+    report = fix.apply_fixes(corpus, config.bound, root)
+    if report is None:
+        return 0
+    done = report.where("written").count()
+    failed = report.where("error is not null").orderBy("path").first()
+    if failed:
+        raise OSError(f"--fix could not write {failed['path']} ({failed['error']}); {done} files were changed")
+    return done
 
 
 if __name__ == "__main__":

@@ -1,4 +1,5 @@
 import json
+import os
 import subprocess
 
 import pytest
@@ -209,6 +210,44 @@ def test_ignore_files_equal_git(tmp_path):
     assert {f for f in files if not IgnoreLayers(layers).ignored(f)} == {f for f in listed if f and not f.endswith(".gitignore")}
 
 
+def test_files_are_fixed_by_tasks_in_two_phases(spark, tmp_path):
+    from corpusloom.sources.tables import Tables
+
+    table = "| A | B |\r\n|---|---|\r\n| 1 | |\r\n"
+    texts = {"a.md": table, "sub/b.md": "# X\n" + table.replace("\r", ""), "c.md": "# Setup\n", "skip.md": table}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "a.md").chmod(0o600)
+    corpus = Corpus.in_memory(spark, texts)
+    bound = conf.from_dict({"rules": [{"rule": "TBL-002", "options": {"exclude": ["skip.md"]}}, {"rule": "SEC-001", "options": {"sections": ["Setup"], "exclude": ["skip.md"]}}]}).bound
+    want = {"a.md": table.replace("| |", "| TODO |") + "\r\n## Setup\r\n", "sub/b.md": texts["sub/b.md"].replace("| |", "| TODO |") + "\n## Setup\n"}
+    changed = fix.fold_edits(corpus.documents, fix.rule_edits(corpus, bound))
+    on_disk = lambda: {n: (tmp_path / n).read_bytes().decode() for n in texts}
+    # A task dies after it staged: another attempt stages the same names. One dies after a rename: the next finds it done.
+    tables = Tables(spark, "test")
+    staged = fix.stage_changes(changed, str(tmp_path), tables)
+    again = fix.stage_changes(changed, str(tmp_path), Tables(spark, "test"))
+    assert sorted(r.name for r in staged.collect()) == sorted(r.name for r in again.collect()) and on_disk() == texts
+    lost = staged.where("path = 'a.md'").first()
+    os.replace(lost.name, tmp_path / "a.md")
+    report = fix.commit_changes(staged, str(tmp_path), tables)
+    assert sorted(tuple(r) for r in report.collect()) == [("a.md", True, None), ("sub/b.md", True, None)]
+    assert on_disk() == texts | want and (tmp_path / "a.md").stat().st_mode & 0o777 == 0o600
+    assert not [f for f in tmp_path.rglob(".*")]
+
+
+def test_nothing_is_written_if_a_text_cannot_be_staged(spark, tmp_path):
+    (tmp_path / "a.md").write_text("old")
+    (tmp_path / "file").write_text("not a folder")
+    changed = spark.createDataFrame([("a.md", "new"), ("file/b.md", "new")], "path string, content string")
+    report = {r.path: (r.written, r.error is not None) for r in fix.write_changes(changed, str(tmp_path)).collect()}
+    assert report == {"a.md": (False, False), "file/b.md": (False, True)}
+    assert (tmp_path / "a.md").read_text() == "old" and sorted(f.name for f in tmp_path.iterdir()) == ["a.md", "file"]
+    # A file URI names the same folder.
+    assert fix.write_changes(changed.where("path = 'a.md'"), f"file://{tmp_path}").first().written and (tmp_path / "a.md").read_text() == "new"
+
+
 @pytest.fixture
 def folder(tmp_path):
     for path, text in PROJECT.items():
