@@ -28,6 +28,11 @@ def expand(pattern: str) -> str:
     return pattern if "/" in body else f"{head}**/{body}"
 
 
+def escape_glob(path: Column) -> Column:
+    """A path as a glob that matches nothing else: special characters become classes of one."""
+    return F.regexp_replace(path, r"[\\\\*?\[\]{}()!+@|]", "[$0]")
+
+
 def is_glob(pattern: str) -> bool:
     return bool(re.search(r"[*?\[\]{}]|[!@+]\(|^!", pattern.replace("\\", "/")))
 
@@ -69,7 +74,8 @@ def to_regex(glob: str) -> str:
             out.append("[^/]")
         elif c == "[" and (end := body.find("]", i + 2)) > 0:
             inner = body[i + 1 : end]
-            out.append("[" + ("^" + inner[1:] if inner[0] in "!^" else inner).replace("\\", "\\\\") + "]")
+            negated = inner[0] in "!^" and len(inner) > 1
+            out.append("[" + "^" * negated + re.sub(r"([\\\[\]^&])", r"\\\1", inner[negated:]) + "]")
             i = end
         elif c == "{" and "}" in body[i:]:
             inner = body[i + 1 : body.index("}", i)]

@@ -302,13 +302,52 @@ def test_renderers(project):
 
 
 def test_clusters_and_proposals(spark):
-    adr = "# ADR\n\n## Context\n\n## Decision\n\n| ID | Owner |\n| --- | --- |\n| REQ-{} | x |\n"
-    files = {f"docs/adr/{k}.md": adr.format(k) for k in range(4)} | {"README.md": "[x](docs/adr/1.md#context)\n", "misc/a.md": "x"}
+    adr = "# ADR\n\n## Decision\n\n## Context\n\n## Own\n\n| ID |\n| --- |\n| x |\n"
+    files = {f"docs/adr/{k}.md": adr + "\n## Status\n" * (k > 0) for k in range(4)} | {"README.md": "[x](docs/adr/1.md#context)\n", "misc/a.md": "x"}
     c = Corpus.in_memory(spark, files)
     rows = infer.clusters(c.paths).collect()
-    assert [(r.path, r.kind, r.documents) for r in rows] == [("docs", "known", 4), ("", "root", 1)] and list(rows[0].samples) == [f"docs/adr/{k}.md" for k in range(4)]
-    rules = {r["rule"] for r in infer.propose(c)}
-    assert {"SEC-001", "SEC-002", "TBL-001", "TBL-004", "TBL-006", "REF-001", "REF-002"} <= rules
+    assert [(r.path, r.kind, r.score, r.documents, r.include) for r in rows] == [("docs", "cluster", 7, 4, "docs/**/*.{md,mdx}"), ("", "root", 1, 1, "./*.{md,mdx}")]
+    assert list(rows[0].samples) == [f"docs/adr/{k}.md" for k in range(4)]
+    rules = {r["rule"]: r for r in infer.propose(c)}
+    assert list(rules) == ["CTX-001", "GRP-001", "REF-001", "REF-002", "SEC-001", "TBL-002"]
+    assert rules["SEC-001"]["options"] == {"files": ["docs/**/*.{md,mdx}"], "sections": ["Decision", "Context"]} and rules["GRP-001"]["options"] == {}
+
+
+@pytest.mark.parametrize(
+    ("files", "want"),
+    [
+        ({"a.md": "[b](b.md)\n", "b.md": "[a](a.md#top)\n"}, {"GRP-001", "REF-001", "REF-002"}),
+        ({"a.md": "[b](b.md)\n", "b.md": "# Top\n\n[a](a.md)\n"}, {"GRP-001", "REF-001", 2, "CTX"}),
+        ({"a.md": "![i](x.png) ![j](https://e/x.png)\n"}, {"REF-003"}),
+        ({"a.md": "- [ ] x\n\n[web](https://e/a.md) [self](#top)\n"}, {"CTX-002", "REF-002"}),
+        ({"docs/a.md": "## Status\n\nx\n\n## Context\n\nx\n", "docs/b.md": "## Status\n\nx\n\n## Decision\n\nx\n"}, {"SEC-001"}),
+        ({"docs/a.md": "## Status\n\nx\n\n## Context\n\nx\n", "docs/b.md": "## Status\n\nx\n\n## Consequences\n\nx\n"}, set()),
+        ({"a.md": ""}, set()),
+    ],
+)
+def test_gates_of_proposals(spark, files, want):
+    found = infer.propose(Corpus.in_memory(spark, files))
+    assert {r["rule"] for r in found} == {w for w in want if isinstance(w, str) and "-" in w}
+    if 2 in want:
+        assert next(r for r in found if r["rule"] == "GRP-001")["options"] == {"minCycleLength": 2}
+
+
+def test_scan_of_a_repository(spark):
+    names = ["README.md", "a/x.md", "a/b/y.mdx", "a/b/z.md", "a/.git/c.md", ".github/t.md", ".github/w/u.md", ".github/dist/v.md", ".github/i.txt", "build/.h/d.md", "gen/e.md", "gen/f.md", "apps/web/g.md", "apps/web/docs/h.md", "apps/web/deep/pkg/i.md", "odd[1]/j.md", "odd[1]/k.md", "odd[1]/l.md", ".ign/m.md", "secret.md", "a/.md"]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    ignored = spark.createDataFrame([("gen",), (".ign",), ("secret.md",), ("build",)], "path string")
+    scan = infer.scan_repository(files, ignored, ("apps/web", "apps/web/deep/pkg"))
+    assert sorted(tuple(r) for r in scan.pruned.collect()) == [(".github", "hidden", 2), (".ign", "gitignored", None), ("a/.git", "noise", None), ("build", "noise", None), ("gen", "gitignored", None)]
+    assert sorted(r.path for r in scan.paths.collect()) == sorted(["README.md", "a/x.md", "a/b/y.mdx", "a/b/z.md", "apps/web/g.md", "apps/web/docs/h.md", "apps/web/deep/pkg/i.md", "odd[1]/j.md", "odd[1]/k.md", "odd[1]/l.md"])
+    found = [(r.path, r.kind, r.score, r.package) for r in scan.clusters.collect()]
+    assert found == [("apps/web/docs", "cluster", 4, "apps/web"), ("a", "cluster", 3, None), ("odd[1]", "cluster", 3, None), ("", "root", 1, None), ("apps/web", "root", 1, "apps/web"), ("apps/web/deep/pkg", "root", 1, "apps/web/deep/pkg")]
+    from corpusloom.functions.globs import matches
+
+    odd = next(r.include for r in scan.clusters.collect() if r.path == "odd[1]")
+    assert odd == "odd[[]1[]]/**/*.{md,mdx}" and matches("odd[1]/x/j.md", [odd]) and not matches("odd1/j.md", [odd]) and matches("a!^b", ["a[!][^]b"])
+    lone = infer.scan_repository(spark.createDataFrame([("x/a.md",), ("y/b.md",)], "path string")).clusters.collect()
+    assert [(r.path, r.kind, r.score, r.include, list(r.samples)) for r in lone] == [("", "fallback", 2, "**/*.md", ["x/a.md", "y/b.md"])]
+    assert infer.scan_repository(files.where("false")).clusters.collect() == []
 
 
 def test_streams(spark, tmp_path):
