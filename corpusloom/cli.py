@@ -94,9 +94,9 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
         data = {"include": [r["include"] for r in clusters(corpus.paths).collect()] or ["**/*.md"], "rules": [{k: r[k] for k in ("rule", "options") if r[k]} for r in rules]}
         target = Path(root) / CONFIG_NAME
         if target.exists():
-            old = json.loads(conf.strip_comments(target.read_text(encoding="utf-8")))
-            data = old | {"rules": conf.merge_rules(old.get("rules", []), data["rules"])}
-        text = conf.write(data, {k: r["evidence"] for k, r in enumerate(rules)} if not target.exists() else None)
+            text = conf.merge_into(target.read_text(encoding="utf-8"), data["rules"])
+        else:
+            text = conf.write(data, {k: r["evidence"] for k, r in enumerate(rules)})
         return _emit(text, str(target) if args.yes else None)
     edges = g.build_edges(corpus, config.id_ref).persist()
     if args.command == "graph":

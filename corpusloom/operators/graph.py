@@ -142,7 +142,25 @@ def peel(edges: DataFrame, paths: DataFrame, reverse: bool = False) -> DataFrame
     return paths.select("path").distinct().join(placed, "path", "left_anti")
 
 
-def strong_components(paths: DataFrame, edges: DataFrame) -> DataFrame:
+def analyze(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """path, in_degree, out_degree, role, level, scc, cause: a graph in one frame.
+
+    cause: placed (it has a level in the topological order), cycle (member of a strongly connected part, which `scc` names)
+    or behind (only reached through a cycle). Levels are found once and serve the parts as well.
+    """
+    tables = Tables(edges.sparkSession, "analysis")
+    levels = tables.keep(topological_levels(paths, edges), "levels")
+    parts = tables.keep(strong_components(paths, edges, levels), "parts")
+    cause = F.when(F.col("level").isNotNull(), "placed").when(F.col("scc").isNotNull(), "cycle").otherwise("behind")
+    return roles(build_nodes(paths.distinct(), edges)).join(levels, "path", "left").join(parts, "path", "left").withColumn("cause", cause)
+
+
+def exclusion_counts(analysis: DataFrame) -> DataFrame:
+    """placed, in_cycle, behind: how many documents a reading order holds, and why it leaves out the others."""
+    return analysis.agg(*[F.count_if(F.col("cause") == c).alias(n) for c, n in (("placed", "placed"), ("cycle", "in_cycle"), ("behind", "behind"))])
+
+
+def strong_components(paths: DataFrame, edges: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """path, scc: members of strongly connected parts with more than one node, named by their least path.
 
     Colouring: after peeling from both sides, every node takes the least label that reaches it; a label's node and all
@@ -151,10 +169,12 @@ def strong_components(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """
     tables = Tables(edges.sparkSession, "scc")
     hop = tables.keep(arcs(edges), "hop")
-    core = peel(edges, paths).join(peel(edges, paths, reverse=True), "path")
+    # What a topological order places is on no cycle, and of the rest only the arcs among itself matter.
+    behind = tables.keep(peel(edges, paths) if levels is None else paths.select("path").distinct().join(levels, "path", "left_anti"), "behind")
     inside = lambda df, nodes: df.join(nodes.select(F.col("path").alias("src")), "src", "left_semi").join(nodes.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst")
-    nodes = tables.keep(core, "nodes0")
-    left = tables.keep(inside(hop, nodes), "arcs0")
+    among = tables.keep(inside(hop, behind), "among")
+    nodes = tables.keep(peel(among.withColumn("type", F.lit("link")), behind, reverse=True), "nodes0")
+    left = tables.keep(inside(among, nodes), "arcs0")
     found: list[DataFrame] = []
     step = 0
     while not left.isEmpty():

@@ -210,17 +210,23 @@ def sections_ordered(c: Corpus, o: dict) -> DataFrame:
 
 @rule("SEC-003", "Documents have the headings of a template.", "error", "project", SCOPE | {"template": need(TEXT), "level": NUMBER})
 def sections_of_template(c: Corpus, o: dict) -> DataFrame:
+    """The template is a document of the corpus or a file below its root; one that lies elsewhere or is missing is a finding."""
     template = normalize(o["template"])
     spark = c.documents.sparkSession
     if template.startswith(("..", "/")):
         return findings(spark.createDataFrame([(template,)], "path string"), F.lit("The template lies outside the corpus."), line=F.lit(0))
-    heads = c.headings.where(F.col("path") == template)
+    # The corpus first, then the disk: a frame of one row at most.
+    beside = c.single_file(template)
+    beside = None if beside is None else beside.join(c.paths, "path", "left_anti")
+    heads = c.headings.where(F.col("path") == template).select("pos", "text", "depth")
+    if beside is not None:
+        heads = heads.unionByName(Corpus.of(beside, persist=False).headings.select("pos", "text", "depth"))
     # Distinct headings of one document: few, and a one-row frame carries them to every document.
     wanted = (heads if o.get("level") is None else heads.where(F.col("depth") == o["level"])).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("wanted"))
     have = c.headings.groupBy("path").agg(F.collect_set("text").alias("have"))
     docs = scoped(c.paths, o).where(F.col("path") != template).join(have, "path", "left")
     absent = docs.join(F.broadcast(wanted)).select("path", F.explode(F.array_except("wanted", F.coalesce("have", F.array().cast("array<string>")))).alias("name"))
-    lost = spark.createDataFrame([(template,)], "path string").join(c.paths, "path", "left_anti")
+    lost = spark.createDataFrame([(template,)], "path string").join(c.paths if beside is None else c.paths.union(beside.select("path")), "path", "left_anti")
     return findings(absent, say("Heading '%s' of the template is missing.", F.col("name")), line=F.lit(0), section=F.col("name")).unionByName(findings(lost, F.lit("The template does not exist."), line=F.lit(0)))
 
 
@@ -277,15 +283,30 @@ def zones_declared(c: Corpus, o: dict) -> DataFrame:
     zone = lambda col: zone_of(F.col(col), o["zonesDir"])
     links = scoped(c.links, o).where(F.col("kind") == "local-file").withColumn("target", resolve_relative(F.col("path"), file_part(F.col("raw_target"))))
     links = links.withColumn("from", zone("path")).withColumn("to", zone("target")).where("from is not null and to is not null and from <> to")
-    # A zone is named in running text with no name character on either side: a zone's name is a token, or holds other characters.
-    body = c.section_bodies.where(F.col("text") == o.get("dependencySection", "Dependencies")).select(zone("path").alias("from"), "body").where("from is not null")
-    asked = links.select("from", "to").distinct()
-    named = F.expr("regexp_like(body, concat('(^|[^A-Za-z0-9_-])\\\\Q', to, '\\\\E([^A-Za-z0-9_-]|$)'))")
-    declared = asked.join(body, "from").where(named).select("from", "to").distinct()
+    bodies = c.section_bodies.where(F.col("text") == o.get("dependencySection", "Dependencies")).select(zone("path").alias("from"), "body").where("from is not null")
+    declared = named_zones(bodies, links.select("from", "to").distinct())
     lost = links.join(declared, ["from", "to"], "left_anti")
     return findings(lost, say("Link from zone '%s' to zone '%s' is not declared.", F.col("from"), F.col("to")), col=F.col("col"), fromZone=F.col("from"), toZone=F.col("to"))
 
 
+def named_zones(bodies: DataFrame, asked: DataFrame) -> DataFrame:
+    """bodies: from, body; asked: from, to. The pairs of which a body of `from` names `to` with no name character on either side.
+
+    An index of the bodies' words is met by the first word of each name: wherever the name stands so, that word is one of
+    the text's. A name of one word is decided by that; others are looked for in the bodies that hold their first word, and
+    those without any word in all bodies of their zone.
+    """
+    word = "[A-Za-z0-9_-]+"
+    first = F.regexp_extract("to", word, 0)
+    asked = asked.withColumn("word", first)
+    words = bodies.select("from", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(word), F.lit(0)))).alias("word"))
+    stands = F.expr("regexp_like(body, concat('(^|[^A-Za-z0-9_-])\\\\Q', replace(to, '\\\\E', ''), '\\\\E([^A-Za-z0-9_-]|$)'))")
+    single = asked.where("word = to").join(words.select("from", "word").distinct(), ["from", "word"], "left_semi").select("from", "to")
+    several = asked.where("word <> to and word <> ''").join(words, ["from", "word"]).where(stands).select("from", "to")
+    none = asked.where("word = ''").join(bodies, "from").where(stands).select("from", "to")
+    return single.unionByName(several).unionByName(none).distinct()
+
+
 @rule("REF-005", "Ids that are referenced are defined, and the reverse.", "error", "project", {"idPattern": need(TEXT), "definitions": need(TEXTS), "references": need(TEXTS), "idColumn": TEXT, "referenceColumn": TEXT})
 def ids_traced(c: Corpus, o: dict) -> DataFrame:
     defined = g.defined_ids(c, o["idPattern"], o["definitions"], o.get("idColumn"))

@@ -114,3 +114,82 @@ def merge_rules(existing: list[dict], proposed: list[dict]) -> list[dict]:
     """existing and those proposed rules whose id and options it does not hold yet."""
     seen = {(r["rule"], json.dumps(r.get("options", {}), sort_keys=True)) for r in existing}
     return existing + [r for r in proposed if (r["rule"], json.dumps(r.get("options", {}), sort_keys=True)) not in seen]
+
+
+_TOKEN = re.compile(r'(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<text>"(?:[^"\\]|\\.)*")|(?P<mark>[\[\]{},:])|(?P<word>[^\s\[\]{},:"/]+)', re.DOTALL)
+
+
+def _places(text: str) -> dict[tuple, tuple[int, int, int, bool]]:
+    """For each object and array by its keys: (start, end of its last entry or -1, place of its closing mark, comma behind the last entry)."""
+    found: dict[tuple, tuple[int, int, int, bool]] = {}
+    open_: list[list] = []  # path, start, end of the last entry, comma, key or index
+    key: Any = None
+    for m in _TOKEN.finditer(text):
+        if m["skip"] is not None:
+            continue
+        mark = m["mark"]
+        if mark and mark in "]}":
+            path, start, last, comma, _ = open_.pop()
+            found[path] = (start, last, m.start(), comma)
+        elif mark and mark in "[{":
+            path = (*open_[-1][0], key if isinstance(open_[-1][4], str) else open_[-1][4]) if open_ else ()
+            open_.append([path, m.start(), -1, False, "" if mark == "{" else 0])
+            continue
+        elif mark == ",":
+            open_[-1][3] = True
+            if not isinstance(open_[-1][4], str):
+                open_[-1][4] += 1
+            continue
+        elif mark == ":":
+            continue
+        elif m["text"] is not None:
+            key = json.loads(m["text"])
+        if open_:
+            open_[-1][2], open_[-1][3] = m.end(), False
+    return found
+
+
+def _added(text: str, place: tuple[int, int, int, bool], entries: list[str]) -> str:
+    """text with entries behind the last one of an object or array; every other character stays."""
+    start, last, close, comma = place
+    line = text.rfind("\n", 0, close) + 1
+    outer = re.match(r"[ \t]*", text[line:])[0]
+    end = "\r\n" if "\r\n" in text else "\n"
+    if last < 0:
+        body = text[start + 1 : close]
+        lines = f",{end}".join(f"{outer}  {e}" for e in entries)
+        gap = "" if "\n" in body and not body.rsplit("\n", 1)[1].strip() else end
+        kept = body.rsplit("\n", 1)[0].rstrip("\r") + end if gap == "" else body + gap
+        return text[: start + 1] + kept + lines + end + outer + text[close:]
+    if "\n" not in text[start:close]:
+        return text[:last] + ", " + ", ".join(entries) + text[last:]
+    inner = re.match(r"[ \t]*", text[text.rfind("\n", 0, last) + 1 :])[0]
+    stop = _line_end(text, last)
+    new = "".join(f"{end}{inner}{e}," for e in entries)
+    return text[:last] + "," * (not comma) + text[last:stop] + (new if comma else new[:-1]) + text[stop:]
+
+
+def _line_end(text: str, at: int) -> int:
+    """The end of the line of an entry that ends at `at`: a comment there belongs to it."""
+    while m := _TOKEN.match(text, at):
+        if m["skip"] is None and m["mark"] != ",":
+            break
+        if m["skip"] and m["skip"].isspace() and "\n" in m["skip"]:
+            return at + re.search(r"\r?\n", m["skip"]).start()
+        at = m.end()
+    return at
+
+
+def merge_into(text: str, proposed: list[dict], notes: dict[int, str] | None = None) -> str:
+    """A configuration's text with the proposed rules it does not hold yet, edited in place: comments, order and layout stay."""
+    mark = "\ufeff" if text.startswith("\ufeff") else ""
+    text = text.removeprefix(mark)
+    data = json.loads(strip_comments(text))
+    new = merge_rules(data.get("rules", []), proposed)[len(data.get("rules", [])) :]
+    if not new:
+        return mark + text
+    entries = [json.dumps(e, ensure_ascii=False) for e in new]
+    places = _places(text)
+    if "rules" in data:
+        return mark + _added(text, places[("rules",)], entries)
+    return mark + _added(text, places[()], ['"rules": [' + ", ".join(entries) + "]"])

@@ -585,6 +585,86 @@ def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(found.where("data.cycle is not null"), "cycle")
 
 
+#: Paths of pages: hosts are folders, those named m. or blog. lie in hidden ones, and Spanish pages in a noise folder.
+_FILES = """WITH f AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', ''), '^(m|blog)\\.', '.\\1/'), '/es(/|$)', '/dist\\1') || '.md' AS path FROM pages),
+  x AS (SELECT path, string_split(path, '/') AS s FROM f), k AS (SELECT *, [i FOR i IN range(1, len(s)) IF s[i] = 'dist' OR s[i][1] = '.'] AS why FROM x),
+  kept AS (SELECT path, [array_to_string(s[1:i], '/') FOR i IN range(1, len(s))] AS dirs FROM k WHERE len(why) = 0)"""
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    for pattern, new in (("[?#].*$", ""), ("/+$", ""), (r"^(m|blog)\.", ".$1/"), ("/es(/|$)", "/dist$1")):
+        path = F.regexp_replace(path, pattern, new)
+    return table(spark, sf_dir, "pages").select(F.concat(path, F.lit(".md")).alias("path")).distinct()
+
+
+@query(_FILES + """ SELECT array_to_string(s[1:why[1]], '/') AS path, CASE WHEN s[why[1]] = 'dist' THEN 'noise' ELSE 'hidden' END AS reason,
+  CAST(CASE WHEN s[why[1]] = 'dist' THEN -1 ELSE count(*) FILTER (NOT list_contains(s[1:len(s) - 1], 'dist')) END AS BIGINT) AS documents FROM k WHERE len(why) > 0 GROUP BY 1, 2, s[why[1]]""")
+def scan_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that a scan does not enter, and how many documents hidden ones hold."""
+    from corpusloom.operators.infer import scan_repository
+
+    return scan_repository(page_files(spark, sf_dir)).pruned.select("path", "reason", F.coalesce("documents", F.lit(-1)).alias("documents"))
+
+
+@query(_FILES + """, c AS (SELECT dir, count(*) AS n FROM (SELECT unnest(dirs) AS dir FROM kept) GROUP BY 1), q AS (SELECT * FROM c WHERE n >= 3)
+  SELECT dir AS path, 'cluster' AS kind, n AS score, n AS documents, dir || '/**/*.{md,mdx}' AS include, (SELECT string_agg(path, ' ' ORDER BY path) FROM (SELECT path FROM kept WHERE starts_with(path, q.dir || '/') ORDER BY path LIMIT 5)) AS samples
+  FROM q WHERE NOT EXISTS (SELECT 1 FROM q u WHERE starts_with(q.dir, u.dir || '/'))
+  UNION ALL SELECT '', 'root', count(*), count(*), './*.{md,mdx}', (SELECT string_agg(path, ' ' ORDER BY path) FROM (SELECT path FROM kept WHERE len(dirs) = 0 ORDER BY path LIMIT 5)) FROM kept WHERE len(dirs) = 0 HAVING count(*) > 0""")
+def scan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of documents that a scan proposes."""
+    from corpusloom.operators.infer import scan_repository
+
+    return scan_repository(page_files(spark, sf_dir)).clusters.select("path", "kind", F.col("score").cast("long").alias("score"), "documents", "include", F.array_join("samples", " ").alias("samples"))
+
+
+@query(D + """, c AS (SELECT 'z' || (i % 5) AS cluster, i, unnest(['localLinks', 'anchorLinks', 'images', 'tables', 'checklistItems']) AS pattern, unnest([CASE WHEN i % 7 <> 3 THEN 1 ELSE 0 END + 1 + CASE WHEN i % 17 = 0 THEN 1 ELSE 0 END, 1, CASE WHEN i % 23 = 0 THEN 1 ELSE 0 END, 1, 2]) AS n FROM d
+    UNION ALL SELECT 'z' || (i % 5), i, 'placeholderSections', 1 FROM d WHERE i % 29 = 0)
+  SELECT pattern, coalesce(cluster, '*') AS cluster, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (n > 0) AS documents FROM c GROUP BY GROUPING SETS ((pattern, cluster), (pattern))""")
+def pattern_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents hold, by folder and in all."""
+    from corpusloom.operators.infer import pattern_counts, tally_totals
+
+    counts = pattern_counts(corpus(spark, sf_dir)).withColumn("cluster", s.dirname(F.col("path")))
+    return tally_totals(counts).select("pattern", F.coalesce("cluster", F.lit("*")).alias("cluster"), "n", "documents")
+
+
+@query("""WITH h AS (SELECT doc_id AS i, doc_id % 10 AS c, unnest(['Context', 'Status', 'Decision', 'Consequences', 'Other']) AS text, CAST(unnest([0, 1, 2, 3, 4]) AS INTEGER) AS pos FROM documents),
+  k AS (SELECT * FROM h WHERE NOT (text = 'Context' AND c = 4) AND NOT (text = 'Status' AND i % 20 = 5) AND NOT (text = 'Decision' AND (i % 20 = 6 OR c = 4)) AND NOT (text = 'Consequences' AND c > 3) AND text <> 'Other'),
+  z AS (SELECT c, count(*) AS n FROM (SELECT DISTINCT i, c FROM h) GROUP BY 1), bad AS (SELECT DISTINCT c FROM (SELECT i, c, count(*) AS core FROM k WHERE text <> 'Consequences' GROUP BY 1, 2) WHERE core < 2)
+  SELECT 'c' || k.c AS cluster, text, min(pos) AS pos FROM k JOIN z USING (c) WHERE k.c NOT IN (SELECT c FROM bad) GROUP BY k.c, text, z.n HAVING count(*) = z.n""")
+def shared_decision_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections that all decision records of a cluster share, where each has two of the core ones."""
+    from corpusloom.operators.infer import decision_sections
+
+    i, c = F.col("i"), F.col("i") % 10
+    names = ["Context", "Status", "Decision", "Consequences", "Other"]
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i")).withColumn("cluster", F.concat(F.lit("c"), c.cast("string"))).withColumn("path", F.lpad(i.cast("string"), 9, "0"))
+    heads = docs.select("i", "cluster", "path", F.posexplode(F.array(*map(F.lit, names))).alias("pos", "text"))
+    lost = ((F.col("text") == "Context") & (c == 4)) | ((F.col("text") == "Status") & (i % 20 == 5)) | ((F.col("text") == "Decision") & ((i % 20 == 6) | (c == 4))) | ((F.col("text") == "Consequences") & (c > 3))
+    return decision_sections(heads.where(~lost).select("cluster", "path", "pos", "text"), docs.select("cluster", "path"))
+
+
+@query(D + """, l AS (SELECT path, i % 5 AS f, nxt % 5 AS t, 3 + o AS line FROM d WHERE i % 7 <> 3 UNION ALL SELECT path, i % 5, anc % 5, 13 + o FROM d)
+  SELECT 'lib/' || path AS path, CAST(line AS BIGINT) AS line, 'z' || f AS "fromZone", 'z' || t AS "toZone" FROM l WHERE f <> t AND NOT (f % 2 = 0 AND t = (f + 1) % 5)""")
+def declared_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REF-004 where every other zone declares the next one; the others only name something like it."""
+    raw = generated_documents(spark, sf_dir)
+    k = F.regexp_extract("path", "^z(\\d)", 1).cast("int")
+    after = F.concat(F.lit("z"), ((k + 1) % 5).cast("string"))
+    said = F.when(k % 2 == 0, F.concat(F.lit("Needs "), after, F.lit(", and no other."))).otherwise(F.concat(after, F.lit("x or x-"), after))
+    raw = raw.select(F.concat(F.lit("lib/"), "path").alias("path"), F.concat("content", F.lit("\n\n## Dependencies\n\n"), said).alias("content"))
+    return shown(r.zones_declared(Corpus.of(raw, persist=False), {"zonesDir": "lib"}), "fromZone", "toZone")
+
+
+@query(_ARCS + """, p AS (SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path FROM documents), c AS (SELECT s AS path FROM w WHERE s = t), b AS (SELECT DISTINCT t AS path FROM w WHERE s IN (SELECT path FROM c)),
+  lv(path, level) AS (SELECT path, 0 FROM p WHERE path NOT IN (SELECT path FROM c) AND path NOT IN (SELECT path FROM b) UNION SELECT a.t, lv.level + 1 FROM lv JOIN a ON a.s = lv.path WHERE a.t NOT IN (SELECT path FROM c) AND a.t NOT IN (SELECT path FROM b))
+  SELECT p.path, CASE WHEN p.path IN (SELECT path FROM c) THEN 'cycle' WHEN p.path IN (SELECT path FROM b) THEN 'behind' ELSE 'placed' END AS cause, coalesce((SELECT max(level) FROM lv WHERE lv.path = p.path), -1) AS level FROM p""")
+def graph_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a reading order leaves documents out, with the levels of the others."""
+    return g.analyze(*lineage_arcs(spark, sf_dir)).select("path", "cause", F.coalesce("level", F.lit(-1)).alias("level"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

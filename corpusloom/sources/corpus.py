@@ -58,17 +58,18 @@ def parse_documents(raw: DataFrame) -> DataFrame:
 
 @dataclass
 class Corpus:
-    """Relations of a parsed corpus. files(path): everything on disk that a target may point at (default: the documents)."""
+    """Relations of a parsed corpus. files(path): everything on disk that a target may point at (default: the documents); root: its folder."""
 
     documents: DataFrame
     files: DataFrame | None = None
     router: dict | None = None
+    root: str | None = None
 
     @classmethod
-    def of(cls, raw: DataFrame, files: DataFrame | None = None, router: dict | None = None, persist: bool = True) -> Corpus:
+    def of(cls, raw: DataFrame, files: DataFrame | None = None, router: dict | None = None, persist: bool = True, root: str | None = None) -> Corpus:
         """persist: keep parsed rows (memory, then disk), so that the scanner runs once for all relations."""
         parsed = parse_documents(raw)
-        return cls(parsed.persist() if persist else parsed, files, router)
+        return cls(parsed.persist() if persist else parsed, files, router, root)
 
     @classmethod
     def in_memory(cls, spark: SparkSession, documents: dict[str, str], files: list[str] = (), router: dict | None = None) -> Corpus:
@@ -76,6 +77,24 @@ class Corpus:
         listing = spark.createDataFrame([(f,) for f in {*documents, *files}], "path string")
         return cls.of(raw, listing, router)
 
+    def single_file(self, path: str) -> DataFrame | None:
+        """path, content of one file below the root, in the corpus or not; None if there is no root or no such file inside it.
+
+        Hadoop is asked for this one name, so the root may be any address that Spark reads; executors read the text.
+        """
+        from corpusloom.sources.listing import escape_path, inside
+
+        if self.root is None or path.startswith(("/", "../")) or path in ("", "..") or not inside(self.root, path):
+            return None
+        spark = self.documents.sparkSession
+        name = f"{self.root.rstrip('/')}/{path}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(name)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(place) or not files.getFileStatus(place).isFile():
+            return None
+        text = spark.read.format("binaryFile").load(escape_path(name))
+        return text.select(F.lit(path).alias("path"), F.decode("content", "UTF-8").alias("content"))
+
     def _children(self, name: str, ordinal: str = "pos") -> DataFrame:
         # Only the exploded array is read, so a persisted or Parquet corpus is pruned to one column.
         return self.documents.select("path", F.posexplode(name).alias(ordinal, "x")).select("path", ordinal, "x.*")

@@ -102,13 +102,22 @@ def read_corpus(spark: SparkSession, root: str, scope: Scope | None = None, rout
     top = os.path.realpath(root)
     listing = spark.createDataFrame([(f,) for f in everything], "path string")
     if not chosen:
-        return Corpus.of(spark.createDataFrame([], "path string, content string"), listing, router)
+        return Corpus.of(spark.createDataFrame([], "path string, content string"), listing, router, root=top)
     # Paths go in by name: file names may hold characters that a glob would read.
-    text = spark.read.format("binaryFile").load([f"file://{_escape(os.path.join(top, f))}" for f in chosen])
-    return Corpus.of(_relative(text, top).withColumn("content", F.decode("content", "UTF-8")), listing, router)
+    text = spark.read.format("binaryFile").load([f"file://{escape_path(os.path.join(top, f))}" for f in chosen])
+    return Corpus.of(_relative(text, top).withColumn("content", F.decode("content", "UTF-8")), listing, router, root=top)
 
 
-def _escape(path: str) -> str:
+def inside(root: str, path: str) -> bool:
+    """Whether a path stays below a root once local links are followed."""
+    if "://" in root:
+        return True  # no links that lead out in stores that are no local folder
+    top = os.path.realpath(root.removeprefix("file:"))
+    return os.path.commonpath([top, os.path.realpath(os.path.join(top, path))]) == top
+
+
+def escape_path(path: str) -> str:
+    """A path as Spark's readers take it literally."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
@@ -132,7 +141,7 @@ def read_tree(spark: SparkSession, uri: str, scope: Scope | None = None, router:
     own = F.regexp_replace(F.col("path"), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
     path = F.substring(own, len(top) + 2, 1 << 20)
     raw = files.where(in_scope(path, list(scope.include), list(scope.exclude))).select(path.alias("path"), F.decode("content", "UTF-8").alias("content"))
-    return Corpus.of(raw, files.select(path.alias("path")), router)
+    return Corpus.of(raw, files.select(path.alias("path")), router, root=uri)
 
 
 def read_table(frame: DataFrame, path: str = "path", content: str = "content", router: dict | None = None) -> Corpus:

@@ -210,6 +210,60 @@ def test_ignore_files_equal_git(tmp_path):
     assert {f for f in files if not IgnoreLayers(layers).ignored(f)} == {f for f in listed if f and not f.endswith(".gitignore")}
 
 
+MERGED = {
+    '{\n  // own\n  "rules": [\n    // why\n    { "rule": "A" }, // here\n    { "rule": "B" } /* two\n lines */ // last\n  ]\n}\n': '{\n  // own\n  "rules": [\n    // why\n    { "rule": "A" }, // here\n    { "rule": "B" }, /* two\n lines */ // last\n    {"rule": "REF-001"},\n    {"rule": "REF-002", "options": {"x": 1}}\n  ]\n}\n',
+    '{\r\n\t"rules": [\r\n\t\t{"rule": "A"}, // a\r\n\t],\r\n}\r\n': '{\r\n\t"rules": [\r\n\t\t{"rule": "A"}, // a\r\n\t\t{"rule": "REF-001"},\r\n\t\t{"rule": "REF-002", "options": {"x": 1}},\r\n\t],\r\n}\r\n',
+    '{"rules": [{"rule": "A"}, ]}': '{"rules": [{"rule": "A"}, {"rule": "REF-001"}, {"rule": "REF-002", "options": {"x": 1}}, ]}',
+    '{"a": {"rules": [1]}, "b": "]"}': '{"a": {"rules": [1]}, "b": "]", "rules": [{"rule": "REF-001"}, {"rule": "REF-002", "options": {"x": 1}}]}',
+    '{\n  "rules": [\n    // none\n  ],\n  "include": ["a//b"]\n}\n': '{\n  "rules": [\n    // none\n    {"rule": "REF-001"},\n    {"rule": "REF-002", "options": {"x": 1}}\n  ],\n  "include": ["a//b"]\n}\n',
+    "{\n}": '{\n  "rules": [{"rule": "REF-001"}, {"rule": "REF-002", "options": {"x": 1}}]\n}',
+}
+
+
+def test_configurations_are_merged_in_place():
+    new = [{"rule": "REF-001"}, {"rule": "REF-002", "options": {"x": 1}}]
+    for text, want in MERGED.items():
+        assert conf.merge_into(text, new) == want and conf.merge_into(want, new) == want
+        assert conf.merge_into("\ufeff" + text, new) == "\ufeff" + want
+        assert json.loads(conf.strip_comments(want)).keys() == json.loads(conf.strip_comments(text)).keys() | {"rules"}
+
+
+def test_templates_beside_the_corpus(spark, tmp_path):
+    from corpusloom.sources.listing import read_corpus, read_tree
+
+    (tmp_path / "top" / "docs").mkdir(parents=True)
+    (tmp_path / "top" / "docs" / "a.md").write_text("# One\n")
+    (tmp_path / "top" / "shape[1].txt").write_text("# One\n\n## Two\n")
+    (tmp_path / "out.md").write_text("# Out\n")
+    (tmp_path / "top" / "link.md").symlink_to(tmp_path / "out.md")
+    for corpus in (read_corpus(spark, str(tmp_path / "top")), read_tree(spark, f"file://{tmp_path}/top")):
+        found = lambda template, corpus=corpus: sorted((r.path, r.data.get("section")) for r in registry.get("SEC-003").check(corpus, {"template": template, "files": ["docs/*.md"]}).collect())
+        assert found("shape[1].txt") == [("docs/a.md", "Two")] and found("docs/a.md") == []
+        assert found("absent.md") == [("absent.md", None)] and found("../out.md") == [("../out.md", None)]
+    assert read_corpus(spark, str(tmp_path / "top")).single_file("link.md") is None
+
+
+def test_zones_are_named_by_their_words(spark):
+    bodies = spark.createDataFrame([("a", "Uses b-1, c.d and (日本)."), ("a", "also e f"), ("b", "b-12 c d x日本x e"), ("q", "\\\\Q b")], "from string, body string")
+    names = ["b-1", "b", "c.d", "c", "日本", "e f", "e", "absent", "\\\\Q", "f g"]
+    asked = spark.createDataFrame([(z, n) for z in "abq" for n in names], "from string, to string")
+    from corpusloom.operators.rules import named_zones
+
+    want = {("a", n) for n in ("b-1", "c.d", "c", "日本", "e f", "e")} | {("b", n) for n in ("c", "e")} | {("q", "b")}
+    got = {tuple(r) for r in named_zones(bodies, asked).collect()}
+    assert got - {("q", "\\\\Q")} == want
+
+
+def test_analysis_tells_why_documents_are_left_out(spark):
+    arcs = [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("a", "e"), ("a", "b")]
+    paths = spark.createDataFrame([(n,) for n in "abcdef"], "path string")
+    edges = spark.createDataFrame([(*x, "link") for x in arcs], "src string, dst string, type string")
+    made = g.analyze(paths, edges)
+    rows = {r.path: (r.in_degree, r.out_degree, r.role, r.level, r.scc, r.cause) for r in made.collect()}
+    assert rows == {"a": (0, 3, "entry", 0, None, "placed"), "b": (3, 1, "hub", None, "b", "cycle"), "c": (1, 2, "bridge", None, "b", "cycle"), "d": (1, 1, "bridge", None, None, "behind"), "e": (2, 0, "leaf", None, None, "behind"), "f": (0, 0, "isolated", 0, None, "placed")}
+    assert tuple(g.exclusion_counts(made).first()) == (2, 2, 2)
+
+
 def test_files_are_fixed_by_tasks_in_two_phases(spark, tmp_path):
     from corpusloom.sources.tables import Tables
 
@@ -316,13 +370,10 @@ def test_clusters_and_proposals(spark):
 @pytest.mark.parametrize(
     ("files", "want"),
     [
-        ({"a.md": "[b](b.md)\n", "b.md": "[a](a.md#top)\n"}, {"GRP-001", "REF-001", "REF-002"}),
         ({"a.md": "[b](b.md)\n", "b.md": "# Top\n\n[a](a.md)\n"}, {"GRP-001", "REF-001", 2, "CTX"}),
-        ({"a.md": "![i](x.png) ![j](https://e/x.png)\n"}, {"REF-003"}),
-        ({"a.md": "- [ ] x\n\n[web](https://e/a.md) [self](#top)\n"}, {"CTX-002", "REF-002"}),
+        ({"a.md": "- [ ] x\n\n[web](https://e/a.md) [self](#top)\n\n![i](x.png) ![j](https://e/x.png)\n"}, {"CTX-002", "REF-002", "REF-003"}),
         ({"docs/a.md": "## Status\n\nx\n\n## Context\n\nx\n", "docs/b.md": "## Status\n\nx\n\n## Decision\n\nx\n"}, {"SEC-001"}),
         ({"docs/a.md": "## Status\n\nx\n\n## Context\n\nx\n", "docs/b.md": "## Status\n\nx\n\n## Consequences\n\nx\n"}, set()),
-        ({"a.md": ""}, set()),
     ],
 )
 def test_gates_of_proposals(spark, files, want):
