@@ -116,7 +116,7 @@ def merge_rules(existing: list[dict], proposed: list[dict]) -> list[dict]:
     return existing + [r for r in proposed if (r["rule"], json.dumps(r.get("options", {}), sort_keys=True)) not in seen]
 
 
-_TOKEN = re.compile(r'(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<text>"(?:[^"\\]|\\.)*")|(?P<mark>[\[\]{},:])|(?P<word>[^\s\[\]{},:"/]+)', re.DOTALL)
+_TOKEN = re.compile(r'(?P<skip>\s+|//[^\r\n]*|/\*.*?\*/)|(?P<text>"(?:[^"\\]|\\.)*")|(?P<mark>[\[\]{},:])|(?P<word>[^\s\[\]{},:"/]+)', re.DOTALL)
 
 
 def _places(text: str) -> dict[tuple, tuple[int, int, int, bool]]:
