@@ -49,7 +49,7 @@ def _contract(arcs: DataFrame, deepest: bool, tables: Tables) -> tuple[DataFrame
     """
     weight = F.max if deepest else F.min
     real = lambda c: ~F.col(c).isin(_VIRTUAL)
-    a, settled, loose, turn = tables.keep(arcs, "arcs0"), [], None, 0
+    a, pointers, turn = tables.keep(arcs, "arcs0"), [], 0
     while True:
         turn += 1
         if not deepest:
@@ -70,18 +70,14 @@ def _contract(arcs: DataFrame, deepest: bool, tables: Tables) -> tuple[DataFrame
         else:
             moved = moved.where((F.col("src") != F.col("dst")) & (F.col("src") != CYCLE))
         a = tables.keep(rest.where(~real("src")).unionByName(moved).groupBy("src", "dst").agg(weight("w").alias("w")), f"arcs{turn}")
-        # Pointers to virtual nodes are final; the others follow their root when it is contracted itself.
-        if loose is not None:
-            up = loose.join(f.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("w").alias("more")), "root", "left")
-            f = f.unionByName(up.select("node", F.coalesce("next", "root").alias("root"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w")))
-        if going or loose is not None:
-            f = tables.keep(f, f"found{turn}")
-            loose = f.where(real("root"))
-            loose = None if loose.isEmpty() else loose
-        settled.append(f.where(~real("root")))
+        pointers.append(f)
         tables.drop(f"arcs{turn - 1}", f"led{turn}")
-    parts = settled if loose is None else [*settled, loose]
-    return (reduce(DataFrame.unionByName, parts) if parts else None), a
+    if not pointers:
+        return None, a
+    # A root may be contracted in a later turn itself: the pointers of all turns are one forest.
+    whole = tables.keep(reduce(DataFrame.unionByName, pointers).select("node", F.col("root").alias("up"), "w", real("root").alias("going")), "whole")
+    count, going = whole.agg(F.count("*"), F.count_if("going")).first()
+    return (forest(whole, count, tables, "whole") if going else whole.select("node", F.col("up").alias("root"), "w")), a
 
 
 def longest_levels(paths: DataFrame, arcs: DataFrame) -> DataFrame:

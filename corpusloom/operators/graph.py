@@ -308,12 +308,16 @@ def coverage(corpus: Corpus) -> DataFrame:
     return asked.join(corpus.on_disk, "path", "left_semi").join(corpus.paths, "path", "left_anti")
 
 
+def direct_references(target: str, edges: DataFrame) -> DataFrame:
+    """path, references: documents that refer to target, and how often."""
+    return edges.where((F.col("dst") == target) & (F.col("src") != target)).groupBy(F.col("src").alias("path")).agg(F.count("*").alias("references"))
+
+
 def impact(target: str, edges: DataFrame) -> dict[str, DataFrame]:
     """directly(path, references), transitively(path, depth, via) and affected(path) of a change to target."""
     spark: SparkSession = edges.sparkSession
     visits = traverse(spark.createDataFrame([(target,)], "path string"), edges, reverse=True)
-    direct = edges.where((F.col("dst") == target) & (F.col("src") != target)).groupBy(F.col("src").alias("path")).agg(F.count("*").alias("references"))
-    return {"directly": direct, "transitively": visits.where("depth >= 2"), "affected": visits.select("path")}
+    return {"directly": direct_references(target, edges), "transitively": visits.where("depth >= 2"), "affected": visits.select("path")}
 
 
 def relativize(parts: dict[str, DataFrame], base: str) -> dict[str, DataFrame]:

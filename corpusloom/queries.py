@@ -239,13 +239,14 @@ def cross_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(r.zones_declared(Corpus.of(raw, persist=False), {"zonesDir": "lib"}), "fromZone", "toZone")
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS id, 'error' AS severity, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) GROUP BY ALL
-  UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'warning', 1 FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+@query("""WITH d AS (SELECT 'O-' || o_orderkey AS id FROM orders UNION ALL SELECT 'C-' || c_custkey FROM customer), u AS (SELECT 'O-' || l_orderkey AS id FROM lineitem UNION ALL SELECT 'C-' || l_partkey FROM lineitem)
+  SELECT id, 'error' AS severity, count(*) AS n FROM u WHERE id NOT IN (SELECT id FROM d) GROUP BY ALL UNION ALL SELECT id, 'warning', 1 FROM d WHERE id NOT IN (SELECT id FROM u)""")
 def id_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dangling and orphan ids: line items against the orders whose key 3 does not divide."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.lit("orders").alias("path"), F.lit(0).alias("ord"), F.lit(1).alias("line"), F.col("o_orderkey").cast("string").alias("id"))
-    items = table(spark, sf_dir, "lineitem").select(F.lit("lineitem").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").cast("string").alias("id"))
-    return r.trace(orders, items).groupBy(F.col("data.id").alias("id"), "severity").agg(F.count("*").alias("n"))
+    """Dangling and orphan ids: orders and customers against the keys that line items name (their part keys as if they were customers)."""
+    ids = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string")).alias("id")
+    own = lambda t, mark, c: table(spark, sf_dir, t).select(F.lit(t).alias("path"), F.lit(0).alias("ord"), F.lit(1).alias("line"), ids(mark, c))
+    named = table(spark, sf_dir, "lineitem").select(F.lit("lineitem").alias("path"), F.col("l_linenumber").alias("line"), F.explode(F.array(ids("O-", "l_orderkey"), ids("C-", "l_partkey"))).alias("id"))
+    return r.trace(own("orders", "O-", "o_orderkey").union(own("customer", "C-", "c_custkey")), named).groupBy(F.col("data.id").alias("id"), "severity").agg(F.count("*").alias("n"))
 
 
 @query(D + " SELECT path, CAST(9 + o AS BIGINT) AS line, 'REQ-' || dep AS id, 'error' AS severity FROM d WHERE dep >= n UNION ALL SELECT path, CAST(9 + o AS BIGINT), 'REQ-' || i, 'warning' FROM d WHERE i NOT IN (SELECT dep FROM d)")
@@ -285,12 +286,12 @@ def chain_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lost.groupBy(F.col("path").alias("stage"), F.col("data.id").alias("id"), F.col("line").cast("long").alias("line")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'nation' AS stage, CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)
-  UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT 'orders' AS stage, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+  UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
 def chain_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = lambda t, c: table(spark, sf_dir, t).select(F.lit(t).alias("path"), F.lit(1).alias("line"), F.col(c).cast("string").alias("id"))
-    one = r.uncovered(ids("nation", "n_nationkey"), ids("customer", "c_nationkey"))
-    two = r.uncovered(ids("customer", "c_custkey"), ids("orders", "o_custkey"))
+    one = r.uncovered(ids("orders", "o_orderkey"), ids("lineitem", "l_orderkey"))
+    two = r.uncovered(ids("customer", "c_custkey"), ids("events", "user_id"))
     return one.unionByName(two).select(F.col("path").alias("stage"), F.col("data.id").alias("id"))
 
 
@@ -665,6 +666,62 @@ def graph_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.analyze(*lineage_arcs(spark, sf_dir)).select("path", "cause", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
+# --- lookups, profiles, fixes ----------------------------------------------------------------------------------------
+
+
+@query(D + """ SELECT DISTINCT kind, key, path FROM (SELECT path, unnest(['path', 'heading', 'heading', 'heading', 'heading', 'heading', 'id']) AS kind, unnest([path, 'doc-' || i, 'items', 'notes', 'later', 'end', 'REQ-' || i]) AS key FROM d)""")
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that a lookup can name: paths, headings and ids."""
+    return g.search_index(corpus(spark, sf_dir), {"id_pattern": r"^REQ-\d+$", "column": "ID"}).select("kind", "key", "path")
+
+
+@query(D + " SELECT 'z' || (i % 5) || '/missing-' || i || '.md' AS path FROM d WHERE i % 17 = 0")
+def outside_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents on disk that links point at, but that the corpus does not hold."""
+    c = corpus(spark, sf_dir)
+    lying = table(spark, sf_dir, "documents").select(F.concat(s.dirname(path_of(F.col("doc_id"))), F.lit("/missing-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    return g.coverage(Corpus(c.documents, lying))
+
+
+@query(D + " SELECT path, CAST(9 + o AS BIGINT) AS line FROM d WHERE i % 11 = 0")
+def custom_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A custom rule made of an assertion."""
+    _, rule = r.custom_rule("DOC-001", {"kind": "columnMatches", "column": "Status", "pattern": "^(open|done)$"})
+    return shown(rule.check(corpus(spark, sf_dir), {}))
+
+
+@query(E + " SELECT CASE WHEN starts_with(src, 'z3/') THEN substr(src, 4) ELSE '../' || src END AS path, count(*) AS n_references FROM e WHERE dst = 'z3/doc-33.md' GROUP BY 1")
+def impact_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that refer to a changed one, as seen from its folder."""
+    direct = g.direct_references("z3/doc-33.md", g.build_edges(corpus(spark, sf_dir)))
+    return g.relativize({"directly": direct}, "z3")["directly"].withColumnRenamed("references", "n_references")
+
+
+@query(E + """, x AS (SELECT p.path, p.i, (SELECT count(*) FROM e WHERE dst = p.path) AS a, (SELECT count(*) FROM e WHERE src = p.path) AS u FROM p),
+  t AS (SELECT i, repeat('N', length(CAST(i AS VARCHAR))) AS a, repeat('N', length(CAST(dep AS VARCHAR))) AS b FROM d)
+  SELECT x.path, CASE WHEN x.a = 0 AND u = 0 THEN 'isolated' WHEN x.a >= 3 THEN 'hub' WHEN x.a = 0 THEN 'entry' WHEN u = 0 THEN 'leaf' ELSE 'bridge' END AS role, 'doc-' || i || ' items notes later end' AS outline, 'ID|Owner|Status|Depends' AS schemas, CASE WHEN t.a = t.b THEN 'REQ-' || t.a ELSE '' END AS id_pattern,
+    coalesce((SELECT string_agg(y, ' ' ORDER BY y) FROM (SELECT DISTINCT dst || ':' || type AS y FROM e WHERE src = x.path)), '') AS refers, coalesce((SELECT string_agg(y, ' ' ORDER BY y) FROM (SELECT DISTINCT src || ':' || type AS y FROM e WHERE dst = x.path)), '') AS referred FROM x JOIN t USING (i)""")
+def document_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the compiled artifact tells of each document."""
+    from corpusloom.operators.profile import profiles
+
+    c = corpus(spark, sf_dir)
+    told = lambda x: F.array_join(F.array_sort(F.transform(F.coalesce(x, F.array()), lambda y: F.concat(y["path"], F.lit(":"), y["type"]))), " ")
+    rows = profiles(c, g.build_edges(c))
+    outline, schemas = F.array_join(F.transform("outline", lambda x: x["slug"]), " "), F.array_join(F.transform("table_schemas", lambda x: F.array_join(x["headers"], "|")), " ")
+    return rows.select("path", "role", outline.alias("outline"), schemas.alias("schemas"), F.coalesce("id_pattern", F.lit("")).alias("id_pattern"), told(F.col("references_to")).alias("refers"), told(F.col("referenced_by")).alias("referred"))
+
+
+@query(D + """ SELECT path, '| REQ-' || i || ' | ' || CASE WHEN i % 7 = 0 THEN 'TODO' ELSE 'owner' || (i % 4) END || ' | ' || CASE WHEN i % 11 = 0 THEN 'bad' WHEN i % 2 = 0 THEN 'open' ELSE 'done' END || ' | REQ-' || dep || ' |' AS fixed_row, chr(10) || chr(10) || '## Appendix' || chr(10) AS tail FROM d""")
+def fixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of two fixable rules, folded once per document."""
+    from corpusloom.plans import fix
+
+    c = corpus(spark, sf_dir)
+    made = fix.fold_edits(c.documents, fix.rule_edits(c, bound(("TBL-002", {}), ("SEC-001", {"sections": ["Items", "Appendix"]}))))
+    return made.select("path", F.filter(F.split("content", "\n"), lambda x: x.startswith("| REQ-"))[0].alias("fixed_row"), F.right("content", F.lit(14)).alias("tail"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
