@@ -113,14 +113,20 @@ def format_turns(conversations: DataFrame, path: str) -> DataFrame:
     return conversations.select(*columns).mapInArrow(run, TURNS)
 
 
-def parse(ids: list[int], path: str) -> tuple[str, str]:
-    """Role and text of a formatted turn, from its ids alone."""
+def split(ids: list[int], path: str) -> tuple[str, str, int]:
+    """Role and text of a formatted turn, still escaped, from its ids alone, and the place of the id between them."""
     pool, base = alphabet(path)
     say = ids.index(base + SAY)
     if ids[0] != base + TURN or ids[-1] != base + END:
         raise ValueError("not a formatted turn")
-    plain = lambda part: unescape(b"".join([pool[i] for i in part]).decode())
-    return plain(ids[1:say]), plain(ids[say + 1 : -1])
+    shown = lambda part: b"".join([pool[i] for i in part]).decode()
+    return shown(ids[1:say]), shown(ids[say + 1 : -1]), say
+
+
+def parse(ids: list[int], path: str) -> tuple[str, str]:
+    """Role and text of a formatted turn."""
+    role, text, _ = split(ids, path)
+    return unescape(role), unescape(text)
 
 
 def read_back(turns: DataFrame, path: str) -> DataFrame:
@@ -140,20 +146,31 @@ def read_back(turns: DataFrame, path: str) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
+        fixed = sum(map(len, CONTROLS))
         for batch in batches:
-            for k in range(batch.num_rows):
-                conv_id, ids, loss = batch.column(0)[k].as_py(), batch.column(1)[k].values.to_pylist(), np.asarray(batch.column(2)[k].values.to_numpy(zero_copy_only=False), dtype=bool)
+            listed, masks = batch.column(1), batch.column(2)
+            ends = np.asarray(listed.offsets) - listed.offsets[0].as_py()
+            flat = listed.flatten().to_numpy().tolist()
+            under = np.asarray(masks.flatten().to_numpy(zero_copy_only=False), dtype=bool)
+            before = np.concatenate([[0], np.cumsum(under)])
+            for k, conv_id in enumerate(batch.column(0).to_pylist()):
+                begin, end = int(ends[k]), int(ends[k + 1])
+                ids = flat[begin:end]
                 if now is None or now[0] != conv_id:
                     if now is not None:
                         out.append(ended())
                     now, state = (conv_id,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = parse(ids, path)
+                raw_role, raw_text, say = split(ids, path)
+                role, text = unescape(raw_role), unescape(raw_text)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
-                masked = unescape(b"".join([pool[ids[i]] for i in np.flatnonzero(loss)]).decode())
-                state[2] += len(masked)
-                state[3].update(masked.encode())
-                state[4] += len(b"".join([pool[i] for i in ids]).decode())
+                n = before[end] - before[begin]
+                if n:
+                    own = n == before[end - 1] - before[begin + say + 1] == end - begin - say - 2
+                    masked = text if own else unescape(b"".join([pool[ids[i]] for i in np.flatnonzero(under[begin:end])]).decode())
+                    state[2] += len(masked)
+                    state[3].update(masked.encode())
+                state[4] += fixed + len(raw_role) + len(raw_text)
             if out:
                 yield flush()
         if now is not None:

@@ -64,6 +64,17 @@ def test_ids_masks_and_characters(spark):
         assert learnt == (list(range(r.ids.index(base + 1) + 1, len(r.ids) - 1)) if role == "assistant" else [])
 
 
+def test_digests_follow_the_mask(spark):
+    """What is read back is what the mask covers, whatever it covers."""
+    from pyspark.sql import functions as F
+
+    turns = format_turns(conversations(spark, [(1, 0, "user", "ab cd"), (1, 1, "assistant", "x y"), (1, 2, "assistant", "")]), PATH)
+    shifted = turns.withColumn("loss", F.expr("transform(ids, (x, i) -> turn = 0 and i > 2 and i < size(ids) - 2 or turn = 1 and i = size(ids) - 3)"))
+    row = read_back(shifted, PATH).first()
+    assert (row.loss_chars, row.loss_sha256) == (3, hashlib.sha256(b"abx").hexdigest()) and row.n_turns == 3
+    assert read_back(turns, PATH).first().loss_sha256 == hashlib.sha256(b"x y").hexdigest()
+
+
 def test_segments_are_encoded_separately(spark):
     from tokenizers import Tokenizer
 
