@@ -21,6 +21,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,10 @@ class ForcedBoundaryBpe:
         return out
 
     def fragment(self, letters: str, ends: bool) -> tuple[int, ...]:
-        """Ids of a fragment: the lowest-ranked pair is merged, leftmost first, until none is left."""
+        """Ids of a fragment: the lowest-ranked pair is merged, leftmost first, until none is left.
+
+        Pairs wait in a heap and parts are linked, so n letters take n log n steps.
+        """
         known = self.fragments.get((letters, ends))
         if known is not None:
             return known
@@ -91,17 +95,26 @@ class ForcedBoundaryBpe:
         if ends:
             parts[-1] += self.end_mark
         ids = [self.vocab[p] for p in parts if p in self.vocab]
-        merge = self.merge
-        while len(ids) > 1:
-            best, where = None, -1
-            for k in range(len(ids) - 1):
-                found = merge.get((ids[k], ids[k + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, where = found, k
-            if best is None:
-                break
-            ids[where : where + 2] = [best[1]]
-        self.fragments[letters, ends] = out = tuple(ids)
+        size, merge = len(ids), self.merge
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        # (rank, place, pair, result): a rank is of one pair only, so equal ranks go by place.
+        waiting = [(merge[pair][0], k, pair, merge[pair][1]) for k, pair in enumerate(zip(ids, ids[1:])) if pair in merge]
+        heapify(waiting)
+        while waiting:
+            _, k, pair, made = heappop(waiting)
+            other = after[k]
+            if other == size or (ids[k], ids[other]) != pair:
+                continue  # one of the two was merged meanwhile
+            ids[k], ids[other] = made, -1
+            after[k] = after[other]
+            if after[k] < size:
+                before[after[k]] = k
+            for left, right in ((before[k], k), (k, after[k])):
+                if left >= 0 and right < size and (found := merge.get((ids[left], ids[right]))):
+                    heappush(waiting, (found[0], left, (ids[left], ids[right]), found[1]))
+        out = tuple(i for i in ids if i >= 0)
+        if len(letters) <= 64:
+            self.fragments[letters, ends] = out
         return out
 
     def encode_plain(self, text: str) -> list[int]:

@@ -30,6 +30,13 @@ def test_equals_library(text):
     assert (got["n_tokens"][0].as_py(), got["ids_sha256"][0].as_py(), got["decoded_sha256"][0].as_py()) == expected(text)
 
 
+def test_long_runs_take_no_square_time():
+    for text in ("a" * 300_000, "ab" * 100_000, "schön" * 40_000, "0" * 100_000 + " x " + "=" * 100_001):
+        got = forced_bpe(PATH).digest(pa.array([text]))
+        assert (got["n_tokens"][0].as_py(), got["ids_sha256"][0].as_py(), got["decoded_sha256"][0].as_py()) == expected(text)
+    assert all(len(letters) <= 64 for letters, _ in forced_bpe(PATH).fragments)
+
+
 def test_cuts_never_cross_a_merge():
     bpe = forced_bpe(PATH)
     cut = [w for w in ("schönheit", "qxzjk", "señorñó", "vwqx", "heitlichkeitßä") if len(bpe.cut(w.encode().decode("latin-1").translate(bpe.stand_in))) > 1]
