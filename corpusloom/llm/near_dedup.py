@@ -247,12 +247,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicates (that of the least doc_id; one of its rows if it has several), whole."""
-    found = Scratch(docs.sparkSession, "near").keep(near_duplicates(docs, size, percent).select("doc_id", "kept"), "found")
-    # What is dropped grows with the corpus: the join is by key at every size, so its cost stays in proportion.
-    left = docs.join(found.where(~F.col("kept")).select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    """One row of each group of near-duplicates, whole: that of the least doc_id. Rows without doc_id all stay.
+
+    What counts is the text: where doc_ids repeat, different texts under one of them are documents of their own, and
+    rows of one doc_id and text are one.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        found = scratch.keep(near_duplicates(docs, size, percent).select("doc_id", "kept"), "found")
+        # What is dropped grows with the corpus: the join is by key at every size, so its cost stays in proportion.
+        return docs.join(found.where(~F.col("kept")).select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own"), F.col("text").alias("text"))
+    # Every different text of a doc_id gets a number, which the table fixes; the digest spreads a hot doc_id.
+    named = packed.where("own is not null").withColumn("digest", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).dropDuplicates(["own", "digest"])
+    rows = scratch.keep(named.select(F.monotonically_increasing_id().alias("doc_id"), "own", "text", "row"), "rows")
+    found = scratch.keep(near_duplicates(rows, size, percent).select("doc_id", "component_id"), "found")
+    first = found.join(rows.select("doc_id", "own"), "doc_id").groupBy("component_id").agg(F.min(F.struct("own", "doc_id")).alias("first"))
+    kept = rows.join(first.select(F.col("first.doc_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("row.*")
+    return kept.unionByName(docs.where("doc_id is null"))

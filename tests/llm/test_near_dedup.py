@@ -125,3 +125,24 @@ def test_one_row_of_each_group_stays(spark):
     kept = near_dedup.keep_representatives(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 2), (False, 5), (False, 7), (True, 0)]
+
+
+def test_texts_count_not_ids_where_ids_repeat(spark):
+    """A second text under an id stays though the first is a copy; an id with two texts keeps both; equal rows are one."""
+    rng = np.random.default_rng(3)
+    a, b, c, d = (" ".join(f"{k}{i}" for i in rng.permutation(60)) for k in "abcd")
+    rows = [(3, a, "r"), (7, a + " more", "r"), (7, b, "s"), (9, c, "t"), (9, d, "u"), (9, d, "u"), (11, None, "v"), (11, None, "v"), (None, a, "w"), (None, a, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string")
+    kept = near_dedup.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    texts = {a: "a", a + " more": "a2", b: "b", c: "c", d: "d", None: ""}
+    assert sorted((r.doc_id or 0, texts[r.text]) for r in kept.collect()) == [(0, "a"), (0, "a"), (3, "a"), (7, "b"), (9, "c"), (9, "d"), (11, "")]
+
+
+def test_a_hot_id_loses_no_text(spark):
+    """Half of all rows carry one id, each with a text of its own; a tenth are near copies."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(60)]
+    rows = [(5, t) for t in texts] + [(100 + k, t) for k, t in enumerate(texts[:6])] + [(200 + k, f"z{k} " * 7 + f"y{k}") for k in range(54)]
+    kept = near_dedup.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [5] * 60 + list(range(200, 254))
+    assert {r.text for r in kept if r.doc_id == 5} == set(texts)
