@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 #: Records in one Arrow batch sent to Python; Spark also ends a batch at spark.sql.execution.arrow.maxBytesPerBatch.
 BATCH_ROWS = 4096
 BATCH_BYTES = 16 << 20
-#: Rows that annotate() works on at a time.
-SLICE_ROWS = 1024
+#: Rows that annotate() works on at a time, and bytes of text after which a slice ends sooner.
+SLICE_ROWS, SLICE_BYTES = 1024, 2 << 20
 
 #: What empties the caches that encoders keep in this worker; each encoder's module adds its own.
 encoder_caches: list[Callable[[], None]] = []
@@ -115,6 +115,16 @@ def forget_encoders() -> None:
         empty()
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of slices of at most SLICE_ROWS rows and SLICE_BYTES of text, or of one longer text."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    start, before = 0, 0
+    while start < len(ends):
+        stop = min(start + SLICE_ROWS, max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
+        yield start, stop - start
+        start, before = stop, int(ends[stop - 1])
+
+
 def annotate(df: DataFrame, compute: Callable[[pa.Array, pa.Array], dict[str, pa.Array]], schema: str, key: str = "doc_id", text: str = "text", encodes: bool = False) -> DataFrame:
     """One row per input row: column `row` holds all input columns untouched, beside the columns that `compute` derives.
 
@@ -128,8 +138,8 @@ def annotate(df: DataFrame, compute: Callable[[pa.Array, pa.Array], dict[str, pa
         if not encodes:
             forget_encoders()
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE_ROWS):
-                row, key_column, texts = (c.slice(k, SLICE_ROWS) for c in batch.columns)
+            for k, size in slices(batch.column(2)):
+                row, key_column, texts = (c.slice(k, size) for c in batch.columns)
                 columns = compute(key_column, texts)
                 yield pa.RecordBatch.from_arrays([row, *(columns[n] for n in names[1:])], names)
                 pa.default_memory_pool().release_unused()

@@ -8,7 +8,9 @@ cycles. Each layer's characters map to the span of the document they came from,
 reported at its place in the document. Base64 broken into lines of one width is also read joined. A run that does not
 decode to text as a whole (other characters of the alphabet may stand before or behind what was encoded, as in
 `key/...` or `x-...`) is decoded at each of the four alignments, and what is readable or opens a compressed block in it
-is a layer that maps to its part of the run. All members of a compressed block are read as a stream; what it holds is scanned in overlapping windows, so memory is bounded, not coverage.
+is a layer that maps to its part of the run. Decoded bytes are read as UTF-8, or as UTF-16 where every second byte is
+zero. All members of a compressed block are read as a stream; what it holds is scanned in overlapping windows, so memory is bounded, not coverage. What a layer keeps besides its text is one entry
+for each match that was rewritten.
 Bounds that remain: one base64 run may inflate to BOMB bytes (all nested formats together), zstd windows to EXPANSION,
 formats nest 64 deep, and a run inside a layer of several windows may be cut if longer than EXPANSION characters.
 
@@ -26,6 +28,8 @@ import html
 import re
 import string
 import zlib
+from array import array
+from bisect import bisect_right
 from collections import deque
 from itertools import chain
 from typing import NamedTuple
@@ -54,12 +58,13 @@ BOMB = 1 << 30
 #: Characters of a window, those it shares with the next at least, and bytes inflated at a time.
 WINDOW, OVERLAP, STEP = 4 << 20, 1 << 16, 1 << 20
 #: A text without a match of this holds no secret and nothing to unwrap.
-_ANY = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}"
+_ANY = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}"
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+_ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\U[0-9A-Fa-f]{8})+|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Inside decoded bytes: text, and what may open a compressed block.
 _STRETCH = re.compile(rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){10,}")
+_WIDE = [(re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){10,}"), "utf-16-le"), (re.compile(rb"(?:\x00[\t\r\n\x20-\x7e]){10,}"), "utf-16-be")]
 _OPENS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\x28\xb5\x2f\xfd")
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)+={0,2}")
 _RUN = string.ascii_letters + string.digits + "+/_-=%\\"
@@ -87,38 +92,60 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class Rewrites:
+    """Where the characters of a rewritten layer stood in the layer below it: four 32-bit numbers for each rewritten match."""
+
+    def __init__(self, under: Rewrites | tuple[int, int] | None):
+        self.under = under
+        self.made, self.made_end, self.old, self.old_end = (array("i") for _ in range(4))
+
+    def add(self, made: int, size: int, old: int, old_end: int) -> None:
+        """The match from old to old_end became `size` characters from `made` on."""
+        for column, value in zip((self.made, self.made_end, self.old, self.old_end), (made, made + size, old, old_end), strict=True):
+            column.append(value)
+
+    def below(self, start: int, end: int) -> tuple[int, int]:
+        """The span there of a span here that is not empty; places never run backwards, so its ends decide."""
+        i, j = bisect_right(self.made, start) - 1, bisect_right(self.made, end - 1) - 1
+        if i >= 0:
+            start = self.old[i] if start < self.made_end[i] else self.old_end[i] + start - self.made_end[i]
+        if j >= 0:
+            end = self.old_end[j] + max(0, end - self.made_end[j])
+        return start, end
+
+
 class Layer(NamedTuple):
     text: str
-    starts: np.ndarray | None  # place in the document of each character; None: the document itself
-    ends: np.ndarray | None
+    place: Rewrites | tuple[int, int] | None  # a span of the document for all of it, or None: the document itself
     names: tuple[str, ...]
     window: bool = False  # one of several that make up a layer
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        if self.starts is None:
-            return start, end
-        return int(self.starts[start:end].min()), int(self.ends[start:end].max())
+        place = self.place
+        while isinstance(place, Rewrites):
+            start, end = place.below(start, end)
+            place = place.under
+        return place or (start, end)
 
 
 def _rewritten(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
     """The layer with each match replaced by what it decodes to, or None if nothing decodes."""
-    pieces, starts, ends, at, changed = [], [], [], 0, False
-    own = np.arange(len(layer.text)) if layer.starts is None else layer.starts
-    own_end = own + 1 if layer.ends is None else layer.ends
+    pieces, at, length, places = [], 0, 0, Rewrites(layer.place)
     for m in pattern.finditer(layer.text):
         made = decode(m.group())
         if made is None:
             continue
-        changed = True
-        a, b = layer.span(m.start(), m.end())
+        length += m.start() - at
+        places.add(length, len(made), m.start(), m.end())
         pieces += [layer.text[at : m.start()], made]
-        starts += [own[at : m.start()], np.full(len(made), a)]
-        ends += [own_end[at : m.start()], np.full(len(made), b)]
+        length += len(made)
         at = m.end()
-    if not changed:
+    if not pieces:
         return None
     pieces.append(layer.text[at:])
-    return Layer("".join(pieces), np.concatenate([*starts, own[at:]]), np.concatenate([*ends, own_end[at:]]), (*layer.names, name))
+    # Below a layer that is one span as a whole, every character is of that span.
+    place = layer.place if isinstance(layer.place, tuple) else places
+    return Layer("".join(pieces), place, (*layer.names, name))
 
 
 def _from_percent(run: str) -> str | None:
@@ -133,6 +160,8 @@ def _from_escape(run: str) -> str | None:
         return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
     if run[1] == "x":
         return bytes.fromhex(run.replace("\\x", "")).decode("utf-8", "replace")
+    if run[1] == "U":
+        return bytes.fromhex(run.replace("\\U", "")).decode("utf-32-be", "replace")
     return bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "replace")
 
 
@@ -211,9 +240,20 @@ def _readable(text: str) -> bool:
     return bool(text) and (plain.isprintable() or sum(not c.isprintable() for c in plain) <= len(text) // 20)
 
 
-def _windows(chunks):
-    """(text, whether one of several) of a stream as far as it is UTF-8 text; a run at a window's end opens the next."""
-    decoder, held, fresh, several = codecs.getincrementaldecoder("utf-8")(), "", 0, False
+def _encoding(head: bytes) -> str:
+    """UTF-16 by its mark, or because every second byte of the first 64 or fewer is zero (nearly all); else UTF-8."""
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    pairs = min(len(head), 64) // 2
+    for first, name in ((1, "utf-16-le"), (0, "utf-16-be")):
+        if pairs >= 5 and 10 * head[first : 2 * pairs : 2].count(0) >= 9 * pairs and not head[1 - first : 2 * pairs : 2].count(0):
+            return name
+    return "utf-8"
+
+
+def _windows(chunks, encoding: str = "utf-8"):
+    """(text, whether one of several) of a stream as far as it is text; a run at a window's end opens the next."""
+    decoder, held, fresh, several = codecs.getincrementaldecoder(encoding)(), "", 0, False
     try:
         for data in chunks:
             more = decoder.decode(data)
@@ -234,13 +274,14 @@ def _windows(chunks):
 
 def _texts(source, names: tuple[str, ...], left: list[int]):
     """(text, names, several) of what source() streams, below as many compressed formats as nest."""
-    name = _format(_Source(source()).read()[:4])
+    head = _Source(source()).read()[:64]
+    name = _format(head[:4])
     if name and len(names) <= 64:
         failed = [False]
         yield from _texts(lambda: _members(name, source(), left, failed), (*names, name), left)
         if not failed[0]:
             return
-    for text, several in _windows(source()):
+    for text, several in _windows(source(), _encoding(head)):
         yield text, names, several
 
 
@@ -275,12 +316,12 @@ def _unwrapped(layer: Layer):
             a, b = layer.span(start, end)
             for text, names, several in _texts(_chunked(_decoded(run)), ("base64",), [BOMB]):
                 whole = True
-                yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)), (*layer.names, *names), several)
+                yield Layer(text, (a, b), (*layer.names, *names), several)
         if whole:
             continue
         for text, names, several, first, last in _aligned(run):
             a, b = layer.span(start + first, start + min(last, len(run))) if straight else layer.span(start, end)
-            yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)), (*layer.names, *names), several)
+            yield Layer(text, (a, b), (*layer.names, *names), several)
 
 
 def _decoded(run: str) -> bytes:
@@ -299,6 +340,9 @@ def _aligned(run: str):
         place = lambda at: skip + at // 3 * 4
         for m in _STRETCH.finditer(data):
             yield m.group().decode("utf-8", "replace"), ("base64",), False, place(m.start()), place(m.end() + 2)
+        for pattern, encoding in _WIDE:
+            for m in pattern.finditer(data):
+                yield m.group().decode(encoding), ("base64",), False, place(m.start()), place(m.end() + 2)
         for m in _OPENS.finditer(data):
             if m.start() or skip:  # the block at the very start was read with the whole run
                 for text, names, several in _texts(_chunked(data, m.start()), ("base64",), [BOMB]):
@@ -310,7 +354,7 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[Finding]]:
     """The matches in the text itself, and all findings with those of unwrapped layers."""
     base = scan(text)
     found = {(s, r, e): Finding(s, r, e, "") for s, r, e in base}
-    work = deque([Layer(text, None, None, ())])
+    work = deque([Layer(text, None, ())])
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
 
     def visit(layer: Layer) -> None:

@@ -1,15 +1,19 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import zlib
 from urllib.parse import quote
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corpusloom.llm.common import SLICE_BYTES, SLICE_ROWS, slices
 from corpusloom.llm.queries import op10_secret_worklist
-from corpusloom.llm.secrets import find_secrets, redact, redact_documents, scan, scan_documents
+from corpusloom.llm.secrets import _ESCAPE, _PERCENT, Layer, _from_escape, _from_percent, _rewritten, find_secrets, redact, redact_documents, scan, scan_documents
 
 from .fixtures import ODD_TEXTS, empty_documents, odd_documents
 
@@ -119,3 +123,50 @@ def test_base64_at_any_alignment():
 def test_long_runs_of_other_text_end():
     assert layers("path/to/some-long_name/" * 40_000) == set()
     assert layers("a" * 3_000_000) == set()
+
+
+def test_wide_text_and_eight_digit_escapes():
+    for encoding in ("utf-16-le", "utf-16-be", "utf-16"):
+        run = base64.b64encode(f"{SECRET} and more".encode(encoding)).decode()
+        assert (4, 4 + len(run), "base64") in layers(f"see {run} end"), encoding
+        assert any(names == "base64" for *_, names in layers(f"see key/{run.rstrip('=')} end")), encoding
+        packed = base64.b64encode(gzip.compress(SECRET.encode(encoding), mtime=0)).decode()
+        assert (4, 4 + len(packed), "base64>gzip") in layers(f"see {packed} end"), encoding
+    escaped = "".join(f"\\U{ord(c):08x}" for c in SECRET)
+    assert (3, 3 + len(escaped), "unicode") in layers(f"a: {escaped} b")
+
+
+def test_places_of_nested_rewrites_equal_a_map_of_characters():
+    """Entries for each match against a place kept for every character, through several layers."""
+    rng = random.Random(7)
+    parts = ["a", "bc", "%41", "%2541", "%25", "&#37;41", "&#1;", "\\u0025", "\\x41\\x42", "%E2%82%AC", " ", "%5Cu0041"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 30)))
+        layer, plain = Layer(text, None, ()), [(k, k + 1) for k in range(len(text))]
+        for _ in range(5):
+            for pattern, decode in ((_PERCENT, _from_percent), (_ESCAPE, _from_escape)):
+                below = _rewritten(layer, pattern, decode, "x")
+                if below is None:
+                    continue
+                places, at = [], 0
+                for m in pattern.finditer(layer.text):
+                    made = decode(m.group())
+                    if made is not None:
+                        inside = plain[m.start() : m.end()]
+                        places += plain[at : m.start()] + [(min(a for a, _ in inside), max(b for _, b in inside))] * len(made)
+                        at = m.end()
+                layer, plain = below, places + plain[at:]
+                assert len(plain) == len(layer.text)
+                for _ in range(10 if plain else 0):
+                    a = rng.randrange(len(plain))
+                    b = rng.randrange(a, len(plain)) + 1
+                    assert layer.span(a, b) == (min(x for x, _ in plain[a:b]), max(y for _, y in plain[a:b]))
+
+
+def test_slices_are_bounded_by_bytes_too():
+    texts = pa.array(["x" * n for n in (10, SLICE_BYTES, 5, 3 * SLICE_BYTES, 0, 7)] + [None] * 3 + ["y"] * 3000)
+    got = list(slices(texts))
+    assert [k for k, _ in got] == [0, *np.cumsum([n for _, n in got])[:-1]] and sum(n for _, n in got) == len(texts)
+    sizes = [sum(len(t or "") for t in texts.slice(k, n).to_pylist()) for k, n in got]
+    assert all(n <= SLICE_ROWS and (n == 1 or size <= SLICE_BYTES) for (_, n), size in zip(got, sizes, strict=True))
+    assert list(slices(pa.array([], pa.string()))) == []
