@@ -9,9 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from corpusloom.errors import EngineError, said
 from corpusloom.operators import graph as g
 from corpusloom.operators.infer import clusters, propose
-from corpusloom.operators.registry import ConfigError, registry
+from corpusloom.operators.registry import registry
 from corpusloom.plans import config as conf
 from corpusloom.plans import findings as plan
 from corpusloom.plans import fix, render
@@ -50,6 +51,8 @@ def parser() -> argparse.ArgumentParser:
 
 def load(spark: SparkSession, args: argparse.Namespace) -> tuple[conf.Config, Corpus, str]:
     file = args.config or find_config(args.path)
+    if args.config and not Path(args.config).is_file():
+        raise EngineError("CONFIG_NOT_FOUND", f"there is no configuration '{args.config}'")
     config = conf.load(Path(file).read_text(encoding="utf-8")) if file else conf.Config()
     root = str(Path(file).parent) if file and not args.config else args.path
     return config, read_corpus(spark, root, config.scope, config.router), root
@@ -66,8 +69,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command == "rules":
             return _emit(registry.table(), None)
         return _run(spark or SparkSession.builder.appName("corpusloom").getOrCreate(), args)
-    except (ConfigError, OSError, ValueError) as error:
-        print("\n".join(getattr(error, "issues", [str(error)])), file=sys.stderr)
+    except EngineError as error:
+        print("\n".join(getattr(error, "issues", None) or [said({"message": str(error), "hint": error.hint or ""})]), file=sys.stderr)
+        return FAILED
+    except (OSError, ValueError) as error:
+        print(error, file=sys.stderr)
         return FAILED
 
 
@@ -113,7 +119,7 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
         return OK if kind else FAILED
     if args.command == "impact":
         if args.target not in files:
-            raise ValueError(f"'{args.target}' is no document of the corpus; paths are relative to {root}")
+            raise EngineError("TARGET_NOT_FOUND", f"'{args.target}' is no document of the corpus", f"paths are relative to {root}")
         parts = g.impact(args.target, edges)
         order, excluded = g.reading_order(parts["affected"], edges)
         found = plan.within(plan.lint(corpus, config.bound), parts["affected"])

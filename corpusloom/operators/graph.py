@@ -118,6 +118,7 @@ def traverse(starts: DataFrame, edges: DataFrame, depth: int | None = None, type
 def components(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """path, component: the least path of its weakly connected part; lone nodes included."""
     tables = Tables(edges.sparkSession, "components")
+    salts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hop = tables.keep(arcs(edges), "hop")
     both = tables.keep(hop.union(hop.select("dst", "src")).distinct(), "arcs")
     labels = tables.keep(paths.select("path", F.col("path").alias("component")).distinct(), "0")
@@ -126,8 +127,11 @@ def components(paths: DataFrame, edges: DataFrame) -> DataFrame:
         step += 1
         near = both.join(labels.select(F.col("path").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("path")).agg(F.min("component").alias("near"))
         met = labels.join(near, "path", "left").select("path", F.col("component").alias("old"), F.least("component", "near").alias("new"))
-        jump = met.select(F.col("path").alias("new"), F.col("new").alias("up"))
-        moved = met.join(jump, "new", "left").select("path", "old", F.least("new", "up").alias("component"))
+        # All rows of a giant part have one label: they ask for its own label once for each salt, so that no task joins them all.
+        met = met.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)))
+        asked = met.select("new", "salt").distinct()
+        jump = asked.join(met.select(F.col("path").alias("new"), F.col("new").alias("up")), "new")
+        moved = met.join(jump, ["new", "salt"]).select("path", "old", F.least("new", "up").alias("component"))
         kept = tables.keep(moved, str(step))
         tables.drop(str(step - 1))
         labels = kept.select("path", "component")

@@ -11,16 +11,17 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from corpusloom.errors import EngineError
 from corpusloom.sources.corpus import Corpus
 
 SEVERITIES = ("error", "warning", "off")
 
 
-class ConfigError(ValueError):
-    """A configuration that cannot be used; `issues` lists every problem."""
+class ConfigError(EngineError):
+    """A configuration that cannot be used; `issues` lists every problem, the first one is the hint."""
 
     def __init__(self, issues: list[str]):
-        super().__init__("; ".join(issues))
+        super().__init__("CONFIG_INVALID", "; ".join(issues), issues[0] if issues else None)
         self.issues = issues
 
 

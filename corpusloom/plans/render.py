@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.operators import graph as g
 from corpusloom.plans.findings import ordered
@@ -72,17 +73,19 @@ def graph_dot(paths: DataFrame, edges: DataFrame) -> str:
 
 def summary(paths: DataFrame, edges: DataFrame, outside: list[str] = ()) -> dict:
     """Counts, entry points, hubs, components, what cycles exclude, cycles and files outside the corpus."""
-    nodes = g.build_nodes(paths, edges).persist()
-    order, excluded = g.topological_order(paths, edges)
-    parts = g.components(paths, edges).groupBy("component").count().orderBy("count", ascending=False).collect()
+    analysis = g.analyze(paths, edges).persist()
+    nodes = analysis.select("path", "in_degree", "out_degree")
+    split = g.exclusion_counts(analysis).first()
+    parts = g.components(paths, edges).groupBy("component").count().agg(F.count("*").alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("largest")).first()
     out = {
         "nodes": nodes.count(), "edges": edges.count(),
         "entryPoints": [r["path"] for r in nodes.where("in_degree = 0").orderBy("path").collect()],
         "hubs": [{"path": r["path"], "degree": r["degree"]} for r in g.hubs(nodes).collect()],
-        "components": {"count": len(parts), "largest": parts[0]["count"] if parts else 0},
-        "ordered": len(order), "excluded": excluded, "cycles": g.cycles(paths, edges), "outsideCorpus": list(outside),
+        "components": {"count": parts["n"], "largest": parts["largest"]},
+        "ordered": split["placed"], "inCycle": split["in_cycle"], "behindCycle": split["behind"],
+        "excluded": [r["path"] for r in analysis.where("cause <> 'placed'").orderBy("path").collect()], "cycles": g.cycles(paths, edges), "outsideCorpus": list(outside),
     }
-    nodes.unpersist()
+    analysis.unpersist()
     return out
 
 
@@ -91,10 +94,8 @@ def summary_text(s: dict) -> str:
     out += [f"entry points: {', '.join(s['entryPoints'][:10]) or 'none'}" + (f" and {len(s['entryPoints']) - 10} more" if len(s["entryPoints"]) > 10 else "")]
     out += [f"hub: {h['path']} ({h['degree']})" for h in s["hubs"]]
     out += [f"cycle: {elide(c)}" for c in s["cycles"]]
-    in_cycle = {p for c in s["cycles"] for p in c}
     if s["excluded"]:
-        own = sum(p in in_cycle for p in s["excluded"])
-        out.append(f"{len(s['excluded'])} document(s) have no place in a reading order: {own} in named cycles, {len(s['excluded']) - own} in or behind them")
+        out.append(f"{len(s['excluded'])} document(s) have no place in a reading order: {s['inCycle']} on cycles, {s['behindCycle']} behind them")
     return "\n".join(out + [f"outside the corpus: {f}" for f in s["outsideCorpus"]])
 
 

@@ -5,7 +5,8 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom import cli, mcp
+import corpusloom
+from corpusloom import cli, errors, mcp
 from corpusloom.operators import graph as g
 from corpusloom.operators import infer
 from corpusloom.operators.primitives import content_not_match
@@ -13,7 +14,7 @@ from corpusloom.operators.registry import ConfigError, Option, Registry, Rule, e
 from corpusloom.plans import config as conf
 from corpusloom.plans import findings as plan
 from corpusloom.plans import fix, render
-from corpusloom.plans.compile import compile_corpus
+from corpusloom.plans.compile import cell, code, compile_corpus, phrase
 from corpusloom.sources.corpus import Corpus
 from corpusloom.sources.listing import IgnoreLayers, Scope, list_files, read_corpus
 from corpusloom.streaming.documents import lint_stream, maintain, read_stream
@@ -339,13 +340,44 @@ def test_server(spark, folder):
     call = lambda name, **a: server.handle({"id": 2, "method": "tools/call", "params": {"name": name, "arguments": a}})["result"]
     assert call("lint", content="# A\n\n- [ ] x\n", rules=[{"rule": "CTX-002"}])["structuredContent"]["summary"]["warnings"] == 1
     assert call("context-slice", path=str(folder), query="guide.md")["structuredContent"]["match"] == "path"
-    assert call("lint-files")["isError"] and server.handle({"method": "notifications/x"}) is None
+    code = lambda name, **a: call(name, **a)["structuredContent"]["code"]
+    assert call("lint-files")["isError"] and code("lint-files") == code("lint-files", path=3) == code("lint-files", path=str(folder / "none")) == code("context-slice", path=str(folder), query="x", depth=-1) == "INVALID_INPUT"
+    assert code("lint", content="# A\n", rules=[{"rule": "CTX-02"}]) == "CONFIG_INVALID" and call("lint", content="", rules=[{}])["structuredContent"]["messages"] == []
+    assert code("lint-files", path=str(folder), configPath="no.jsonc") == "CONFIG_NOT_FOUND" and code("lint-files", path=str(folder), patterns=["no.md"]) == "FILE_NOT_IN_CORPUS"
+    assert call("lint-files", path=str(folder), patterns=["requirements.md"])["structuredContent"]["files"] == ["requirements.md"]
+    lost = call("impact-analysis", path=str(folder), target="no.md")
+    assert lost["structuredContent"]["code"] == code("context-slice", path=str(folder), query="no.md") == "TARGET_NOT_FOUND" and lost["structuredContent"]["readingOrder"] == [] and "relative" in lost["content"][0]["text"]
+    assert code("compile-context", path=str(folder)) == "COMPILE_CONFIG_MISSING"
+    (folder / "dir.jsonc").mkdir()
+    assert code("lint-files", path=str(folder), configPath="dir.jsonc") == "OPERATIONAL_ERROR" and server.handle({"method": "notifications/x"}) is None
+
+
+def test_errors_have_one_of_the_codes(tmp_path):
+    hidden = errors.describe(RuntimeError("/secret/place"))
+    assert hidden["code"] == "INTERNAL_ERROR" and "secret" not in hidden["message"]
+    outside = FileNotFoundError(2, "no such file", str(tmp_path.parent / "x"))
+    assert errors.describe(outside, str(tmp_path))["code"] == errors.describe(outside)["code"] == "INTERNAL_ERROR"
+    inside = errors.describe(PermissionError(13, "denied", str(tmp_path / "a" / "b.md")), str(tmp_path))
+    assert inside["code"] == "OPERATIONAL_ERROR" and inside["message"].startswith("EACCES") and inside["message"].endswith("'a/b.md'")
+    assert errors.said({"message": "a b", "hint": "b"}) == "a b" and errors.said({"message": "a", "hint": "b"}) == "a b"
+    with pytest.raises(KeyError):
+        errors.EngineError("OTHER", "x")
+    assert all(getattr(corpusloom, name) is not None for name in corpusloom.__all__)
+
+
+def test_artifact_escapes():
+    assert code("a") == "`a`" and code("a`b") == "``a`b``" and code("``a") == "``` ``a ```" and code("") == "`  `" and code("a\r\nb") == "`a b`"
+    assert cell("a|b\\c\nd") == "a\\|b\\\\c d"
+    assert phrase(["a", "b", "c"]) == "`a`, `b` and `c`" and phrase(["a"]) == "`a`" and phrase([]) == "none" and phrase({"b": True, "a": 1}) == "a 1; b yes"
 
 
 def test_artifact_is_deterministic(project):
     config = conf.from_dict(CONFIG | {"rules": CONFIG["rules"] + [{"rule": "LLM-001", "options": {"entrypoints": ["index.md"], "maxTokensPerEntrypoint": 1}}]})
     one, two = compile_corpus(project, config), compile_corpus(project, config)
     assert one == two and one[1]["overBudget"] == ["index.md"] and one[1]["documents"] == 8
+    assert "| index.md | " in one[0] and "% over)" in one[0]
+    none = conf.from_dict({"rules": [{"rule": "LLM-001", "options": {"entrypoints": ["no/*.md"], "maxTokensPerEntrypoint": 1}}], "compile": {"name": 'a "b"'}})
+    assert "No document is an entry point" in compile_corpus(project, none)[0] and 'name: "a \\"b\\""' in compile_corpus(project, none)[0]
 
 
 def test_renderers(project):
