@@ -9,8 +9,9 @@ the annulus, hence the inner product from above by (|q|^2 + max|v|^2 - g^2) / 2.
 Search. When an annulus is cut, the queries among its own members get a first threshold: their k-th best score in it.
 Annuli that lie side by side at one pivot form a group of at most GROUP vectors (more, if there would be more than
 HEADS groups, so that their heads - pivot, distances, norm - have a bounded size and are broadcast). A query goes only to
-groups whose bound reaches its threshold, in blocks of about BLOCK queries; each group meets each block that has queries
-for it in one task, where annuli are expanded outwards from the best bound, queries whose bound is below their threshold
+groups whose bound reaches its threshold, in blocks of about BLOCK queries that lie side by side in the index, so that a
+block's queries ask for much the same groups. Which groups a block asks for is found first, and a group's vectors go to
+those blocks only; each such pair meets in one task, where annuli are expanded outwards from the best bound, queries whose bound is below their threshold
 leave, and thresholds rise as scores come in. A task hands on at most k rows for a query, none below its first
 threshold; the best k of all are the result. The number of pivots grows with the square root of the number of vectors;
 they are fitted on at most SAMPLE vectors (farthest-first), and which pivots there are affects speed, not results.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, bounded_batches, shuffle_parts
+from corpusloom.llm.common import Scratch, bounded_batches, mix, shuffle_parts
 
 #: Least and most pivots.
 PIVOTS = (16, 512)
@@ -139,22 +140,39 @@ def _cut(dims: int, k: int, every: int, most: int):
     return run
 
 
-def _route(heads: pa.Table, pivots: np.ndarray, dims: int):
-    """Annulus rows -> (group, query_id, floor, q): their queries, for each group that their threshold does not exclude."""
+def _blocks(heads: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For each group, in the order of heads: the first block of its own queries and how many blocks they are dealt to."""
+    asked = heads.column("asked").to_numpy()
+    return (np.cumsum(asked) - asked) // BLOCK, np.maximum(-(-asked // BLOCK), 1)
+
+
+def _route(heads: pa.Table, pivots: np.ndarray, dims: int, pairs: bool = False):
+    """Annulus rows -> (group, block, query_id, floor, q): their queries, for each group that their threshold does not exclude.
+
+    heads: by group. pairs: only which blocks ask for which groups (group, block), each once for an annulus row.
+    """
     pivot, low, high, norm = (heads.column(c).to_numpy() for c in ("pivot", "low", "high", "norm"))
     groups = heads.column("group").to_numpy()
+    first, parts = _blocks(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, floors, data in zip(*(batch.column(c).to_pylist() for c in ("asked", "floors", "q")), strict=True):
+            for own, ids, floors, data in zip(*(batch.column(c).to_pylist() for c in ("group", "asked", "floors", "q")), strict=True):
                 asked, floor, q = np.frombuffer(ids, "<i8"), np.frombuffer(floors, "<f8"), np.frombuffer(data, "<f8").reshape(-1, dims)
-                near = _distances(q, pivots)
+                near, at = _distances(q, pivots), np.searchsorted(groups, own)
+                blocks = first[at] + (mix(asked.view(np.uint64)) % np.uint64(parts[at])).astype(np.int64)
+                seen: dict[int, np.ndarray] = {}
                 for n in range(len(asked)):
                     r = near[n][pivot]
                     gap = np.maximum(np.maximum(low - r, r - high) - 1e-6, 0)
-                    live = np.flatnonzero((q[n] @ q[n] + norm - gap * gap) / 2 + 1e-6 >= floor[n])
-                    size = len(live)
-                    yield pa.RecordBatch.from_arrays([pa.array(groups[live]), pa.array(np.full(size, asked[n])), pa.array(np.full(size, floor[n])), pa.array([q[n].astype("<f8").tobytes()] * size, pa.binary())], ["group", "query_id", "floor", "q"])
+                    live = (q[n] @ q[n] + norm - gap * gap) / 2 + 1e-6 >= floor[n]
+                    if pairs:
+                        seen[blocks[n]] = seen[blocks[n]] | live if blocks[n] in seen else live
+                        continue
+                    to = groups[live]
+                    yield pa.RecordBatch.from_arrays([pa.array(to), *(pa.array(np.full(len(to), v[n])) for v in (blocks, asked, floor)), pa.array([q[n].astype("<f8").tobytes()] * len(to), pa.binary())], ["group", "block", "query_id", "floor", "q"])
+                for block, live in seen.items():
+                    yield pa.RecordBatch.from_arrays([pa.array(groups[live]), pa.array(np.full(int(live.sum()), block))], ["group", "block"])
 
     return run
 
@@ -227,12 +245,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     ordered = keyed.repartitionByRange(parts, "pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id")
     together = max(GROUP, -(-size["n"] // HEADS)) // ANNULUS
     index = scratch.keep(ordered.mapInArrow(_cut(dims, k, every, together), INDEX), "index")
-    heads = index.groupBy("group").agg(F.first("pivot").alias("pivot"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm")).toArrow()
-    # Queries are dealt into blocks of a bounded expected size; a group's annuli go to each block.
-    asked = index.agg(F.coalesce(F.sum(F.length("asked")), F.lit(0)).alias("bytes")).first()["bytes"] // 8
-    blocks = -(-asked // BLOCK) or 1
-    queries = index.select("asked", "floors", "q").where(F.length("asked") > 0).mapInArrow(_route(heads, pivots, dims), "group long, query_id long, floor double, q binary").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    annuli = index.select("group", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "pivot", "low", "high", "norm", "ids", "x")
+    heads = index.groupBy("group").agg(F.first("pivot").alias("pivot"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm"), (F.sum(F.length("asked")) / 8).cast("long").alias("asked")).toArrow().sort_by("group")
+    asking = index.select("group", "asked", "floors", "q").where(F.length("asked") > 0)
+    queries = asking.mapInArrow(_route(heads, pivots, dims), "group long, block long, query_id long, floor double, q binary")
+    wanted = asking.mapInArrow(_route(heads, pivots, dims, pairs=True), "group long, block long").distinct()
+    annuli = index.select("group", "pivot", "low", "high", "norm", "ids", "x").join(wanted, "group")
     found = annuli.groupBy("group", "block").cogroup(queries.groupBy("group", "block")).applyInArrow(_search(dims, k, pivots), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

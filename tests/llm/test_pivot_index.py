@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from corpusloom.llm import pivot_index
 from corpusloom.llm.queries import op9_pivot_index
@@ -62,6 +63,20 @@ def test_many_groups_blocks_and_clashing_columns(spark, monkeypatch):
     assert set(got) == brute(rows, 5, 10) and len(got) == len(set(got))
 
 
+def test_vectors_go_only_to_blocks_that_ask_for_them():
+    """Two far clusters: each one's queries ask for their own group; many queries of one group are dealt to several blocks."""
+    pivots = np.array([[0.0, 0.0], [1e6, 0.0]])
+    heads = pa.table({"group": [4, 9], "pivot": [0, 1], "low": [0.0, 0.0], "high": [5.0, 5.0], "norm": [25.0, 1e12], "asked": [3 * pivot_index.BLOCK, 2]})
+    first, parts = pivot_index._blocks(heads)
+    assert first.tolist() == [0, 3] and parts.tolist() == [3, 1]
+    q = np.array([[1e6, 0.0], [1e6, 1.0]])
+    rows = pa.RecordBatch.from_pydict({"group": [9], "asked": [np.array([50, 100], "<i8").tobytes()], "floors": [np.array([1e12 - 1e3] * 2, "<f8").tobytes()], "q": [q.astype("<f8").tobytes()]})
+    pairs = pa.Table.from_batches(pivot_index._route(heads, pivots, 2, pairs=True)([rows])).to_pylist()
+    assert pairs == [{"group": 9, "block": 3}]
+    full = pa.Table.from_batches(pivot_index._route(heads, pivots, 2)([rows]))
+    assert full.column("query_id").to_pylist() == [50, 100] and {*full.column("block").to_pylist()} == {3}
+
+
 def test_repeated_ids_count_once_each(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0]), (3, [2.0, 0.0]), (10, [1.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
