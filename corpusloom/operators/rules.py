@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ TEXT, NUMBER, FLAG = Option("str"), Option("int", least=1), Option("bool")
 TEXTS = Option("list", items=TEXT)
 SCOPE = {"files": TEXTS, "exclude": TEXTS}
 METRICS = ("bytes", "lines", "tokens")
+#: How many aliases of a glossary are searched as patterns; a plan with thousands of them would not compile.
+FEW_ALIASES = 32
+_WORD = re.compile("[A-Za-z0-9_]")
 
 
 def need(option: Option) -> Option:
@@ -378,7 +383,14 @@ def canonical_terms(c: Corpus, o: dict) -> DataFrame:
 
 
 def alias_findings(documents: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """A finding for each whole-word use of each alias, also inside another alias. documents: path, content, base (lines before)."""
+    """A finding for each whole-word use of each alias, also inside another alias. documents: path, content, base (lines before).
+
+    Up to FEW_ALIASES are patterns of the JVM, one each; more are looked up by their words in one pass over the texts in Arrow
+    batches, whose work does not grow with the glossary. Both find the same.
+    """
+    if len(aliases) > FEW_ALIASES:
+        found = documents.select("path", "base", "content").mapInArrow(_alias_uses(aliases), "path string, line int, alias string, term string")
+        return findings(found, say("Use '%s' instead of '%s'.", F.col("term"), F.col("alias")), alias=F.col("alias"), term=F.col("term"))
     lines = documents.select("path", "base", F.posexplode(F.split("content", "\n", -1)).alias("n", "text"))
     if not aliases:
         return findings(lines.where("false").withColumn("line", F.lit(0)), F.lit(""))
@@ -390,6 +402,36 @@ def alias_findings(documents: DataFrame, aliases: dict[str, str]) -> DataFrame:
     return findings(found, say("Use '%s' instead of '%s'.", term, F.col("alias")), alias=F.col("alias"), term=term)
 
 
+def _alias_uses(aliases: dict[str, str]):
+    """(path, base, content) -> each use of an alias. An alias is filed under its longest word, or its first character if it
+    has none: in a use of it that word is a whole word of the text, so words of the text lead to what may stand around them."""
+    filed: dict[str, list[tuple[str, int]]] = {}
+    for alias in aliases:
+        word = max(re.finditer(r"[A-Za-z0-9_]+", alias), key=lambda m: len(m.group()), default=None)
+        filed.setdefault(word.group() if word else alias[0], []).append((alias, word.start() if word else 0))
+    signs = "".join(re.escape(k) for k in filed if not _WORD.match(k))
+    token = re.compile(r"[A-Za-z0-9_]+" + (f"|[{signs}]" if signs else ""))
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, base, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for n, line in enumerate((text or "").split("\n"), base + 1):
+                    ends: dict[str, int] = {}
+                    for m in token.finditer(line):
+                        for alias, before in filed.get(m.group(), ()):
+                            start = m.start() - before
+                            end = start + len(alias)
+                            # Uses of one alias do not overlap, and none touches a letter, digit or underscore.
+                            if start >= ends.get(alias, 0) and line.startswith(alias, start) and not _WORD.match(line, end) and not (start and _WORD.match(line, start - 1)):
+                                ends[alias] = end
+                                rows.append((path, n, alias, aliases[alias]))
+            kinds = {"path": pa.string(), "line": pa.int32(), "alias": pa.string(), "term": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
+
+    return run
+
+
 # --- graph --------------------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ For the generated corpus Spark parses Markdown while the SQL computes the same r
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -270,6 +271,14 @@ def alias_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.alias_findings(docs, {"ing": "Ing", "the": "The", "ung": "Ung"}).groupBy("path", F.col("data.alias").alias("alias")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT CAST(doc_id AS VARCHAR) AS path, alias, 'long ' || alias AS term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS alias FROM documents) WHERE regexp_matches(alias, '^[a-z]{2}$') GROUP BY ALL""")
+def alias_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of two small letters is an alias: a glossary that is looked up by words."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.lit(0).alias("base"))
+    names = [a + b for a in ascii_lowercase for b in ascii_lowercase]
+    return r.alias_findings(docs, {a: f"long {a}" for a in names}).groupBy("path", F.col("data.alias").alias("alias"), F.col("data.term").alias("term")).agg(F.count("*").alias("n"))
+
+
 @query(D + """, t AS (SELECT path, o, i, 'the app store of the app ' || CASE WHEN i % 2 = 0 THEN 'and app store' ELSE '' END AS text FROM d) SELECT path, 'app' AS alias, CAST(CASE WHEN i % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n FROM t UNION ALL SELECT path, 'app store', CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END FROM t""")
 def alias_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases one of which lies inside the other: each is found by itself."""

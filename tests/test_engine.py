@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import subprocess
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 import corpusloom
 from corpusloom import cli, errors, mcp
 from corpusloom.operators import graph as g
-from corpusloom.operators import infer
+from corpusloom.operators import infer, rules
 from corpusloom.operators.primitives import content_not_match
 from corpusloom.operators.registry import ConfigError, Option, Registry, Rule, edit_distance, registry
 from corpusloom.plans import config as conf
@@ -365,6 +366,18 @@ def test_errors_have_one_of_the_codes(tmp_path):
     assert all(getattr(corpusloom, name) is not None for name in corpusloom.__all__)
 
 
+def test_large_glossaries_find_what_small_ones_do(spark):
+    rng = random.Random(3)
+    aliases = {a: f"T{k}" for k, a in enumerate(["app", "app store", "c++", "-x", "дом", "→", "a_b", "aa", "x y x", "+", "é"])}
+    parts = [*aliases, "store", " ", " ", "_", "application", "x", "дома", "\n", "aaa", "!", "\r"]
+    rows = [(f"{k}.md", "".join(rng.choice(parts) for _ in range(30)), k % 3) for k in range(300)] + [("null.md", None, 0), ("empty.md", "", 0)]
+    docs = spark.createDataFrame(rows, "path string, content string, base int")
+    say = lambda df: sorted((r.path, r.line, r.data["alias"], r.message) for r in df.collect())
+    few = say(rules.alias_findings(docs, aliases))
+    more = aliases | {f"never{k} seen": "x" for k in range(3000)}
+    assert say(rules.alias_findings(docs, more)) == few and len({a for _, _, a, _ in few}) == len(aliases)
+
+
 def test_artifact_escapes():
     assert code("a") == "`a`" and code("a`b") == "``a`b``" and code("``a") == "``` ``a ```" and code("") == "`  `" and code("a\r\nb") == "`a b`"
     assert cell("a|b\\c\nd") == "a\\|b\\\\c d"
