@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ SCOPE = {"files": TEXTS, "exclude": TEXTS}
 METRICS = ("bytes", "lines", "tokens")
 #: How many aliases of a glossary are searched as patterns; a plan with thousands of them would not compile.
 FEW_ALIASES = 32
+#: Tables that a closure reads side by side before they become one.
+MOST_PARTS = 16
 _WORD = re.compile("[A-Za-z0-9_]")
 
 
@@ -84,7 +87,8 @@ def size(c: Corpus, o: dict) -> DataFrame:
 
 @rule("LLM-001", "Each entry point with everything it imports stays within a token budget.", "warning", "project", {"entrypoints": need(Option("list", items=TEXT, least=1)), "maxTokensPerEntrypoint": need(NUMBER)})
 def import_budget(c: Corpus, o: dict) -> DataFrame:
-    edges = g.build_edges(c).where("type = 'import'")
+    # Resolved once for the budget, what is reached, and the cycles.
+    edges = Tables(c.documents.sparkSession, "imports").keep(g.build_edges(c, types=["import"]), "edges")
     budget = closure_tokens(c, edges, o["entrypoints"])
     limit = o["maxTokensPerEntrypoint"]
     over = budget.where(F.col("total") > limit)
@@ -146,14 +150,17 @@ def closure(c: Corpus, edges: DataFrame, entrypoints: list[str]) -> DataFrame:
     """root, path: each matching entry point with itself and all that it imports, each once."""
     tables = Tables(edges.sparkSession, "closure")
     hop = tables.keep(g.arcs(edges), "arcs")
-    seen = tables.keep(c.paths.where(glob_column(F.col("path"), entrypoints)).select(F.col("path").alias("root"), "path"), "0")
-    frontier, step = seen, 0
+    frontier = tables.keep(c.paths.where(glob_column(F.col("path"), entrypoints)).select(F.col("path").alias("root"), "path"), "0")
+    parts, step = [], 0
     while not frontier.isEmpty():
+        parts.append(frontier)
+        if len(parts) > MOST_PARTS:
+            parts = [tables.keep(reduce(DataFrame.unionByName, parts), f"seen{step}")]
         step += 1
         new = frontier.select("root", F.col("path").alias("src")).join(hop, "src").select("root", F.col("dst").alias("path")).distinct()
+        seen = reduce(DataFrame.unionByName, parts)
         frontier = tables.keep(new.join(seen, ["root", "path"], "left_anti"), f"new{step}")
-        seen = tables.keep(seen.unionByName(frontier), f"seen{step}")
-    return seen
+    return reduce(DataFrame.unionByName, parts) if parts else frontier
 
 
 def closure_tokens(c: Corpus, edges: DataFrame, entrypoints: list[str]) -> DataFrame:
