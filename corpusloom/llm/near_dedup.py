@@ -7,8 +7,8 @@ batch at once; a set stops as soon as all its slots are filled, because later ra
 to five steps.
 
 Candidates. Documents with equal sets are one class (128-bit set hash, order-free). Classes sharing all slots of a band
-meet in a bucket; every member is tied to the bucket's least id, which gives clusters: the connected parts of the
-bucket graph. A pair with a similarity of at least 0.85 shares no band with probability below 10^-5.
+meet in a bucket; every member is tied to the least of its buckets' least ids, and these to each other, which gives
+clusters: the connected parts of the bucket graph. A pair with a similarity of at least 0.85 shares no band with probability below 10^-5.
 
 Verification. Within a cluster every pair is compared on its full shingle sets, except pairs that are connected
 already: a breadth-first search over the links visits each class once and compares it with those not reached so far. A
@@ -229,16 +229,28 @@ def verified_links(docs: DataFrame, clusters: DataFrame, scratch: Scratch, size:
     return met.join(wanted, "id").select("label", "pair", "id", "text").groupBy("label", "pair").applyInArrow(_cluster_links(size, percent), "a long, b long")
 
 
+def bucket_ties(classes: DataFrame) -> DataFrame:
+    """(a, b), each once: what ties the classes (id, bands) that meet in buckets into clusters.
+
+    A class is tied to the least of its buckets' hubs, and its other hubs are tied to that one. The members of a large
+    group share their hubs, so they add one tie each, and the ties among hubs are few, where a tie to every hub would be up
+    to BANDS for each member.
+    """
+    slots = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = slots.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = slots.join(buckets, ["band", "key"]).where("id <> hub").groupBy("id").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))
+    least = F.col("hubs")[0]
+    tie = F.transform("hubs", lambda h: F.struct(F.when(h == least, F.col("id")).otherwise(h).alias("a"), least.alias("b")))
+    return met.select(F.explode(tie).alias("t")).select("t.a", "t.b").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable, itself included) and kept for each row."""
     scratch = Scratch(docs.sparkSession, "near")
     known = scratch.keep(sketches(docs, size, BANDS, rows_per_band(percent)), "sketches")
     linked = known.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = scratch.keep(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
-    slots = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = slots.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    ties = slots.join(buckets, ["band", "key"]).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(ties, scratch, "clusters")
+    clusters = components(bucket_ties(classes), scratch, "clusters")
     links = scratch.keep(verified_links(docs, clusters, scratch, size, percent), "links")
     labels = components(links, scratch, "labels")
     named = classes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"))

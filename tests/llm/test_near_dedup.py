@@ -146,3 +146,34 @@ def test_a_hot_id_loses_no_text(spark):
     kept = near_dedup.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [5] * 60 + list(range(200, 254))
     assert {r.text for r in kept if r.doc_id == 5} == set(texts)
+
+
+def test_members_of_a_group_add_one_tie_each(spark, tmp_path):
+    """200 classes that share eight buckets in each band, and 60 alone: clusters as by all ties, with far fewer ties."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(8) if i < 200 else rng.randrange(10**6) for b in range(30)]) for i in range(260)]
+    classes = spark.createDataFrame(rows, "id long, bands array<long>")
+    ties = {(r.a, r.b) for r in near_dedup.bucket_ties(classes).collect()}
+    hubs = {}
+    for i, bands in rows:
+        for key in enumerate(bands):
+            hubs.setdefault(key, []).append(i)
+    every = {(i, min(ids)) for ids in hubs.values() for i in ids if i != min(ids)}
+
+    def parts(pairs):
+        up = {i: i for i, _ in rows}
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in pairs:
+            low, high = sorted((root(a), root(b)))
+            up[high] = low
+        return {i: root(i) for i in up}
+
+    assert parts(ties) == parts(every) and {x for t in ties for x in t} == {x for t in every for x in t}
+    assert len(every) > 4 * len(ties)
