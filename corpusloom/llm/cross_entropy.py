@@ -1,7 +1,8 @@
 """Cross-entropy difference: documents scored by matched target and background n-gram models.
 
-Both models have the same order (2), the same smoothing and one vocabulary, that of the corpus; its size V is estimated
-from the distinct words whose hash lies in one of SLICES equal slices, times SLICES. They are exact
+Both models have the same order (2), the same smoothing and one vocabulary, that of the corpus; its size V is counted in
+full if asked for (exact; op5 does), else estimated from the distinct words whose hash lies in one of SLICES equal slices,
+times SLICES. They are exact
 counts of every word and every (previous word, word) pair of the corpus, keyed by 64-bit hashes: among n distinct keys
 about n^2 / 2^65 collide (0.03 expected among 10^9). The tables grow with the corpus and lie in the shared folder and in
 shuffles; no process holds one. The background is counted over all documents, the target over those with a positive
@@ -144,6 +145,26 @@ def totals(made: DataFrame, ranges: int) -> DataFrame:
     return asked.groupBy("kind", "range").applyInArrow(add, "block long, kind int, range int, background binary, target binary")
 
 
+def distinct_words(made: DataFrame, ranges: int) -> int:
+    """How many different words the blocks hold; each range of their hashes is merged by itself, as in totals()."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=np.uint64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                words = np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+                cuts = [0, *np.searchsorted(words, edges), len(words)]
+                rows = [(r, packed(np.diff(words[a:b], prepend=np.uint64(0)))) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["range", "words"])
+
+    def count(group: pa.Table) -> pa.Table:
+        own = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in group.column("words").to_pylist()]
+        return pa.table([pa.array([len(np.unique(np.concatenate(own)))], pa.int64())], names=["n"])
+
+    parts = made.select("words").mapInArrow(split, "range int, words binary").groupBy("range").applyInArrow(count, "n long")
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 class NgramModel:
     """Counts of one model; scale: what its counts are multiplied by to match the other's."""
 
@@ -179,8 +200,8 @@ def _losses(models: tuple, counts: list[tuple[np.ndarray, np.ndarray]], lengths:
     return out
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss and score; labels: doc_id of the target documents."""
+def score_documents(docs: DataFrame, labels: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss and score; labels: doc_id of the target documents; exact: V is counted, not estimated."""
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct().withColumn("mark", F.lit(True))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Labels grow with the corpus: the join is by key at every size, so its cost stays in proportion.
@@ -188,7 +209,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     made = Scratch(docs.sparkSession, "entropy").keep(blocks(marked), "blocks")
     names = ("target_words", "target_texts", "n_words", "n_texts")
     n = made.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
-    vocabulary = SLICES * made.select(F.explode("slice").alias("w")).distinct().count()
+    ranges = -(-n["n_words"] // RANGE_WORDS) or 1
+    vocabulary = distinct_words(made, ranges) if exact else SLICES * made.select(F.explode("slice").alias("w")).distinct().count()
     models = NgramModel(n["target_words"], n["target_texts"], vocabulary, 1.0), NgramModel(n["n_words"], n["n_texts"], vocabulary, n["target_words"] / max(n["n_words"], 1))
 
     def run(block: pa.Table, counts: pa.Table) -> pa.Table:
@@ -205,5 +227,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         columns = [pa.array(row["ids"], pa.int64()), pa.array(lengths), *(pa.array(x, pa.float64(), mask=empty) for x in (*losses, losses[1] - losses[0]))]
         return pa.table(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
-    answers = totals(made, -(-n["n_words"] // RANGE_WORDS) or 1).groupBy("block")
+    answers = totals(made, ranges).groupBy("block")
     return made.select("block", "ids", "lengths", "targets", "words", "codes").groupBy("block").cogroup(answers).applyInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")

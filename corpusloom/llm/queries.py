@@ -47,7 +47,7 @@ def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.cross_entropy import score_documents
 
     labels = table(spark, sf_dir, "labels")
-    return score_documents(table(spark, sf_dir, "documents"), labels.where(labels["quality"] == 1))
+    return score_documents(table(spark, sf_dir, "documents"), labels.where(labels["quality"] == 1), exact=True)
 
 
 def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:

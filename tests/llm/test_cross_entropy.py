@@ -85,3 +85,25 @@ def test_counts_stay_exact_beyond_the_former_cells(spark, monkeypatch):
     assert len(rows) == len(docs)
     for i, want in brute(docs, {0, 300}).items():
         assert rows[i] == pytest.approx(want, rel=1e-9, abs=1e-7) if want[0] else rows[i] == want
+
+
+def test_op5_counts_the_whole_vocabulary(spark, tmp_path, monkeypatch):
+    """Few words, none of which need lie in the slice that the estimate counts: the query must use their true number."""
+    docs = [(1, "the cat sat on the mat"), (2, "the dog sat"), (3, "stocks fell and stocks rose"), (4, None), (5, "the cat sat on the mat"), (6, "zebra")]
+    words = {w for _, t in docs for w in (t or "").split()}
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert vocabulary(docs) != len(words)
+    monkeypatch.setitem(globals(), "vocabulary", lambda docs: len(words))
+    rows = {r.doc_id: tuple(r)[1:] for r in op5_cross_entropy(spark, str(tmp_path)).collect()}
+    for i, want in brute(docs, {1, 2}).items():
+        assert rows[i] == pytest.approx(want, rel=1e-9) if want[0] else rows[i] == want
+
+
+def test_distinct_words_by_ranges(spark):
+    """More ranges than words, several blocks, and no words at all."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 7 + k}" for k in range(10)), False) for i in range(50)], "doc_id long, text string, target boolean").repartition(3)
+    made = ce.blocks(docs)
+    assert [ce.distinct_words(made, r) for r in (1, 7, 1000)] == [49 * 7 + 10] * 3
+    assert ce.distinct_words(ce.blocks(docs.where("false")), 3) == 0
+    assert ce.distinct_words(ce.blocks(docs.withColumn("text", docs.text.substr(1, 0))), 3) == 0
