@@ -5,6 +5,7 @@ import time
 
 import pytest
 
+from corpusloom.operators import contract
 from corpusloom.operators import graph as g
 
 from . import local_graph
@@ -66,3 +67,13 @@ def test_random_graphs(spark, monkeypatch, seed):
     got = sorted(map(tuple, g.traverse(paths.where("path in ('n000', 'n007')"), edges).select("path", "depth", "via").collect()), key=str)
     assert got == sorted(local_graph.levels(["n000", "n007"], sorted(arcs), None), key=str)
     assert sorted(map(tuple, g.strong_components(paths, edges).select("path", "scc").collect())) == sorted((n, part[0]) for part in local_graph.strong(sorted(arcs)) for n in part)
+
+
+def test_core_of_cycles(spark):
+    """No node on a cycle is left out: two rings, trees into and out of them, and a dense part without cycles."""
+    rng = random.Random(6)
+    arcs = [("a0", "a1"), ("a1", "a2"), ("a2", "a0"), ("b0", "b1"), ("b1", "b0"), ("b1", "a0"), ("b0", "b2"), ("b2", "b1")]
+    arcs += [(f"i{k:02d}", f"i{k // 2:02d}") for k in range(1, 60)] + [("i00", "b0"), ("a1", "o00")] + [(f"o{k // 2:02d}", f"o{k:02d}") for k in range(1, 60)]
+    arcs += sorted({(f"d{a:02d}", f"d{b:02d}") for a, b in (sorted(rng.sample(range(60), 2)) for _ in range(150))} | {("o07", "d00")})
+    core = {r.path for r in contract.cyclic_core(spark.createDataFrame(arcs, "src string, dst string")).collect()}
+    assert {"a0", "a1", "a2", "b0", "b1", "b2"} <= core
