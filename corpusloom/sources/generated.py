@@ -23,10 +23,21 @@ def path_of(i: Column) -> Column:
     return F.concat(F.lit("z"), (i % 5).cast("string"), F.lit("/doc-"), i.cast("string"), F.lit(".md"))
 
 
+def dealt(table: DataFrame, rows: int, key: str = "i") -> DataFrame:
+    """So many narrow rows, dealt evenly to the tasks that make and scan texts of them: a file with one row group is read by one task.
+
+    Few rows stay together.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(max(1, min(rows // 1024, 4 * cores), rows // 8192), key)
+
+
 def generated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw(path, content), one document for each row of `documents`."""
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("i"), "lang", "source")
-    n = F.lit(spark.read.parquet(f"{sf_dir}/documents.parquet").count()).cast("long")
+    count = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    table = dealt(table, count)
+    n = F.lit(count).cast("long")
     i = F.col("i")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     when = lambda test, a, b="": F.when(test, a if isinstance(a, Column) else F.lit(a)).otherwise(b if isinstance(b, Column) else F.lit(b))

@@ -33,6 +33,25 @@ def test_a_corpus_is_scanned_once(spark, sf_dir, tmp_path, name):
         q._parsed, q.generated_documents = held, made
 
 
+@pytest.mark.parametrize("name", ["generated", "blocks"])
+def test_documents_of_one_row_group_are_dealt_evenly(spark, tmp_path, name):
+    """One task reads a row group; the scan of its documents must not be left to it."""
+    ids = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    ids.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    held, q._parsed = q._parsed, {}
+    try:
+        q.QUERIES["parse_headings" if name == "generated" else "import_cycles"](spark, str(tmp_path))
+        scanned = next(c for key, c in q._parsed.items() if key[1].endswith(name)).documents
+        rows = [r["count"] for r in scanned.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(rows) == 8000
+        assert len(rows) > 1
+        assert max(rows) < 2000
+    finally:
+        for c in q._parsed.values():
+            c.documents.unpersist()
+        q._parsed = held
+
+
 def test_edges_of_wanted_types_only(spark):
     c = Corpus.in_memory(spark, {"a.md": "[b](b.md) [h](b.md#h) ![i](i.png) @b.md", "b.md": "# H\n\n@a.md REQ-1", "i.png": ""})
     full = g.build_edges(c)
