@@ -77,3 +77,25 @@ def test_core_of_cycles(spark):
     arcs += sorted({(f"d{a:02d}", f"d{b:02d}") for a, b in (sorted(rng.sample(range(60), 2)) for _ in range(150))} | {("o07", "d00")})
     core = {r.path for r in contract.cyclic_core(spark.createDataFrame(arcs, "src string, dst string")).collect()}
     assert {"a0", "a1", "a2", "b0", "b1", "b2"} <= core
+
+
+@pytest.mark.parametrize("tail", [1 << 17, 300])
+def test_levels_of_many_predecessors_take_few_turns(spark, monkeypatch, tail):
+    """A tree towards its root with arcs that lead up again: nodes have two predecessors or more, and levels go by dozens."""
+    turns = []
+    keep = contract.Tables.keep
+    monkeypatch.setattr(contract.Tables, "keep", lambda self, df, name: (turns.append(name), keep(self, df, name))[1])
+    monkeypatch.setattr(contract, "TAIL", tail)
+    n = 2000
+    pairs = {(i, i // 2) for i in range(1, n)} | {(i, (5 * i + 3) % n) for i in range(1, n, 4)}
+    arcs = sorted((f"{a:04d}", f"{b:04d}") for a, b in pairs if a != b)
+    paths, edges = frames(spark, arcs, ["lone"])
+    got = dict(map(tuple, g.topological_levels(paths, edges).collect()))
+    names = sorted({x for a in arcs for x in a} | {"lone"})
+    assert sorted(set(names) - set(got)) == local_graph.unpeeled(names, arcs)
+    above = {}
+    for a, b in arcs:
+        above.setdefault(b, []).append(a)
+    assert all(got[x] == max((got[a] + 1 for a in above.get(x, ())), default=0) for x in got)
+    assert max(got.values()) > 30
+    assert len([x for x in turns if x.startswith("single")]) < 24
